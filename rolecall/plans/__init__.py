@@ -1,3 +1,3 @@
 """All registered queries. Importing this package fills the registry."""
-from . import pages, scalars  # noqa: F401
+from . import pages, postings, scalars  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -1,6 +1,4 @@
 """Table layouts. Times are UTC; NULL always means "not known"."""
-from pyspark.sql import types as T
-
 # The posting record, in export order.
 POSTING_FIELDS = ["company", "title", "url", "location", "remote", "department", "posted", "source",
                   "workplace", "employment_type", "city", "region", "country", "geo_confidence"]
@@ -10,27 +8,22 @@ FACETS = ["workplace", "employment_type", "country", "department", "source", "do
 LIVE_RUN_STATUSES = ["running", "done", "stopped"]
 UNKNOWN = "unknown"
 
-_TYPES = {"remote": T.BooleanType(), "posted": T.TimestampType()}
-POSTING = T.StructType([T.StructField(f, _TYPES.get(f, T.StringType())) for f in POSTING_FIELDS])
+_TYPES = {"remote": "BOOLEAN", "posted": "TIMESTAMP"}
+POSTING = ", ".join(f"{f} {_TYPES.get(f, 'STRING')}" for f in POSTING_FIELDS)
 
-RUNS = T.StructType.fromDDL(
-    "run_id BIGINT, domain STRING, company STRING, source STRING, status STRING, complete BOOLEAN, "
-    "started_at TIMESTAMP, finished_at TIMESTAMP, jobs_count BIGINT, new_count BIGINT, "
-    "session_id STRING, outcome STRING, outcome_detail STRING")
+RUNS = ("run_id BIGINT, domain STRING, company STRING, source STRING, status STRING, complete BOOLEAN, "
+        "started_at TIMESTAMP, finished_at TIMESTAMP, jobs_count BIGINT, new_count BIGINT, "
+        "session_id STRING, outcome STRING, outcome_detail STRING")
 
-POSTINGS = T.StructType(
-    T.StructType.fromDDL("posting_id BIGINT, url_key STRING, domain STRING").fields + POSTING.fields
-    + T.StructType.fromDDL("first_seen TIMESTAMP, last_seen TIMESTAMP, missing_since TIMESTAMP, "
-                           "closed_at TIMESTAMP, last_run_id BIGINT").fields)
+POSTINGS = (f"posting_id BIGINT, url_key STRING, domain STRING, {POSTING}, first_seen TIMESTAMP, last_seen TIMESTAMP, "
+            "missing_since TIMESTAMP, closed_at TIMESTAMP, last_run_id BIGINT")
 
-RUN_POSTINGS = T.StructType.fromDDL("run_id BIGINT, posting_id BIGINT, is_new BOOLEAN")
+RUN_POSTINGS = "run_id BIGINT, posting_id BIGINT, is_new BOOLEAN"
 
-PAGES = T.StructType.fromDDL(
-    "domain STRING, url STRING, final_url STRING, status INT, html STRING, error STRING, "
-    "fetched_at TIMESTAMP, json_urls ARRAY<STRING>")
+PAGES = ("domain STRING, url STRING, final_url STRING, status INT, html STRING, error STRING, "
+         "fetched_at TIMESTAMP, json_urls ARRAY<STRING>")
 
-API_RESPONSES = T.StructType.fromDDL(
-    "domain STRING, ats STRING, token STRING, endpoint STRING, page_offset INT, status INT, "
-    "body STRING, fetched_at TIMESTAMP")
+API_RESPONSES = ("domain STRING, ats STRING, token STRING, endpoint STRING, page_offset INT, status INT, "
+                 "body STRING, fetched_at TIMESTAMP")
 
-SESSIONS = T.StructType.fromDDL("session_id STRING, started_at TIMESTAMP, ended_at TIMESTAMP, app_version STRING")
+SESSIONS = "session_id STRING, started_at TIMESTAMP, ended_at TIMESTAMP, app_version STRING"
