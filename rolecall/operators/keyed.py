@@ -55,11 +55,10 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: str, bucket: Colum
     inside = Window.partitionBy(*keys, "__bucket").orderBy(ordered(order)).rowsBetween(*earlier)
     near = work.withColumn("__near", F.last("__value", ignorenulls=True).over(inside))
     pick_last = F.min_by if descending else F.max_by
-    edges = (work.filter(F.col("__value").isNotNull()).groupBy(*keys, "__bucket")
-             .agg(pick_last("__value", order).alias("__edge")))
-    # every bucket of a key needs the edge of the nearest earlier bucket having one
+    # one row per bucket: its own edge, and from the window the nearest edge of the buckets before it
     across = Window.partitionBy(*keys).orderBy(ordered("__bucket")).rowsBetween(*earlier)
-    reach = (work.select(*keys, "__bucket").distinct().join(edges, [*keys, "__bucket"], "left")
+    reach = (work.groupBy(*keys, "__bucket")
+             .agg(pick_last("__value", F.when(F.col("__value").isNotNull(), F.col(order))).alias("__edge"))
              .withColumn("__far", F.last("__edge", ignorenulls=True).over(across)).drop("__edge"))
     return (near.join(reach, [*keys, "__bucket"], "left").withColumn(into, F.coalesce("__near", "__far"))
             .drop("__bucket", "__value", "__near", "__far"))
