@@ -57,12 +57,12 @@ def first_sightings(t):
 
 
 @query("known_lookup", f"""
-    WITH {LOG} SELECT posting_id, run_id, posting_id NOT IN (SELECT posting_id FROM listed WHERE run_id < 150)
-      AND row_number() OVER (PARTITION BY posting_id ORDER BY pos) = 1 AS is_new FROM listed WHERE run_id >= 150""")
+    WITH {LOG} SELECT posting_id, run_id, posting_id NOT IN (SELECT posting_id FROM listed WHERE run_id < 30)
+      AND row_number() OVER (PARTITION BY posting_id ORDER BY pos) = 1 AS is_new FROM listed WHERE run_id >= 30""")
 def known_lookup(t):
     """JOIN-5: one batch against the postings known before."""
     rows = listed(t)
-    return H.mark_new(rows.filter(col("run_id") >= 150), rows.filter(col("run_id") < 150).select("posting_id").distinct(),
+    return H.mark_new(rows.filter(col("run_id") >= 30), rows.filter(col("run_id") < 30).select("posting_id").distinct(),
                       "posting_id").select("posting_id", "run_id", "is_new")
 
 
