@@ -29,6 +29,11 @@ def nesting(text: Column) -> Column:
     return F.greatest(F.aggregate(brackets, start, step, lambda acc: acc["top"]), F.lit(1))
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value worked out once, however often `use` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def items(v: Column) -> Column:
     """Elements of an array, NULL for anything else."""
     return v.try_cast("array<variant>")
@@ -51,59 +56,67 @@ def get(v: Column, key: str) -> Column:
     return F.try_variant_get(v, f'$["{key}"]', "variant")
 
 
+def kind(v: Column) -> Column:
+    return F.schema_of_variant(v)
+
+
 def scalar(v: Column) -> Column:
     """Text of a string, number or boolean; NULL for objects, arrays and null."""
-    return F.when(~is_nested(v), F.try_variant_get(v, "$", "string"))
+    return let(v, lambda x: F.when(~is_nested(x), F.try_variant_get(x, "$", "string")))
 
 
-def kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
+def is_string(v: Column) -> Column:
+    return F.coalesce(let(v, lambda x: ~is_nested(x) & (kind(x) == "STRING")), F.lit(False))
 
 
-def is_string(v: Column) -> Column:
-    return F.coalesce(~is_nested(v) & (kind(v) == "STRING"), F.lit(False))
+def text(v: Column) -> Column:
+    """A JSON string; NULL for anything else, numbers included."""
+    return let(v, lambda x: F.when(~is_nested(x) & (kind(x) == "STRING"), F.try_variant_get(x, "$", "string")))
 
 
 def is_true(v: Column) -> Column:
-    return F.coalesce(~is_nested(v) & (kind(v) == "BOOLEAN") & (F.try_variant_get(v, "$", "string") == "true"), F.lit(False))
+    return F.coalesce(let(v, lambda x: ~is_nested(x) & (kind(x) == "BOOLEAN") & (F.try_variant_get(x, "$", "string") == "true")),
+                      F.lit(False))
 
 
 def number(v: Column) -> Column:
     """A JSON number as DOUBLE; strings that look like numbers stay NULL."""
-    numeric = ~is_nested(v) & ~is_string(v) & (kind(v) != "BOOLEAN")
-    return F.when(numeric, F.try_variant_get(v, "$", "double"))
+    return let(v, lambda x: F.when(~is_nested(x) & ~kind(x).isin("STRING", "BOOLEAN"), F.try_variant_get(x, "$", "double")))
 
 
 def filled(v: Column) -> Column:
     """Neither null nor an empty text, array or object."""
-    return F.coalesce(
-        v.isNotNull() & ~F.is_variant_null(v) & F.coalesce(F.size(items(v)) > 0, F.size(fields(v)) > 0, scalar(v) != ""),
-        F.lit(False))
+    return let(v, lambda x: F.coalesce(
+        x.isNotNull() & ~F.is_variant_null(x) & ~F.coalesce(F.try_variant_get(x, "$", "string").isin("", "[]", "{}"), F.lit(False)),
+        F.lit(False)))
 
 
 def lowered(v: Column) -> Column:
     """An object's filled entries with lower-case keys; of keys equal but for case, the last stays."""
     low = F.transform(fields(v), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v"))).cast(_ENTRY)
-    last = F.filter(low, lambda e, i: ~F.exists(F.slice(low, i + 2, F.greatest(F.size(low), F.lit(1))), lambda x: x["k"] == e["k"]))
-    return F.filter(last, lambda e: filled(e["v"]))
+
+    def last_of_each(entries: Column) -> Column:
+        repeated = F.size(F.array_distinct(F.transform(entries, lambda e: e["k"]))) < F.size(entries)
+        single = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["k"] == e["k"]))
+        return F.filter(F.when(repeated, single).otherwise(entries), lambda e: filled(e["v"]))
+
+    return let(low, last_of_each)
 
 
-def _rank(entries: Column, keys: Sequence[str]) -> tuple[Column, Column]:
+def first_entry(entries: Column, keys: Sequence[str]) -> Column:
+    """The entry (k, v) under the first of `keys` that is there (entries made with `lowered`)."""
     names = F.array(*[F.lit(k) for k in dict.fromkeys(k.lower() for k in keys)])
     ranks = F.filter(F.transform(entries, lambda e: F.array_position(names, e["k"])), lambda r: r > 0)
-    return names, F.array_min(ranks)
+    return let(F.try_element_at(names, F.array_min(ranks).cast("int")),
+               lambda best: F.get(F.filter(entries, lambda e: e["k"] == best), F.lit(0)))
 
 
 def first_of(entries: Column, keys: Sequence[str]) -> Column:
-    """The value under the first of `keys` that is there (entries made with `lowered`)."""
-    names, best = _rank(entries, keys)
-    return F.get(F.filter(entries, lambda e: F.array_position(names, e["k"]) == best), F.lit(0))["v"]
+    return first_entry(entries, keys)["v"]
 
 
 def first_key(entries: Column, keys: Sequence[str]) -> Column:
-    """Which of `keys` that was, in lower case."""
-    names, best = _rank(entries, keys)
-    return F.try_element_at(names, best.cast("int"))
+    return first_entry(entries, keys)["k"]
 
 
 def has_any(entries: Column, keys: Sequence[str]) -> Column:
@@ -113,30 +126,37 @@ def has_any(entries: Column, keys: Sequence[str]) -> Column:
 
 def readable(v: Column, depth: int = 3) -> Column:
     """Text of a scalar, of an object's name-like field or place fields, or of a list of those; booleans have none."""
-    plain = F.when(~is_nested(v) & (kind(v) != "BOOLEAN"), clean(F.try_variant_get(v, "$", "string")))
+    def plain(x: Column) -> Column:
+        return F.when(~is_nested(x) & (kind(x) != "BOOLEAN"), clean(F.try_variant_get(x, "$", "string")))
+
     if depth == 0:
-        return plain
+        return let(v, plain)
+
+    def first_text(x: Column, keys: Sequence[str]) -> Column:
+        texts = F.transform(F.array(*[get(x, k) for k in keys]), lambda y: F.nullif(plain(y), F.lit("")))
+        return F.get(F.filter(texts, lambda t: t.isNotNull()), F.lit(0))
+
+    def joined(values: Column, how: str) -> Column:
+        texts = F.filter(F.transform(values, lambda y: readable(y, depth - 1)), lambda t: t.isNotNull())
+        return F.nullif(F.array_join(F.array_distinct(texts) if how == " | " else texts, how), F.lit(""))
 
-    def text_field(key: str) -> Column:
-        x = get(v, key)
-        return F.when(x.isNotNull() & ~is_nested(x) & (kind(x) != "BOOLEAN"), F.nullif(F.try_variant_get(x, "$", "string"), F.lit("")))
+    def whole(x: Column) -> Column:
+        place = F.array(*[get(x, k) for k in ("city", "state", "region", "province", "country", "countryName")])
+        return (F.when(items(x).isNotNull(), joined(items(x), " | "))
+                .when(is_object(x), F.coalesce(first_text(x, ("name", "label", "title", "text", "value", "displayName")),
+                                               joined(place, ", "))).otherwise(plain(x)))
 
-    named = clean(F.coalesce(*[text_field(k) for k in ("name", "label", "title", "text", "value", "displayName")]))
-    place_parts = F.array(*[readable(get(v, k), depth - 1) if depth > 1 else scalar(get(v, k))
-                            for k in ("city", "state", "region", "province", "country", "countryName")]) if depth > 1 else F.array(
-        *[clean(scalar(get(v, k))) for k in ("city", "state", "region", "province", "country", "countryName")])
-    place = F.nullif(F.array_join(F.filter(place_parts, lambda p: p.isNotNull()), ", "), F.lit(""))
-    listed = F.nullif(F.array_join(F.array_distinct(F.filter(
-        F.transform(items(v), lambda x: readable(x, depth - 1)), lambda t: t.isNotNull())), " | "), F.lit(""))
-    return F.when(items(v).isNotNull(), listed).when(is_object(v), F.coalesce(named, place)).otherwise(plain)
+    return let(v, whole)
 
 
 def looks_like_posting(v: Column) -> Column:
     """Is an object a posting rather than a filter, a news card or a team page?"""
-    e = lowered(v)
-    title, url, ident = first_of(e, V.TITLE_KEYS), first_of(e, V.URL_KEYS), first_of(e, V.ID_KEYS)
-    titled = is_string(title) & (F.length(F.trim(scalar(title))) >= 3) & scalar(title).rlike("[A-Za-z]")
-    linked = (is_string(url) & scalar(url).rlike("^(https?://|/)")) | (ident.isNotNull() & ~is_nested(ident))
-    attributes = has_any(e, [*V.LOCATION_KEYS, *V.DEPARTMENT_EVIDENCE, *V.TYPE_KEYS, *V.WORKPLACE_KEYS])
-    evidence = has_any(e, V.JOB_ID_KEYS) | (attributes & ~has_any(e, V.COUNT_KEYS))
-    return F.coalesce(is_object(v) & titled & linked & evidence, F.lit(False))
+    def judge(e: Column) -> Column:
+        titled = let(text(first_of(e, V.TITLE_KEYS)), lambda t: (F.length(F.trim(t)) >= 3) & t.rlike("[A-Za-z]"))
+        linked = text(first_of(e, V.URL_KEYS)).rlike("^(https?://|/)")
+        known = let(first_of(e, V.ID_KEYS), lambda i: i.isNotNull() & ~is_nested(i))
+        attributes = has_any(e, [*V.LOCATION_KEYS, *V.DEPARTMENT_EVIDENCE, *V.TYPE_KEYS, *V.WORKPLACE_KEYS])
+        evidence = has_any(e, V.JOB_ID_KEYS) | (attributes & ~has_any(e, V.COUNT_KEYS))
+        return evidence & titled & (F.coalesce(linked, F.lit(False)) | known)
+
+    return F.coalesce(let(lowered(v), judge), F.lit(False))

@@ -48,8 +48,8 @@ def postings(found: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 
 def _places(p: Column) -> Column:
-    where = J.get(p, "jobLocation")
-    return F.coalesce(J.items(where), F.when(J.filled(where), F.array(where)), F.array().cast("array<variant>"))
+    return J.let(J.get(p, "jobLocation"), lambda where: F.coalesce(
+        J.items(where), F.when(J.filled(where), F.array(where)), F.array().cast("array<variant>")))
 
 
 def _country(address: Column) -> Column:
@@ -58,10 +58,12 @@ def _country(address: Column) -> Column:
 
 
 def _address_text(place: Column) -> Column:
-    address = F.when(J.is_object(place), J.get(place, "address")).otherwise(place)
-    parts = F.filter(F.array(J.scalar(J.get(address, "addressLocality")), J.scalar(J.get(address, "addressRegion")), _country(address)),
-                     lambda x: x.isNotNull() & (x != ""))
-    return F.when(J.is_object(address), F.array_join(parts, ", ")).otherwise(J.scalar(address))
+    def text(address: Column) -> Column:
+        parts = F.filter(F.array(J.scalar(J.get(address, "addressLocality")), J.scalar(J.get(address, "addressRegion")),
+                                 _country(address)), lambda x: x.isNotNull() & (x != ""))
+        return F.when(J.is_object(address), F.array_join(parts, ", ")).otherwise(J.scalar(address))
+
+    return J.let(F.when(J.is_object(place), J.get(place, "address")).otherwise(place), text)
 
 
 def _first_address(p: Column) -> Column:
@@ -75,23 +77,23 @@ def _or(*values: Column) -> Column:
 
 def posting_fields(p: Column) -> dict[str, Column]:
     """Feed columns of a JobPosting node, before conforming."""
-    address, kind = _first_address(p), J.get(p, "employmentType")
+    kind = J.get(p, "employmentType")
+    address = J.let(_first_address(p), lambda a: F.struct(J.text(J.get(a, "addressLocality")).alias("city"),
+                                                          J.text(J.get(a, "addressRegion")).alias("region"), _country(a).alias("country")))
     ident = J.get(p, "identifier")
     telecommute = F.upper(J.scalar(J.get(p, "jobLocationType"))) == "TELECOMMUTE"
     first_kind = F.when(J.items(kind).isNotNull(), F.get(J.items(kind), F.lit(0))).otherwise(kind)
     return {
         "company": J.scalar(J.get(J.get(p, "hiringOrganization"), "name")),
         "title": _or(J.scalar(J.get(p, "title")), J.scalar(J.get(p, "name"))),
-        "own_url": F.nullif(F.trim(F.when(J.is_string(J.get(p, "url")), J.scalar(J.get(p, "url")))), F.lit("")),
+        "own_url": F.nullif(F.trim(J.text(J.get(p, "url"))), F.lit("")),
         "identifier": F.trim(_or(J.scalar(ident), J.scalar(J.get(ident, "value")), J.scalar(J.get(ident, "name")))),
         "location": TX.clean_list(F.transform(_places(p), _address_text)),
         "remote": F.when(telecommute, F.lit(True)),
         "department": F.coalesce(J.readable(J.get(p, "occupationalCategory"), 2), J.readable(J.get(p, "industry"), 2)),
         "posted_text": J.scalar(J.get(p, "datePosted")),
-        "employment_type": F.when(J.is_string(first_kind), J.scalar(first_kind)),
-        "city": F.when(J.is_string(J.get(address, "addressLocality")), J.scalar(J.get(address, "addressLocality"))),
-        "region": F.when(J.is_string(J.get(address, "addressRegion")), J.scalar(J.get(address, "addressRegion"))),
-        "country": _country(address)}
+        "employment_type": J.text(first_kind),
+        "address": address}
 
 
 def unique_fragments(bases: Column) -> Column:
@@ -121,7 +123,7 @@ def page_postings(pages: DataFrame, key: str) -> DataFrame:
     nth = F.size(F.filter(F.slice("bases", 1, F.col("pos") + 1), lambda b: b.isNotNull()))
     url = F.when(F.col("p.own_url").isNotNull(), U.resolve(F.col("final_url"), F.col("p.own_url"))).otherwise(
         U.job_fragment_url(F.col("final_url"), F.try_element_at("names", nth)))
-    return rows.select(key, "pos", "p.*", url.alias("url"))
+    return rows.select(key, "pos", "p.*", "p.address.*", url.alias("url")).drop("address")
 
 
 def _in_row(pages: DataFrame, keep: Sequence[str]) -> DataFrame:

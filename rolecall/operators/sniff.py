@@ -35,35 +35,41 @@ def listing_arrays(data: Column) -> Column:
         return F.coalesce(listed, keyed, F.array().cast(_TODO))
 
     def judged(n: Column) -> Column:
+        def listing(objects: Column) -> Column:
+            sample = F.slice(objects, 1, V.SHARE_SAMPLE)
+            enough = F.size(F.filter(sample, J.looks_like_posting)) >= V.MIN_SHARE * F.size(sample)
+            return F.when((F.size(objects) >= V.MIN_ITEMS) & enough, objects)
+
         objects = F.filter(J.items(n["node"]), J.is_object)
-        sample = F.slice(objects, 1, V.SHARE_SAMPLE)
-        hits = F.size(F.filter(sample, J.looks_like_posting))
-        listing = (F.size(objects) >= V.MIN_ITEMS) & (hits >= V.MIN_SHARE * F.size(sample))
-        return F.struct(n["path"].alias("path"), n["node"].alias("node"), F.when(F.coalesce(listing, F.lit(False)), objects).alias("objects"))
+        return F.struct(n["path"].alias("path"), n["node"].alias("node"), J.let(objects, listing).alias("objects"))
 
     start = F.struct(F.array(F.struct(F.lit("").alias("path"), data.alias("node"))).cast(_TODO).alias("todo"),
                      F.array().cast(_FOUND).alias("found"), F.lit(0).alias("seen"))
 
     def level(acc: Column, _: Column) -> Column:
         todo = F.slice(acc["todo"], 1, F.greatest(F.lit(V.MAX_NODES) - acc["seen"], F.lit(0)))
-        nodes = F.transform(todo, judged)
-        hits = F.filter(nodes, lambda n: n["objects"].isNotNull())
-        rest = F.filter(nodes, lambda n: n["objects"].isNull())
-        return F.struct(
-            F.flatten(F.transform(rest, children)).cast(_TODO).alias("todo"),
-            F.concat(acc["found"], F.transform(hits, lambda n: F.struct(n["path"].alias("path"), n["objects"].alias("objects"))))
-            .cast(_FOUND).alias("found"), (acc["seen"] + F.size(todo)).alias("seen"))
+
+        def split(nodes: Column) -> Column:
+            hits = F.filter(nodes, lambda n: n["objects"].isNotNull())
+            rest = F.filter(nodes, lambda n: n["objects"].isNull())
+            return F.struct(
+                F.flatten(F.transform(rest, children)).cast(_TODO).alias("todo"),
+                F.concat(acc["found"], F.transform(hits, lambda n: F.struct(n["path"].alias("path"), n["objects"].alias("objects"))))
+                .cast(_FOUND).alias("found"), (acc["seen"] + F.size(nodes)).alias("seen"))
+
+        return J.let(F.transform(todo, judged), split)
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(V.MAX_DEPTH)), start, level, lambda acc: acc["found"])
 
 
-def posting_of(item: Column, page_url: Column, as_of: Column | None = None) -> dict[str, Column]:
-    """Feed columns of one object of a listing array; url is NULL when nothing identifies the posting."""
-    e = J.lowered(item)
+def posting_of(e: Column, inside: Column, loose: Column, page_url: Column, as_of: Column | None = None) -> dict[str, Column]:
+    """Feed columns of one object of a listing array; url is NULL when nothing identifies the posting.
+
+    e: its entries; inside: the entries of its location, if that is an object; loose: its bare "type" value.
+    """
     url, ident = J.first_of(e, V.URL_KEYS), J.first_of(e, V.ID_KEYS)
     ident_text = F.when(~J.is_nested(ident), J.scalar(ident))
     where, where_key = J.first_of(e, V.LOCATION_KEYS), J.first_key(e, V.LOCATION_KEYS)
-    inside = J.lowered(where)
     nested, bare = J.is_object(where), where_key == "city"
 
     def part(source: Column, keys: list[str]) -> Column:
@@ -76,14 +82,14 @@ def posting_of(item: Column, page_url: Column, as_of: Column | None = None) -> d
     date = J.first_of(e, V.DATE_KEYS)
     return {
         "title": J.readable(J.first_of(e, V.TITLE_KEYS), 1),
-        "url": F.when(J.is_string(url) & J.scalar(url).rlike("^(https?://|/)"), U.resolve(page_url, J.scalar(url))).when(
+        "url": F.when(J.text(url).rlike("^(https?://|/)"), J.let(J.text(url), lambda u: U.resolve(page_url, u))).when(
             F.coalesce(ident_text, F.lit("")) != "",
             U.job_fragment_url(page_url, F.regexp_replace(ident_text, r"[^A-Za-z0-9._~\-]+", "-"))),
         "location": F.when(bare & ~nested, F.nullif(F.concat_ws(", ", city, region, country), F.lit(""))).otherwise(J.readable(where, 2)),
         "remote": F.when(J.is_true(J.first_of(e, ["isRemote", "remote"])), F.lit(True)),
         "department": J.readable(J.first_of(e, V.DEPARTMENT_KEYS), 2),
-        "posted": F.coalesce(DT.from_epoch(J.number(date)), DT.from_text(F.when(J.is_string(date), J.scalar(date)), as_of)),
-        "employment_type": C.trusted_type(J.readable(J.first_of(e, V.TYPE_KEYS), 1), J.readable(J.get(item, "type"), 1)),
+        "posted": F.coalesce(J.let(J.number(date), DT.from_epoch), J.let(J.text(date), lambda d: DT.from_text(d, as_of))),
+        "employment_type": C.trusted_type(J.readable(J.first_of(e, V.TYPE_KEYS), 1), J.readable(loose, 1)),
         "workplace": J.readable(J.first_of(e, V.WORKPLACE_KEYS), 1),
         "city": city, "region": region, "country": country}
 
@@ -98,7 +104,10 @@ def sniffed_postings(payloads: DataFrame, page: str, page_url: str = "page_url",
                              F.posexplode(listing_arrays(F.col("data"))).alias("array", "found"))
     objects = arrays.select(page, page_url, "payload", "endpoint", "array", F.col("found.path").alias("json_path"),
                             F.posexplode("found.objects").alias("item", "object"))
-    rows = computed(objects, **posting_of(F.col("object"), F.col(page_url), as_of)).drop("object").filter(
+    entries = computed(objects, entries=J.lowered(F.col("object")), loose=J.get(F.col("object"), "type")).drop("object")
+    entries = computed(entries, inside=J.lowered(J.first_of(F.col("entries"), V.LOCATION_KEYS)))
+    fields = posting_of(F.col("entries"), F.col("inside"), F.col("loose"), F.col(page_url), as_of)
+    rows = computed(entries, **fields).drop("entries", "inside", "loose").filter(
         F.col("title").isNotNull() & F.col("url").isNotNull())
     listing = [page, "endpoint", "json_path"]
     order = [F.col("payload"), F.col("array"), F.col("item")]
