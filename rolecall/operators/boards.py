@@ -16,29 +16,27 @@ def page_text(pages: DataFrame, keep: list[str]) -> DataFrame:
     return computed(pages.select(*keep, "url", "final_url", "json_urls", "html"), text=TX.prepare(joined)).select(*keep, "text")
 
 
-def _tokens(text: Column) -> Column:
-    found = []
-    for number, (ats, pattern, groups, lower) in enumerate(V.BOARD_PATTERNS):
-        raw = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _hit(match: Column, nth: Column, number: int) -> Column:
+    """One match of a pattern as the board it names."""
+    ats, pattern, groups, lower = V.BOARD_PATTERNS[number]
+    parts = [F.regexp_extract(match, pattern, g) for g in groups]
+    if len(groups) == 2:
+        token = F.concat(F.lower(parts[0]), F.lit("/"), parts[1])
+    else:
+        token = F.btrim(F.coalesce(F.try_url_decode(parts[0]), parts[0]), F.lit("._-"))
+        token = F.lower(token) if lower else token
+    return F.struct(F.lit(ats).alias("ats"), token.alias("token"), match.alias("match"), F.lit(number).alias("pattern"), nth.alias("nth"))
 
-        def hit(match: Column, i: Column, ats=ats, pattern=pattern, groups=groups, lower=lower, number=number) -> Column:
-            parts = [F.regexp_extract(match, pattern, g) for g in groups]
-            if len(groups) == 2:
-                token = F.concat(F.lower(parts[0]), F.lit("/"), parts[1])
-            else:
-                token = F.btrim(F.coalesce(F.try_url_decode(parts[0]), parts[0]), F.lit("._-"))
-                token = F.lower(token) if lower else token
-            return F.struct(F.lit(ats).alias("ats"), token.alias("token"), match.alias("match"), F.lit(number).alias("pattern"),
-                            i.alias("nth"))
 
-        found.append(F.transform(raw, hit))
-    return F.concat(*found)
+def _hits(text: Column, number: int) -> Column:
+    matches = F.regexp_extract_all(text, F.lit(V.BOARD_PATTERNS[number][1]), F.lit(0))
+    return F.transform(matches, lambda match, nth: _hit(match, nth, number))
 
 
 def mentions(pages: DataFrame, domain: str, order: str) -> DataFrame:
     """Every mention of a readable board: domain, order, ats, token, match, pattern, nth. Most pages stop at one test."""
     text = page_text(pages, [domain, order]).filter(F.col("text").rlike(_HINT))
-    rows = text.select(domain, order, F.inline(_tokens(F.col("text"))))
+    rows = text.select(domain, order, F.inline(F.concat(*[_hits(F.col("text"), i) for i in range(len(V.BOARD_PATTERNS))])))
     site = F.lower(F.substring_index("token", "/", -1))
     ignored = F.lit(False)
     for ats, names in V.IGNORED_TOKENS.items():

@@ -1,3 +1,3 @@
 """All registered queries. Importing this package fills the registry."""
-from . import extraction, history, pages, postings, scalars  # noqa: F401
+from . import extraction, flows, history, pages, postings, scalars  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -19,6 +19,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "rol
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.driver.memory", "12g"))
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

@@ -29,7 +29,7 @@ def board_pages(pages: DataFrame, max_jobs: int = 2000) -> DataFrame:
     before = board.orderBy("page_offset").rowsBetween(Window.unboundedPreceding, -1)
     size = F.coalesce(F.size("items"), F.lit(0))
     first = F.max(F.when(F.col("page_offset") == 0, F.col("total"))).over(board)
-    return (pages.withColumn("wanted", F.least(first, F.lit(max_jobs))).withColumn("board_total", first)
+    return (pages.withColumn("wanted", F.when(first.isNotNull(), F.least(first, F.lit(max_jobs)))).withColumn("board_total", first)
             .withColumn("__had", F.coalesce(F.sum(size).over(before), F.lit(0)))
             .withColumn("take", F.greatest(F.least(F.col("wanted") - F.col("__had"), size), F.lit(0)))
             .filter(F.col("wanted").isNotNull() & (F.col("page_offset") < F.greatest(F.col("wanted"), F.lit(1)))).drop("__had"))
