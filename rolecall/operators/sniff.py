@@ -62,36 +62,40 @@ def listing_arrays(data: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(V.MAX_DEPTH)), start, level, lambda acc: acc["found"])
 
 
-def posting_of(e: Column, inside: Column, loose: Column, page_url: Column, as_of: Column | None = None) -> dict[str, Column]:
-    """Feed columns of one object of a listing array; url is NULL when nothing identifies the posting.
+def _parts(entries: Column) -> dict[str, Column]:
+    """The values a posting is read from, each looked up once among an object's entries."""
+    wanted = {"title": V.TITLE_KEYS, "url": V.URL_KEYS, "ident": V.ID_KEYS, "dept": V.DEPARTMENT_KEYS, "date": V.DATE_KEYS,
+              "kind": V.TYPE_KEYS, "place": V.WORKPLACE_KEYS, "remote": ["isRemote", "remote"],
+              "region": ["state", "region", "province"], "country": ["country", "countryCode"]}
+    return {"v_where": J.first_entry(entries, V.LOCATION_KEYS),
+            **{f"v_{name}": J.first_of(entries, keys) for name, keys in wanted.items()}}
 
-    e: its entries; inside: the entries of its location, if that is an object; loose: its bare "type" value.
-    """
-    url, ident = J.first_of(e, V.URL_KEYS), J.first_of(e, V.ID_KEYS)
-    ident_text = F.when(~J.is_nested(ident), J.scalar(ident))
-    where, where_key = J.first_of(e, V.LOCATION_KEYS), J.first_key(e, V.LOCATION_KEYS)
-    nested, bare = J.is_object(where), where_key == "city"
-
-    def part(source: Column, keys: list[str]) -> Column:
-        return J.readable(J.first_of(source, keys), 1)
-
-    city = F.when(nested, part(inside, ["city", "locality"])).when(bare, J.readable(where, 1))
-    region = F.when(nested, part(inside, ["state", "region", "province", "stateProvince"])).when(
-        bare, part(e, ["state", "region", "province"]))
-    country = F.when(nested, part(inside, ["country", "countryCode", "countryName"])).when(bare, part(e, ["country", "countryCode"]))
-    date = J.first_of(e, V.DATE_KEYS)
+
+def _place(inside: Column) -> dict[str, Column]:
+    """City, region and country of a location object, from its entries."""
+    keys = {"city": ["city", "locality"], "region": ["state", "region", "province", "stateProvince"],
+            "country": ["country", "countryCode", "countryName"]}
+    return {f"in_{name}": J.readable(J.first_of(inside, k), 1) for name, k in keys.items()}
+
+
+def _posting(page_url: Column, as_of: Column | None) -> dict[str, Column]:
+    """Feed columns from the looked-up values; url is NULL when nothing identifies the posting."""
+    where, bare = F.col("v_where.v"), F.coalesce(F.col("v_where.k") == "city", F.lit(False))
+    nested = F.col("inside").isNotNull()
+
+    def part(name: str, alone: Column) -> Column:
+        return F.when(nested, F.col(f"in_{name}")).when(bare, alone)
+
+    city = part("city", J.readable(where, 1))
+    region = part("region", J.readable(F.col("v_region"), 1))
+    country = part("country", J.readable(F.col("v_country"), 1))
     return {
-        "title": J.readable(J.first_of(e, V.TITLE_KEYS), 1),
-        "url": F.when(J.text(url).rlike("^(https?://|/)"), J.let(J.text(url), lambda u: U.resolve(page_url, u))).when(
-            F.coalesce(ident_text, F.lit("")) != "",
-            U.job_fragment_url(page_url, F.regexp_replace(ident_text, r"[^A-Za-z0-9._~\-]+", "-"))),
-        "location": F.when(bare & ~nested, F.nullif(F.concat_ws(", ", city, region, country), F.lit(""))).otherwise(J.readable(where, 2)),
-        "remote": F.when(J.is_true(J.first_of(e, ["isRemote", "remote"])), F.lit(True)),
-        "department": J.readable(J.first_of(e, V.DEPARTMENT_KEYS), 2),
-        "posted": F.coalesce(J.let(J.number(date), DT.from_epoch), J.let(J.text(date), lambda d: DT.from_text(d, as_of))),
-        "employment_type": C.trusted_type(J.readable(J.first_of(e, V.TYPE_KEYS), 1), J.readable(loose, 1)),
-        "workplace": J.readable(J.first_of(e, V.WORKPLACE_KEYS), 1),
-        "city": city, "region": region, "country": country}
+        "title": J.readable(F.col("v_title"), 1), "own_url": J.text(F.col("v_url")), "id_text": J.scalar(F.col("v_ident")),
+        "city": city, "region": region, "country": country, "whole_place": F.when(nested | ~bare, J.readable(where, 2)),
+        "remote": F.when(J.is_true(F.col("v_remote")), F.lit(True)), "department": J.readable(F.col("v_dept"), 2),
+        "number": J.number(F.col("v_date")), "date_text": J.text(F.col("v_date")),
+        "typed": J.readable(F.col("v_kind"), 1), "loose_type": J.readable(F.col("loose"), 1),
+        "workplace": J.readable(F.col("v_place"), 1)}
 
 
 def sniffed_postings(payloads: DataFrame, page: str, page_url: str = "page_url", as_of: Column | None = None) -> DataFrame:
@@ -104,11 +108,22 @@ def sniffed_postings(payloads: DataFrame, page: str, page_url: str = "page_url",
                              F.posexplode(listing_arrays(F.col("data"))).alias("array", "found"))
     objects = arrays.select(page, page_url, "payload", "endpoint", "array", F.col("found.path").alias("json_path"),
                             F.posexplode("found.objects").alias("item", "object"))
-    entries = computed(objects, entries=J.lowered(F.col("object")), loose=J.get(F.col("object"), "type")).drop("object")
-    entries = computed(entries, inside=J.lowered(J.first_of(F.col("entries"), V.LOCATION_KEYS)))
-    fields = posting_of(F.col("entries"), F.col("inside"), F.col("loose"), F.col(page_url), as_of)
-    rows = computed(entries, **fields).drop("entries", "inside", "loose").filter(
-        F.col("title").isNotNull() & F.col("url").isNotNull())
+    keep = [page, "payload", "endpoint", "array", "json_path", "item"]
+    work = computed(objects, entries=J.lowered(F.col("object")), loose=J.get(F.col("object"), "type")).drop("object")
+    work = computed(work, **_parts(F.col("entries"))).drop("entries")
+    work = computed(work, inside=J.lowered(F.col("v_where.v")))
+    work = computed(work, **_place(F.col("inside")))
+    work = computed(work, **_posting(F.col(page_url), as_of))
+    own, ident = F.col("own_url"), F.coalesce("id_text", F.lit(""))
+    url = F.when(own.rlike("^(https?://|/)"), U.resolve(F.col(page_url), own)).when(
+        ident != "", U.job_fragment_url(F.col(page_url), F.regexp_replace(ident, r"[^A-Za-z0-9._~\-]+", "-")))
+    bare = F.col("inside").isNull() & F.coalesce(F.col("v_where.k") == "city", F.lit(False))
+    place = F.when(bare, F.nullif(F.concat_ws(", ", "city", "region", "country"), F.lit(""))).otherwise(F.col("whole_place"))
+    rows = computed(work, url=url, location=place,
+                    posted=F.coalesce(DT.from_epoch(F.col("number")), DT.from_text(F.col("date_text"), as_of)),
+                    employment_type=C.trusted_type(F.col("typed"), F.col("loose_type")))
+    rows = rows.select(*keep, "title", "url", "location", "remote", "department", "posted", "employment_type", "workplace",
+                       "city", "region", "country").filter(F.col("title").isNotNull() & F.col("url").isNotNull())
     listing = [page, "endpoint", "json_path"]
     order = [F.col("payload"), F.col("array"), F.col("item")]
     once = first_per_key(rows, [*listing, "url"], order)
