@@ -46,11 +46,12 @@ def number_rows(df: DataFrame, key: str, into: str, start: int = 1, buckets: int
 # ---- upsert ----
 
 def batch_postings(batch: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """A batch reduced to one row per key: the last row's fields, the run and domain of that row, NULL keys left out."""
+    """A batch reduced to one row per key: the last row's fields, run and domain, when it was seen first, NULL keys left out."""
     fields = POSTING_FIELDS if fields is None else fields
     rows = batch.filter(F.coalesce("url_key", F.lit("")) != "")
     return rows.groupBy("url_key").agg(
-        F.max_by(F.struct("domain", "run_id", "seen_at", *fields), F.struct("run_id", "pos")).alias("r")).select("url_key", "r.*")
+        F.max_by(F.struct("domain", "run_id", "seen_at", *fields), F.struct("run_id", "pos")).alias("r"),
+        F.min("seen_at").alias("first_at")).select("url_key", "first_at", "r.*")
 
 
 def upsert(snapshot: DataFrame, batch: DataFrame, fields: list[str] | None = None) -> DataFrame:
@@ -60,7 +61,7 @@ def upsert(snapshot: DataFrame, batch: DataFrame, fields: list[str] | None = Non
     New postings get the ids after the largest one. Both sides have one row per key, so the join cannot skew.
     """
     fields = POSTING_FIELDS if fields is None else fields
-    new = batch_postings(batch, fields).withColumnsRenamed({"domain": "n_domain", "run_id": "n_run", "seen_at": "n_seen",
+    new = batch_postings(batch, fields).withColumnsRenamed({"first_at": "n_first", "domain": "n_domain", "run_id": "n_run", "seen_at": "n_seen",
                                                             **{f: f"n_{f}" for f in fields}})
     both = snapshot.withColumn("__old", F.lit(True)).join(new, "url_key", "full_outer")
     seen, old = F.col("n_run").isNotNull(), F.coalesce("__old", F.lit(False))
@@ -73,7 +74,7 @@ def upsert(snapshot: DataFrame, batch: DataFrame, fields: list[str] | None = Non
         differs = differs | ~F.col(f).eqNullSafe(F.col(f"n_{f}"))
     merged = both.select(
         "posting_id", "url_key", newest("domain").alias("domain"), *[newest(f).alias(f) for f in fields],
-        F.coalesce("first_seen", "n_seen").alias("first_seen"),
+        F.coalesce("first_seen", "n_first").alias("first_seen"),
         F.when(seen, F.col("n_seen")).otherwise(F.col("last_seen")).alias("last_seen"),
         F.when(~seen, F.col("missing_since")).alias("missing_since"), F.when(~seen, F.col("closed_at")).alias("closed_at"),
         F.when(seen, F.col("n_run")).otherwise(F.col("last_run_id")).alias("last_run_id"),

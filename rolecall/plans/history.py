@@ -123,12 +123,13 @@ _UPSERT = f"""{LOG}, old AS (SELECT posting_id AS url_key, max(run_id) AS last_r
       TIMESTAMP '2024-01-01' + to_days((min(run_id) // 10)::INTEGER) AS first_seen, TIMESTAMP '2024-01-01' + to_days((max(run_id) // 10)::INTEGER) AS last_seen
       FROM listed WHERE run_id < 200 GROUP BY 1),
     new AS (SELECT posting_id AS url_key, max(run_id) AS last_run_id, arg_max(domain, run_id) AS domain, arg_max(title, run_id) AS title,
-      TIMESTAMP '2024-01-01' + to_days((max(run_id) // 10)::INTEGER) AS seen FROM listed WHERE run_id >= 200 GROUP BY 1)"""
+      TIMESTAMP '2024-01-01' + to_days((max(run_id) // 10)::INTEGER) AS seen, TIMESTAMP '2024-01-01' + to_days((min(run_id) // 10)::INTEGER) AS seen_first
+      FROM listed WHERE run_id >= 200 GROUP BY 1)"""
 
 
 @query("posting_upsert", f"""
     WITH {_UPSERT} SELECT coalesce(n.url_key, o.url_key)::VARCHAR AS url_key, coalesce(n.domain, o.domain) AS domain, coalesce(n.title, o.title) AS title,
-      coalesce(o.first_seen, n.seen) AS first_seen, coalesce(n.seen, o.last_seen) AS last_seen,
+      coalesce(o.first_seen, n.seen_first) AS first_seen, coalesce(n.seen, o.last_seen) AS last_seen,
       CASE WHEN n.url_key IS NULL THEN o.last_seen END AS missing_since, coalesce(n.last_run_id, o.last_run_id) AS last_run_id,
       n.url_key IS NOT NULL AND (o.url_key IS NULL OR o.title IS DISTINCT FROM n.title) AS changed
     FROM old o FULL JOIN new n ON n.url_key = o.url_key""")

@@ -16,8 +16,9 @@ def test_fold_equals_full_decomposition_for_letters_in_use(spark):
              if unicodedata.category(chr(c)) in ("Lu", "Ll", "Nd", "Zs")]
     words = [f"a{c}b" for c in chars]
     got = column(spark, words, TX.fold)
-    wrong = [(w, g, TX.fold_text(w)) for w, g in zip(words, got) if g != TX.fold_text(w)]
-    assert len(wrong) < 12, wrong     # letters whose case folding gives several letters (ŉ, ǰ, ΐ, ẖ…)
+    # a letter folding to several letters (ŉ, ǆ…) is for fold_exact, unless listed in EXPANSIONS; every other one must agree
+    single = [(w, g) for c, w, g in zip(chars, words, got) if len(TX.fold_text(c)) <= 1 or c in TX.EXPANSIONS]
+    assert [(w, g) for w, g in single if g != TX.fold_text(w)] == [] and len(words) - len(single) < 20
     assert column(spark, ["São  Paulo", "STRASSE", "Straße", "Côte d’Ivoire", "U.S.A."], TX.fold) == [
         "sao paulo", "strasse", "strasse", "cote divoire", "usa"]
 
