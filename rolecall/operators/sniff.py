@@ -1,7 +1,7 @@
 """Postings in the JSON a rendered page loaded: which arrays are listings, and reading their objects."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import classify as C, dates as DT, urls as U, variants as J, vocab as V
 from .keyed import computed, first_per_key, top_per_key
@@ -126,10 +126,13 @@ def sniffed_postings(payloads: DataFrame, page: str, page_url: str = "page_url",
                        "city", "region", "country").filter(F.col("title").isNotNull() & F.col("url").isNotNull())
     listing = [page, "endpoint", "json_path"]
     order = [F.col("payload"), F.col("array"), F.col("item")]
-    once = first_per_key(rows, [*listing, "url"], order)
-    sizes = once.groupBy(*listing).agg(F.count("*").alias("postings"), F.min(F.struct("payload", "array")).alias("__first"))
-    best = top_per_key(sizes.filter(F.col("postings") >= V.MIN_ITEMS), [page], [F.col("postings").desc(), F.col("__first")], 1)
-    return once.join(best.select(*listing), listing, "left_semi").withColumn("source", F.lit("json-sniffed"))
+    # a page brings at most thirty responses of two megabytes (`captured`), so one page always fits one task: with the rows
+    # placed by page once, the three steps below need no further shuffle and nothing is read from the JSON twice
+    once = first_per_key(rows.repartition(page), [*listing, "url"], order)
+    same, ranked = Window.partitionBy(*listing), Window.partitionBy(page).orderBy(F.col("__n").desc(), "__first")
+    sized = once.withColumns({"__n": F.count("*").over(same), "__first": F.min(F.struct("payload", "array")).over(same)})
+    best = sized.filter(F.col("__n") >= V.MIN_ITEMS).withColumn("__rank", F.rank().over(ranked)).filter(F.col("__rank") == 1)
+    return best.drop("__n", "__first", "__rank").withColumn("source", F.lit("json-sniffed"))
 
 
 def payload_profile(payloads: DataFrame, keep: list[str], max_depth: int = 5, max_keys: int = 12, max_arrays: int = 10) -> DataFrame:

@@ -35,8 +35,11 @@ def filtered_rows(matching: DataFrame, filters: str, total: int, fields: list[st
 
 
 def write_companies(postings: DataFrame, path: str, fields: list[str] | None = None, filtered: bool = False) -> None:
-    """One folder per company, replacing only the companies written. A large company is spread over several files."""
-    rows = export_columns(postings, fields, "domain")
+    """One folder per company, replacing only the companies written.
+
+    Rows are rebalanced by company first: small companies share a task, a large one is split over several.
+    """
+    rows = export_columns(postings, fields, "domain").hint("rebalance", "domain")
     (rows.write.mode("overwrite").partitionBy("domain").option("partitionOverwriteMode", "dynamic").option("header", True)
      .option("maxRecordsPerFile", 1_000_000).csv(f"{path}{'_filtered' if filtered else ''}"))
 
