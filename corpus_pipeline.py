@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rolecall.llm import mixing, packing, quality, repeats, simhash
 from rolecall.llm.exchange import prepare, stored
-from rolecall.llm.queries import DOMAIN, WEIGHTS
+from rolecall.llm.queries import WEIGHTS, domain
 
 ORACLE_SQL = None
 
@@ -37,7 +37,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Four fifths of the tokens, by the weights of domains and languages."""
-    return mixing.keep_mixed(docs, DOMAIN, WEIGHTS, budget_share=0.8, seed=7)
+    return mixing.keep_mixed(docs, domain(), WEIGHTS, budget_share=0.8, seed=7)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

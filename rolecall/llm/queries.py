@@ -5,7 +5,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import crosspolytope, katz, licenses, mixing, packing, quality, repeats, rollups, simhash, tokens, topk
 from ..session import shared_folder
@@ -73,7 +73,11 @@ def op6_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5, scale=256)
 
 
-DOMAIN = F.when(F.col("source") == "src0", "web").when(F.length("source") == 4, "reference").when(F.col("source").isNotNull(), "forum")
+def domain() -> Column:
+    """Domain of a source: one large crawl, the numbered reference sources, forums."""
+    return F.when(F.col("source") == "src0", "web").when(F.length("source") == 4, "reference").when(F.col("source").isNotNull(), "forum")
+
+
 DOMAIN_SQL = "CASE WHEN source = 'src0' THEN 'web' WHEN length(source) = 4 THEN 'reference' WHEN source IS NOT NULL THEN 'forum' ELSE 'none' END"
 WEIGHTS = {"domain": {"web": 2.0, "reference": 5.0, "forum": 3.0}, "lang": {"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}}
 
@@ -81,7 +85,7 @@ WEIGHTS = {"domain": {"web": 2.0, "reference": 5.0, "forum": 3.0}, "lang": {"en"
 @_query(mixing.mix_sql(DOMAIN_SQL, WEIGHTS, 0.5, 2, 7))
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Half of all tokens, by the weights of domains and languages."""
-    return mixing.mix(_read(spark, folder, "documents"), DOMAIN, WEIGHTS, budget_share=0.5, max_epochs=2, seed=7)
+    return mixing.mix(_read(spark, folder, "documents"), domain(), WEIGHTS, budget_share=0.5, max_epochs=2, seed=7)
 
 
 @_query(licenses.scan_sql())

@@ -13,7 +13,7 @@ from .exchange import prepare, stored
 
 HEAVY = 4096
 PIVOTS = 12
-LANE_STEP = np.uint64(0x9E3779B97F4A7C15)
+LANE_STEP = 0x9E3779B97F4A7C15
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -37,7 +37,7 @@ def fingerprint(text: str | None, words: int, lanes: int = 1, block: int = 65_53
         shingles = map(b" ".join, zip(*spread, strict=False)) if len(tokens) >= words else [b" ".join(tokens)]
         h = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, stop - start)
         for lane in range(lanes):
-            x = h if lane == 0 else _mix(h + LANE_STEP * np.uint64(lane))
+            x = h if lane == 0 else _mix(h + np.uint64(LANE_STEP * lane & 0xFFFFFFFFFFFFFFFF))
             counts[64 * lane:64 * lane + 64] += np.unpackbits(x.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int32)
     return np.packbits(counts * 2 > n).tobytes()
 
