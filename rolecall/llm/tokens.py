@@ -1,18 +1,32 @@
 """Token ids of whole texts, with a cache of words.
 
 The byte-level tokenizer cuts a text before every single space that stands between two other characters, whatever
-follows. Words are therefore encoded once per worker and looked up afterwards. Texts with white space on both sides of
-a space, or with the name of a special token, are encoded whole.
+follows. Words are therefore encoded once per worker and looked up afterwards. Texts with white space after a space, or
+with the name of a special token, are encoded whole.
 """
 from __future__ import annotations
 
+import os
 import re
+from array import array
 
 import numpy as np
 
 END = np.array([1], "<u4").tobytes()
 CACHE_WORDS = 1_500_000
-_APART = re.compile(r"\s \s|  ")
+_APART = re.compile(r" \s")
+
+
+class _Numbers(dict):
+    """Words numbered as they are first asked for; `new` lists those not yet encoded."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
 
 
 class Encoder:
@@ -21,11 +35,12 @@ class Encoder:
     _shared: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
+        self.words, self.ids = _Numbers(), []
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -35,33 +50,32 @@ class Encoder:
         return cls._shared[path]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; NULL is empty text."""
         texts = [t or "" for t in texts]
+        if len(self.words) > CACHE_WORDS:
+            self.words, self.ids = _Numbers(), []
         out: list[bytes | None] = [None] * len(texts)
-        cut: dict[int, list[str]] = {}
-        whole = []
+        cut: dict[int, list[int]] = {}
+        whole, number = [], self.words.__getitem__
         for i, t in enumerate(texts):
-            if _APART.search(t) or any(s in t for s in self.special):
+            if _APART.search(t) or "\0" in t or any(s in t for s in self.special):
                 whole.append(i)
             elif t:
                 head, *rest = t.split(" ")
-                cut[i] = [f"\0{head}", *rest]  # the first word has no space before it
+                cut[i] = list(map(number, [f"\0{head}", *rest]))  # the first word has no space before it
             else:
                 out[i] = b""
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        new = list(set().union(*cut.values()).difference(self.words))
+        new, self.words.new = self.words.new, []
         for at in range(0, len(new), 5000):
-            some = new[at:at + 5000]
-            self.words.update(zip(some, self._ids([w[1:] if w[:1] == "\0" else f" {w}" for w in some]), strict=True))
-        get = self.words.__getitem__
-        for i, words in cut.items():
-            out[i] = b"".join(map(get, words))
+            self.ids += self._ids([w[1:] if w[:1] == "\0" else f" {w}" for w in new[at:at + 5000]])
+        get = self.ids.__getitem__
+        for i, numbers in cut.items():
+            out[i] = b"".join(map(get, numbers))
         return out
 
 
