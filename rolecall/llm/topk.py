@@ -12,26 +12,31 @@ QUERIES = 2_048
 SEGMENTS = 16
 
 
-def build(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Postings of each dimension in rising order of value, and the bounds of its segments.
-
-    Returns order (dims, n), the values in that order, and for each dimension the n + 1 cut points of its quantised
-    segments (equal shares of the postings).
-    """
+def build(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Postings of each dimension in rising order of value: row numbers (dims, n), and their values."""
     order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32)
-    ranked = np.take_along_axis(values.T, order, 1)
-    cuts = np.linspace(0, len(values), SEGMENTS + 1).astype(np.int64)
-    return order, ranked, cuts
+    return order, np.take_along_axis(values.T, order, 1)
+
+
+def segments(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cut points of a dimension's segments (equal shares of its postings), and each row's segment in each dimension."""
+    dims, n = order.shape
+    cuts = np.linspace(0, n, SEGMENTS + 1).astype(np.int64)
+    of = np.empty((n, dims), np.uint8)
+    number = np.repeat(np.arange(SEGMENTS, dtype=np.uint8), np.diff(cuts))
+    for d in range(dims):
+        of[order[d], d] = number
+    return cuts, of
 
 
-def search(query: np.ndarray, values: np.ndarray, index: tuple, k: int) -> np.ndarray:
-    """Row numbers that can be among the k best for the query: all rows that are, and perhaps some that aren't.
+def search(query: np.ndarray, values: np.ndarray, order: np.ndarray, ranked: np.ndarray, cuts: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
+    """Row numbers that hold the k best for the query, and few others.
 
-    Segments are processed by descending impact, the largest product any of its postings can add over the dimension's
-    worst. A row's score so far plus the best (worst) its unseen dimensions can add bounds its score. The search stops
-    when the rows whose upper bound reaches the k-th best lower bound are few, or every segment has been processed.
+    Segments are processed by descending impact, the largest product any of their postings can add over the dimension's
+    worst. After a quarter of them the rows ahead are scored exactly; their k-th score is one that the k best reach. From
+    then on a row's score so far and the most its unseen dimensions can add bound its score: the search stops when only
+    a sixteenth of the rows can still reach it, or when every segment has been processed.
     """
-    order, ranked, cuts = index
     n, dims = values.shape
     if n <= 4 * k + 64:
         return np.arange(n)
@@ -39,29 +44,28 @@ def search(query: np.ndarray, values: np.ndarray, index: tuple, k: int) -> np.nd
     up = query >= 0
     upper = np.where(up[:, None], query[:, None] * high, query[:, None] * low)
     worst = np.where(up, query * ranked[:, 0], query * ranked[:, -1])
-    impact = upper - worst[:, None]
-    sequence = np.argsort(-impact, axis=None, kind="stable")
-    at_dim, at_segment = np.divmod(sequence, SEGMENTS)
-    score = np.zeros(n, np.int64)
-    unseen = np.ones((n, dims), bool)
-    left = np.full(dims, SEGMENTS)
-    checks = {int(len(sequence) * f) for f in (0.5, 0.7, 0.85, 0.95)} | {len(sequence)}
-    for done, (d, s) in enumerate(zip(at_dim.tolist(), at_segment.tolist(), strict=True), 1):
-        span = slice(cuts[s], cuts[s + 1])
-        rows = order[d, span]
-        score[rows] += query[d] * ranked[d, span]
-        unseen[rows, d] = False
-        left[d] -= 1
-        if done in checks:
-            # segments of a dimension are processed in order, so the next one bounds what is unseen
-            coming = np.where(up, left - 1, SEGMENTS - left).clip(0, SEGMENTS - 1)
-            bound = np.where(left > 0, upper[np.arange(dims), coming], 0)
-            hidden = unseen.astype(np.float64)
-            best = score + hidden @ bound.astype(np.float64)
-            sure = score + hidden @ np.where(left > 0, worst, 0).astype(np.float64)
-            open_rows = np.flatnonzero(best >= np.partition(sure, n - k)[n - k] - 0.5)
-            if len(open_rows) <= 4 * k + 64:
-                return open_rows
+    sequence = np.argsort(-(upper - worst[:, None]), axis=None, kind="stable")
+    at_dim, at_segment = (x.tolist() for x in np.divmod(sequence, SEGMENTS))
+    score, left, done = np.zeros(n, np.int64), np.full(dims, SEGMENTS), 0
+    floor, starts, factors = None, cuts.tolist(), query.tolist()
+    for share in (0.25, 0.4, 0.5, 0.6, 0.75, 1.0):
+        stop = max(1, int(len(sequence) * share)) if share < 1 else len(sequence)
+        for d, s in zip(at_dim[done:stop], at_segment[done:stop], strict=True):
+            span = slice(starts[s], starts[s + 1])
+            score[order[d, span]] += factors[d] * ranked[d, span]
+        left -= np.bincount(at_dim[done:stop], minlength=dims)
+        done = stop
+        if floor is None:
+            ahead = np.argpartition(score, n - 4 * k - 1)[n - 4 * k - 1:]
+            floor = np.sort(values[ahead] @ query)[-k]
+        # segments of a dimension are processed in order, so the next one bounds what is unseen
+        coming = np.where(up, left - 1, SEGMENTS - left).clip(0, SEGMENTS - 1)
+        bound = np.where(left > 0, upper[np.arange(dims), coming], 0)
+        unseen = np.where(up, of < left, of >= SEGMENTS - left)
+        rounding = 1 + 1e-5 * float(np.abs(bound).sum())
+        open_rows = np.flatnonzero(score + unseen.astype(np.float32) @ bound.astype(np.float32) >= floor - rounding)
+        if len(open_rows) <= max(4 * k + 64, n // 16):
+            break
     return open_rows
 
 
@@ -92,7 +96,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256)
 
     def put(group: pd.DataFrame) -> pd.DataFrame:
         values = np.stack(group["e"].to_numpy()).astype(np.int64).reshape(len(group), -1)
-        order, ranked, _ = build(values)
+        order, ranked = build(values)
         return pd.DataFrame([(int(group["b"].iloc[0]), int(group["width"].iloc[0]), pack(group["vec_id"].to_numpy(np.int64), values.ravel(), order.ravel(), ranked.ravel()))],
                             columns=["b", "width", "blob"])
 
@@ -111,12 +115,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256)
             ids, values, order, ranked = unpack(a["blob"].iloc[0])
             n = len(ids)
             values, order, ranked = values.reshape(n, -1), order.reshape(-1, n), ranked.reshape(-1, n)
-            built = (order, ranked, np.linspace(0, n, SEGMENTS + 1).astype(np.int64))
+            cuts, of = segments(order)
             query_ids, questions = unpack(b["blob"].iloc[0])
             for query_id, query in zip(query_ids, questions.reshape(len(query_ids), -1), strict=True):
                 # one more than k for each row of the query's own
                 own = int((ids == query_id).sum())
-                near = search(query, values, built, min(n, k + own)) if values.shape[1] else np.arange(n)
+                near = search(query, values, order, ranked, cuts, of, min(n, k + own)) if values.shape[1] else np.arange(n)
                 near = near[ids[near] != query_id]
                 exact = values[near] @ query
                 best = np.lexsort((ids[near], -exact))[:k]
