@@ -14,18 +14,18 @@ SEGMENTS = 16
 
 def build(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Postings of each dimension in rising order of value: row numbers (dims, n), and their values."""
-    order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32)
-    return order, np.take_along_axis(values.T, order, 1)
+    order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T.astype(np.int32))
+    return order, np.take_along_axis(np.ascontiguousarray(values.T), order, 1)
 
 
 def segments(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cut points of a dimension's segments (equal shares of its postings), and each row's segment in each dimension."""
     dims, n = order.shape
     cuts = np.linspace(0, n, SEGMENTS + 1).astype(np.int64)
-    of = np.empty((n, dims), np.uint8)
+    of = np.empty((dims, n), np.uint8)
     number = np.repeat(np.arange(SEGMENTS, dtype=np.uint8), np.diff(cuts))
     for d in range(dims):
-        of[order[d], d] = number
+        of[d, order[d]] = number
     return cuts, of
 
 
@@ -35,7 +35,7 @@ def search(query: np.ndarray, values: np.ndarray, order: np.ndarray, ranked: np.
     Segments are processed by descending impact, the largest product any of their postings can add over the dimension's
     worst. After a quarter of them the rows ahead are scored exactly; their k-th score is one that the k best reach. From
     then on a row's score so far and the most its unseen dimensions can add bound its score: the search stops when only
-    a sixteenth of the rows can still reach it, or when every segment has been processed.
+    an eighth of the rows can still reach it, or when every segment has been processed.
     """
     n, dims = values.shape
     if n <= 4 * k + 64:
@@ -48,7 +48,7 @@ def search(query: np.ndarray, values: np.ndarray, order: np.ndarray, ranked: np.
     at_dim, at_segment = (x.tolist() for x in np.divmod(sequence, SEGMENTS))
     score, left, done = np.zeros(n, np.int64), np.full(dims, SEGMENTS), 0
     floor, starts, factors = None, cuts.tolist(), query.tolist()
-    for share in (0.25, 0.4, 0.5, 0.6, 0.75, 1.0):
+    for share in (0.25, 0.35, 0.45, 0.6, 1.0):
         stop = max(1, int(len(sequence) * share)) if share < 1 else len(sequence)
         for d, s in zip(at_dim[done:stop], at_segment[done:stop], strict=True):
             span = slice(starts[s], starts[s + 1])
@@ -61,10 +61,10 @@ def search(query: np.ndarray, values: np.ndarray, order: np.ndarray, ranked: np.
         # segments of a dimension are processed in order, so the next one bounds what is unseen
         coming = np.where(up, left - 1, SEGMENTS - left).clip(0, SEGMENTS - 1)
         bound = np.where(left > 0, upper[np.arange(dims), coming], 0)
-        unseen = np.where(up, of < left, of >= SEGMENTS - left)
+        unseen = (of < np.where(up, left, SEGMENTS - left).astype(np.uint8)[:, None]) ^ ~up[:, None]
         rounding = 1 + 1e-5 * float(np.abs(bound).sum())
-        open_rows = np.flatnonzero(score + unseen.astype(np.float32) @ bound.astype(np.float32) >= floor - rounding)
-        if len(open_rows) <= max(4 * k + 64, n // 16):
+        open_rows = np.flatnonzero(score + bound.astype(np.float32) @ unseen.astype(np.float32) >= floor - rounding)
+        if len(open_rows) <= max(4 * k + 64, n // 8):
             break
     return open_rows
 
@@ -116,6 +116,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256)
             n = len(ids)
             values, order, ranked = values.reshape(n, -1), order.reshape(-1, n), ranked.reshape(-1, n)
             cuts, of = segments(order)
+            order = order.astype(np.intp)
             query_ids, questions = unpack(b["blob"].iloc[0])
             for query_id, query in zip(query_ids, questions.reshape(len(query_ids), -1), strict=True):
                 # one more than k for each row of the query's own
