@@ -24,7 +24,8 @@ from .exchange import (ask, bytes_table, chunked, pack, partitions, prepare, sor
 
 U = np.uint64
 SEED = np.random.default_rng(77).integers(0, 2 ** 63, 256, U)
-SEGMENT = 1_500_000
+SEGMENT = 500_000
+CHUNK = 6_000_000
 ALONE, MARKED, SENT_MARKED, SENT = 0, 1, 2, 3
 
 
@@ -185,7 +186,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, text_column: str = "text"
     added = ["n_bytes", "n_removed", "spans", "kept"]
     keep = [f for f in docs.schema.fields if f.name not in added]
     rows = docs.select(*[F.col(f"`{f.name}`") for f in keep])
-    chunks = chunked(rows, table_bytes, size=text_column)
+    chunks = chunked(rows, table_bytes, size=text_column, limit=CHUNK)
     parts = partitions(spark, total_size(chunks))
 
     def questions(chunk: str, payload: bytes) -> pd.DataFrame:
