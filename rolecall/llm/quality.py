@@ -118,7 +118,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, shrinka
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs that the classifier accepts, all columns kept and no row moved."""
     prepare(docs.sparkSession)
-    model = fit(stored(with_statistics(docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")), "statistics"), labels)
+    model = fit(stored(with_statistics(docs), "statistics"), labels)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
