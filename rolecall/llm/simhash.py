@@ -8,6 +8,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.keyed import with_known_size
 from .components import components
 from .exchange import prepare, stored
 
@@ -126,6 +127,7 @@ def links(distinct: DataFrame, most: int, bands: int, digits: int, per_group: in
     rows = distinct.select(F.unhex("fingerprint").alias("fp"), F.inline(cut))
     heavy = (rows.groupBy("band", "value").count().filter(F.col("count") > HEAVY)
              .select("band", "value", F.ceil(F.col("count") / HEAVY).cast("int").alias("tiles")))
+    heavy = with_known_size(stored(heavy, "heavy"))
     tile = F.pmod(F.xxhash64("fp"), F.coalesce("tiles", F.lit(1))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1))
     tiled = (rows.join(heavy, ["band", "value"], "left").withColumn("tile", tile).withColumn("other", other)
