@@ -13,7 +13,7 @@ from array import array
 import numpy as np
 
 END = np.array([1], "<u4").tobytes()
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 600_000
 _APART = re.compile(r" \s")
 
 
@@ -56,7 +56,11 @@ class Encoder:
         """Ids of each text; NULL is empty text."""
         texts = [t or "" for t in texts]
         if len(self.words) > CACHE_WORDS:
-            self.words, self.ids = _Numbers(), []
+            # words met early are the common ones: the first half stays
+            keep = CACHE_WORDS // 2
+            words = _Numbers()
+            words.update((w, i) for w, i in self.words.items() if i < keep)
+            self.words, self.ids = words, self.ids[:keep]
         out: list[bytes | None] = [None] * len(texts)
         cut: dict[int, list[int]] = {}
         whole, number = [], self.words.__getitem__
