@@ -25,11 +25,12 @@ def first_sightings(listings: DataFrame, key: str = "url_key") -> DataFrame:
 
 
 def mark_new(batch: DataFrame, known: DataFrame, key: str = "url_key") -> DataFrame:
-    """One batch: is_new is true for the first row (by pos) of a key that is no posting yet."""
-    fresh = (batch.filter(F.col(key).cast("string") != "").groupBy(key).agg(F.min("pos").alias("__pos"))
+    """One batch: is_new is true for the first row of a key that is no posting yet, by run (if the batch has runs), then pos."""
+    place = F.struct(*[c for c in ("run_id", "pos") if c in batch.columns])
+    fresh = (batch.filter(F.col(key).cast("string") != "").groupBy(key).agg(F.min(place).alias("__first"))
              .join(known.select(key), key, "left_anti"))
-    return (batch.join(fresh, key, "left").withColumn("is_new", F.coalesce(F.col("pos") == F.col("__pos"), F.lit(False)))
-            .drop("__pos"))
+    return (batch.join(fresh, key, "left").withColumn("is_new", F.coalesce(place == F.col("__first"), F.lit(False)))
+            .drop("__first"))
 
 
 def number_rows(df: DataFrame, key: str, into: str, start: int = 1, buckets: int = 1024) -> DataFrame:

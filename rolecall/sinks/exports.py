@@ -59,9 +59,10 @@ def manifest(spark: SparkSession, path: str, session_start: Column) -> DataFrame
     lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").option("header", True)
              .schema("first STRING").option("enforceSchema", True).csv(path)
              .groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("rows")))
-    name = F.substring_index("path", "/", -1)
-    joined = files.withColumn("name", name).join(
-        lines.select(F.substring_index("file", "/", -1).alias("name"), "rows"), "name", "left")
+    # by whole path: exports of several companies repeat base names; the two readers write file:/ differently
+    at = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    joined = files.withColumn("name", F.substring_index("path", "/", -1)).withColumn("at", at("path")).join(
+        lines.select(at("file").alias("at"), "rows"), "at", "left")
     return (joined.select("name", F.coalesce("rows", F.lit(0)).alias("rows"), "size", "written",
                           (F.col("written") >= session_start).alias("this_session"))
             .orderBy(F.desc("this_session"), F.desc("written"), "name"))
