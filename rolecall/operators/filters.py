@@ -149,7 +149,10 @@ def matching_counts(df: DataFrame, f: JobFilter, gazetteer: Gazetteer) -> DataFr
 
 
 def hidden_by_unknown(df: DataFrame, f: JobFilter, gazetteer: Gazetteer) -> DataFrame:
-    """Rows a filter leaves out only because the field is not stated: one count column per narrowing field."""
+    """Rows a filter leaves out only because the field is not stated: one count column per narrowing field.
+
+    If no field narrows, nothing is hidden: zero for each of them.
+    """
     f = f.checked(gazetteer)
     tests = conditions(f, gazetteer)
     counts = []
@@ -160,7 +163,7 @@ def hidden_by_unknown(df: DataFrame, f: JobFilter, gazetteer: Gazetteer) -> Data
         others = reduce(lambda a, b: a & b, [c for n, c in tests.items() if n != name], F.lit(True))
         counts.append(F.count_if(others & F.col(name).isNull()).alias(name))
     if not counts:
-        return df.sparkSession.range(0).select()
+        return df.agg(*[F.lit(0).cast("bigint").alias(n) for n in ("workplace", "employment_type", "country")])
     return _with_tokens(df, f).agg(*counts)
 
 
