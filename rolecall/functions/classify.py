@@ -54,12 +54,10 @@ def page_title(html: Column) -> Column:
 
 
 def is_challenge(html: Column) -> Column:
-    """A bot-protection page: by its title, or by a marker in the body of a small page with hardly any link."""
-    head = F.substring(html, 1, V.CHALLENGE_TITLE_WITHIN)
-    by_title = collapse(F.regexp_extract(head, r"(?is)<title[^>]*>(.*?)</title>", 1)).rlike(V.CHALLENGE_TITLE)
-    small = (F.length(html) <= V.CHALLENGE_MAX_HTML) & (
-        F.regexp_count(html, F.lit("(?i)<a ")) < V.CHALLENGE_MAX_LINKS)
-    return F.coalesce((html != "") & (by_title | (small & html.rlike(V.CHALLENGE_BODY))), F.lit(False))
+    """A bot-protection page: by its title, or by a marker in the body of a page with hardly any link."""
+    by_title = collapse(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)).rlike(V.CHALLENGE_TITLE)
+    bare = F.regexp_count(html, F.lit("(?i)<a ")) < V.CHALLENGE_MAX_LINKS
+    return F.coalesce((html != "") & (by_title | (bare & html.rlike(V.CHALLENGE_BODY))), F.lit(False))
 
 
 def is_blocked(status: Column, challenge: Column) -> Column:

@@ -1,9 +1,11 @@
 """Text expressions: cleaning, folding, slugs, names, whole words. All stay inside the JVM."""
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from functools import lru_cache
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -79,10 +81,10 @@ def fold_exact(texts: pd.Series) -> pd.Series:
     return texts.map(fold_text, na_action="ignore")
 
 
-def slug(c: Column, length: int = 80) -> Column:
-    """Runs of anything but a-z and 0-9 become '-', ends stripped, cut to `length`."""
+def slug(c: Column) -> Column:
+    """Runs of anything but a-z and 0-9 become '-', ends stripped."""
     dashed = F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-")
-    return F.substring(F.btrim(dashed, F.lit("-")), 1, length)
+    return F.btrim(dashed, F.lit("-"))
 
 
 def title_case(c: Column) -> Column:
@@ -161,14 +163,34 @@ def _decode_number(part: Column) -> Column:
         F.concat(F.lit("&"), part))
 
 
+@lru_cache(maxsize=1)
+def _all_names() -> str:
+    """Every HTML5 name that ends in ';' and its characters, as JSON."""
+    return json.dumps({name[:-1]: chars for name, chars in html5.items() if name.endswith(";") and name not in ("amp;", "AMP;")})
+
+
+def _decode_names(text: Column) -> Column:
+    """'&euro;' and the like, by one look-up in the table of names for each '&'."""
+    names = F.from_json(F.lit(_all_names()), "map<string,string>")
+    parts = F.split(text, "&")
+
+    def decoded(part: Column) -> Column:
+        name = F.substring_index(part, ";", 1)
+        chars = F.when(part.rlike("^[A-Za-z][A-Za-z0-9]*;"), F.try_element_at(names, name))
+        return F.coalesce(F.concat(chars, F.substr(part, F.length(name) + 2)), F.concat(F.lit("&"), part))
+
+    return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decoded), ""))
+
+
 def unescape(c: Column) -> Column:
-    """Undo HTML references: every numeric one and the named ones listed above."""
+    """Undo HTML references: numeric ones and all named ones of HTML5; the usual names go by plain replacement."""
     parts = F.split(c, "&")
     numeric = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), _decode_number), ""))
     text = F.when(F.contains(c, F.lit("&#")), numeric).otherwise(c)
     for name, char in NAMED_ENTITIES.items():
         text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+    rare = text.rlike("&(?!amp;)[A-Za-z][A-Za-z0-9]*;")
+    return F.replace(F.when(rare, _decode_names(text)).otherwise(text), F.lit("&amp;"), F.lit("&"))
 
 
 def unescape_markup(c: Column) -> Column:
@@ -176,13 +198,6 @@ def unescape_markup(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), unescape(c)).otherwise(c)
 
 
-@F.pandas_udf(StringType())
-def unescape_full(texts: pd.Series) -> pd.Series:
-    """`unescape` with the complete HTML5 list of named references (Arrow batches)."""
-    import html
-    return texts.map(html.unescape, na_action="ignore")
-
-
 def prepare(c: Column) -> Column:
     """Text in which URLs inside attributes and scripts can be matched: references and JSON-escaped slashes undone."""
     text = unescape_markup(c)

@@ -8,20 +8,28 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as TX, urls as U, vocab as V
 from .keyed import computed, first_per_key, top_per_key
 
-ANCHOR = r"(?is)<a\s[^>]*>.*?</a\s*>"
-HREF = r"""(?is)^<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+UNSEEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+OPENING = r"""<a\s(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+>"""     # a quoted value may hold '>'
+ANCHOR = rf"(?is){OPENING}.*?</a\s*>"
+INNER = rf"(?is)^{OPENING}(.*)</a\s*>$"
+HREF = r"""(?is)[\s"']href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 BARE_HREF = r"""(?i)href\s*=\s*["']([^"'#>\s]+)"""
 
 
 def anchors(pages: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """One row per link: the kept columns, pos, href, url (absolute, no fragment) and chunks (its texts in order)."""
-    tags = pages.select(*keep, "final_url", F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0)))
+    """One row per link: the kept columns, pos, href, url (absolute, no fragment) and chunks (its texts in order).
+
+    Comments, scripts and styles hold no links and no link text.
+    """
+    seen = F.regexp_replace("html", UNSEEN, " ")
+    tags = pages.select(*keep, "final_url", F.posexplode(F.regexp_extract_all(seen, F.lit(ANCHOR), F.lit(0)))
                         .alias("pos", "tag"))
-    raw = F.concat(*[F.regexp_extract("tag", HREF, g) for g in (1, 2, 3)])
-    inner = F.regexp_extract("tag", r"(?is)^<a\s[^>]*>(.*)</a\s*>$", 1)
+    opening = F.regexp_extract("tag", f"(?is)^{OPENING}", 0)
+    raw = F.concat(*[F.regexp_extract(opening, HREF, g) for g in (1, 2, 3)])
+    inner = F.regexp_extract("tag", INNER, 1)
     chunks = F.filter(F.transform(F.split(inner, r"<[^>]*>"), lambda x: TX.clean(TX.unescape_markup(x))),
                       lambda x: x.isNotNull())
-    links = computed(tags.filter(F.col("tag").rlike(HREF)), href=TX.unescape_markup(raw), chunks=chunks).drop("tag")
+    links = computed(tags.filter(opening.rlike(HREF)), href=TX.unescape_markup(raw), chunks=chunks).drop("tag")
     return computed(links, url=U.without_fragment(U.resolve(F.col("final_url"), F.col("href"))))
 
 
@@ -69,8 +77,8 @@ def job_links(pages: DataFrame, keep: Sequence[str]) -> DataFrame:
             .select(*keep, "pos", "url", "url_key", "title", "location"))
 
 
-def view_all_links(pages: DataFrame, site: str, page_order: str) -> DataFrame:
-    """'View all jobs' style links of a site's pages, in order, without repeats, at most five."""
+def view_all_links(pages: DataFrame, site: str, page_order: str, top: int) -> DataFrame:
+    """'View all jobs' style links of a site's pages, in order, without repeats: the first `top` of each site."""
     links = anchors(pages, [site, page_order])
     links = computed(links, text=F.coalesce(TX.clean(F.array_join("chunks", " ")), F.lit("")))
     url, text = F.col("url"), F.col("text")
@@ -79,11 +87,14 @@ def view_all_links(pages: DataFrame, site: str, page_order: str) -> DataFrame:
         & (text.rlike(V.VIEW_ALL) | (text.rlike(V.BARE_JOBS_TEXT) & U.path(url).rlike(V.JOBS_PATH))))
     order = [F.col(page_order), F.col("pos")]
     once = first_per_key(hits.select(site, page_order, "pos", "url"), [site, "url"], order)
-    return top_per_key(once, [site], order, V.MAX_VIEW_ALL, rank="rank").select(site, "rank", "url")
+    return top_per_key(once, [site], order, top, rank="rank").select(site, "rank", "url")
+
 
+def pagination(pages: DataFrame, keep: Sequence[str], upto: int) -> DataFrame:
+    """Other result pages of a paginated listing: keep columns, page_number, url and last_page (how many there are).
 
-def pagination(pages: DataFrame, keep: Sequence[str], max_pages: int = V.MAX_LISTING_PAGES) -> DataFrame:
-    """Other result pages of a paginated listing: keep columns, number, url, and last_page when it is beyond the cap."""
+    `upto` is the last page the caller would fetch; a larger last_page tells that the listing is longer.
+    """
     links = anchors(pages, keep)
     full = U.resolve(F.col("final_url"), F.col("href"))
     same = (U.host(F.col("full")) == U.host(F.col("final_url"))) & (
@@ -96,11 +107,11 @@ def pagination(pages: DataFrame, keep: Sequence[str], max_pages: int = V.MAX_LIS
     last = params.groupBy(*keep).agg(F.max_by(
         F.struct("name", "full", "number"), F.struct("number", -F.col("pos"), -F.col("at"))).alias("m"))
     numbered = last.select(*keep, "m.*").withColumn(
-        "page_number", F.explode(F.sequence(F.lit(2), F.least("number", F.lit(max_pages)).cast("int"))))
+        "page_number", F.explode(F.sequence(F.lit(2), F.least("number", F.lit(upto)).cast("int"))))
     pairs = F.filter(F.split(U.query(F.col("full")), "&"), lambda p: p.rlike("^[^=]*=."))
     query = F.array_join(F.transform(pairs, lambda p: F.when(
         F.substring_index(p, "=", 1) == F.col("name"),
         F.concat(F.col("name"), F.lit("="), F.col("page_number").cast("string"))).otherwise(p)), "&")
     return numbered.select(
         *keep, "page_number", F.concat(F.regexp_extract("full", r"^([^?#]*)", 1), F.lit("?"), query).alias("url"),
-        F.when(F.col("number") > max_pages, F.col("number")).alias("last_page"))
+        F.col("number").alias("last_page"))

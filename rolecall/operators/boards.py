@@ -44,8 +44,8 @@ def mentions(pages: DataFrame, domain: str, order: str) -> DataFrame:
     return rows.filter((F.col("token") != "") & ~ignored & ~((F.col("ats") == "workday") & site.isin(V.IGNORED_WORKDAY_SITES)))
 
 
-def detections(pages: DataFrame, sites: DataFrame, domain: str = "domain", order: str = "pos") -> DataFrame:
-    """Boards per company, best first: domain, rank, ats, token, hits, extra. sites: domain, slug.
+def detections(pages: DataFrame, sites: DataFrame, top: int, domain: str = "domain", order: str = "pos") -> DataFrame:
+    """The `top` boards per company, best first: domain, rank, ats, token, hits, extra. sites: domain, slug.
 
     A token that matches the company's name beats any number of mentions; equals keep the order first seen.
     """
@@ -54,7 +54,7 @@ def detections(pages: DataFrame, sites: DataFrame, domain: str = "domain", order
         F.count("*").alias("hits"), F.min_by(F.struct("token", "match"), seen).alias("m"), F.min(seen).alias("__seen"))
     named = counted.select(domain, "ats", "m.*", "hits", "__seen").join(sites.select(domain, "slug"), domain, "left")
     score = F.col("hits") + F.when(TX.names_match(F.substring_index("token", "/", 1), F.col("slug")), V.NAME_MATCH_BONUS).otherwise(0)
-    ranked = top_per_key(named, [domain], [score.desc(), F.col("__seen")], V.MAX_DETECTIONS, rank="rank")
+    ranked = top_per_key(named, [domain], [score.desc(), F.col("__seen")], top, rank="rank")
     return ranked.select(domain, "rank", "ats", "token", "hits", _extra(F.col("ats"), F.col("match")).alias("extra"))
 
 
@@ -84,17 +84,17 @@ def unsupported_vendors(pages: DataFrame, domain: str = "domain", order: str = "
 
 
 def vendor_links(pages: DataFrame, domain: str = "domain", order: str = "pos") -> DataFrame:
-    """The best address of each unsupported platform seen on a company's pages: domain, vendor, url."""
-    text = page_text(pages, [domain, order, "final_url"])
+    """The best address of each unsupported platform seen on a company's pages: domain, vendor, url.
+
+    Addresses in the markup come first, in order, then the page's own.
+    """
+    text = computed(pages.select(domain, order, "final_url", "html"), text=TX.prepare(F.coalesce("html", F.lit(""))))
     urls = text.select(domain, order, F.posexplode(F.concat(
         F.regexp_extract_all("text", F.lit(V.URL_IN_TEXT), F.lit(0)), F.array(F.coalesce("final_url", F.lit(""))))).alias("nth", "url"))
     vendors = F.array_compact(F.array(*[F.when(F.col("url").rlike(p), F.lit(v)) for v, p in V.UNSUPPORTED_VENDORS.items()]))
     hits = urls.withColumn("url", F.rtrim("url", F.lit("."))).select(domain, order, "nth", "url", F.explode(vendors).alias("vendor"))
     u = F.col("url")
-    score = (F.when(u.rlike("(?i)candidateexperience"), 2).otherwise(0)
-             + F.when(u.rlike(r"(?i)/(jobs?|requisitions?|careers?)/?(\?.*)?$"), 3).otherwise(0)
-             + F.when(u.rlike(r"(?i)/sites/[^/]+/?(\?.*)?$"), 2).otherwise(0)
-             - F.when(u.rlike(r"(?i)sign-?in|log-?in|my-profile|privacy|terms|cookie|register"), 5).otherwise(0))
+    score = sum((F.when(u.rlike(pattern), points).otherwise(0) for pattern, points in V.VENDOR_ADDRESS_SCORES), F.lit(0))
     return first_per_key(hits.withColumn("__score", score), [domain, "vendor"],
                          [F.col("__score").desc(), F.col(order), F.col("nth")]).select(domain, "vendor", "url")
 

@@ -47,19 +47,14 @@ def trusted(postings: DataFrame, vendors: DataFrame, domain: str = "domain") ->
     return postings.join(guesses, domain, "left_anti")
 
 
-def merge_generic(embedded: DataFrame, links: DataFrame, details: DataFrame, max_enrich: int, domain: str = "domain",
-                  order: list[str] | None = None) -> DataFrame:
+def merge_generic(embedded: DataFrame, links: DataFrame, details: DataFrame, domain: str = "domain") -> DataFrame:
     """Postings of a company without a board: those embedded in its listing pages, and its links read from their pages.
 
-    embedded: domain, feed columns; links: domain, order columns, url, url_key, title, location; details: url_key and the
-    feed columns of a detail page's first embedded posting. The first `max_enrich` links of a company are looked up; a
-    link whose page has no posting, and every further link, becomes a row of its own.
+    embedded: domain, feed columns; links: domain, url, url_key, title, location; details: url_key and the feed columns of
+    a detail page's first embedded posting. A link whose page has no posting becomes a row of its own.
     """
-    order = order or ["pos"]
-    opened = top_per_key(links, [domain], [F.col(c) for c in order], max_enrich).select(domain, "url_key")
     fields = [c for c in embedded.columns if c != domain]
-    detail = opened.join(details.select("url_key", F.struct(*fields).alias("__d")), "url_key")
-    joined = links.join(detail, [domain, "url_key"], "left")
+    joined = links.join(details.select("url_key", F.struct(*fields).alias("__d")), "url_key", "left")
     own = {"title": F.col("title"), "url": F.col("url"), "location": F.col("location"), "source": F.lit("html-heuristic")}
     rows = joined.select(domain, *[F.when(F.col("__d").isNotNull(), F.col(f"__d.{f}"))
                                    .otherwise(own.get(f, F.lit(None))).alias(f) for f in fields])

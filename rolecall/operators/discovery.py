@@ -13,8 +13,8 @@ def link_score(path_and_query: Column, text: Column) -> Column:
     return F.when(F.lower(path_and_query).rlike(V.CAREERS_HREF), 10).otherwise(0) + words
 
 
-def homepage_links(homes: DataFrame, site: str = "site") -> DataFrame:
-    """Careers-looking links of each home page, best first, at most ten: site, rank, url, score.
+def homepage_links(homes: DataFrame, top: int, site: str = "site") -> DataFrame:
+    """The `top` careers-looking links of each home page, best first: site, rank, url, score.
 
     A link to another domain must clearly say careers; job boards and social sites never count (their names come
     back in `job_board` rows of `homepage_job_boards`).
@@ -22,7 +22,7 @@ def homepage_links(homes: DataFrame, site: str = "site") -> DataFrame:
     hits = _scored(homes, site).filter((F.col("score") > 0) & (
         F.col("own") | ((F.col("score") >= V.OFFSITE_MIN_SCORE) & ~F.col("d.denied"))))
     best = hits.groupBy(site, "url").agg(F.max("score").alias("score"), F.min("pos").alias("pos"))
-    return top_per_key(best, [site], [F.col("score").desc(), F.col("pos")], V.MAX_HOMEPAGE_LINKS, rank="rank") \
+    return top_per_key(best, [site], [F.col("score").desc(), F.col("pos")], top, rank="rank") \
         .select(site, "rank", "url", "score")
 
 
@@ -35,7 +35,7 @@ def homepage_job_boards(homes: DataFrame, site: str = "site") -> DataFrame:
 
 def _scored(homes: DataFrame, site: str) -> DataFrame:
     links = computed(anchors(homes, [site, "domains"]),
-                     text=F.substring(TX.collapse(F.array_join("chunks", " ")), 1, 80))
+                     text=TX.collapse(F.array_join("chunks", " ")))
     url, text = F.col("url"), F.col("text")
     asked = F.concat(U.path(url), F.when(U.query(url) != "", F.concat(F.lit("?"), U.query(url))).otherwise(""))
     scored = computed(links.filter(U.scheme(url).isin("http", "https")), score=link_score(asked, text),
@@ -95,9 +95,8 @@ def page_features(pages: DataFrame, keep: list[str]) -> DataFrame:
     return small.withColumn("ok", F.col("loaded") & ~F.col("challenge")).drop("loaded", "html")
 
 
-def candidates(features: DataFrame, homes: DataFrame, site: str = "site", top: int = V.MAX_CANDIDATES,
-               bucket_width: int = 100_000) -> DataFrame:
-    """Careers-page candidates per site, best first.
+def merged_candidates(features: DataFrame, homes: DataFrame, site: str = "site", bucket_width: int = 100_000) -> DataFrame:
+    """All careers-page candidates per site: site, url_key, pos, final_url, is_blocked, hosted_elsewhere, score, hits.
 
     features: site, pos (order asked for), url, final_url, status, title, size, challenge, ok, base_score, asked_for,
     domains; homes: site, home_url, home_title, home_size (rows of unusable home pages left out). Pages with the same
@@ -127,12 +126,19 @@ def candidates(features: DataFrame, homes: DataFrame, site: str = "site", top: i
         F.min("pos").alias("pos"),
         F.min_by(F.struct("final_url", "is_blocked", "hosted_elsewhere"), "pos").alias("page"))
     score = F.when(F.col("hits") == 1, F.col("best")).otherwise(F.col("lead") + 5 * (F.col("hits") + 1))
-    return (top_per_key(merged.withColumn("score", score), [site], [F.col("score").desc(), F.col("pos")], top, rank="rank")
-            .select(site, "rank", "url_key", "page.*", "score", "hits"))
+    return merged.select(site, "url_key", "pos", "page.*", score.alias("score"), "hits")
+
+
+def best_candidates(merged: DataFrame, top: int, site: str = "site") -> DataFrame:
+    """The `top` candidates of each site, best first, with their rank."""
+    return top_per_key(merged, [site], [F.col("score").desc(), F.col("pos")], top, rank="rank")
 
 
 def careers_domains(found: DataFrame, site: str = "site", domain: str = "domain") -> DataFrame:
-    """The domains that count as a company's own: its domain and every careers site it hands over to."""
+    """The domains that count as a company's own: its domain and every careers site it hands over to.
+
+    found: all candidates, not the best few only, so that no hand-over is missed.
+    """
     own = found.select(site, F.col(domain).alias("careers_domain"))
     grown = found.filter(F.col("hosted_elsewhere").isNotNull()).select(
         site, U.registrable_domain(F.col("hosted_elsewhere")).alias("careers_domain"))

@@ -6,12 +6,12 @@ from dataclasses import dataclass, field
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import dates as DT, text as TX, vocab as V
+from ..functions import dates as DT, text as TX
 from ..schemas import EMPLOYMENT_TYPES, FACETS, UNKNOWN, WORKPLACES
 from ..sources.gazetteer import Gazetteer
-from .keyed import computed, top_per_key
+from .keyed import computed, ordinal, top_per_key
 from .search import FIELDS, Search, matches, tokens
 
 NULLABLE = {"workplace", "employment_type", "country", "department"}
@@ -109,11 +109,12 @@ def apply_filter(df: DataFrame, f: JobFilter, gazetteer: Gazetteer) -> DataFrame
 
 
 def facets(df: DataFrame, f: JobFilter, gazetteer: Gazetteer, names: Sequence[str] | None = None,
-           limit: int = V.FACET_LIMIT) -> DataFrame:
+           limit: int | None = None) -> DataFrame:
     """Value counts per facet, each ignoring its own filter only: facet, position, value, count, label.
 
     One pass: a row failing one condition counts for that condition's facet alone, a row failing two for none, so most
-    rows leave before they are spread over the facets. Unknown comes last, after the cut at `limit` values.
+    rows leave before they are spread over the facets. Unknown comes last. All values are given unless the caller wants the
+    `limit` most frequent ones; then unknown is placed after that cut.
     """
     f = f.checked(gazetteer)
     names = list(FACETS if names is None else names)
@@ -133,10 +134,14 @@ def facets(df: DataFrame, f: JobFilter, gazetteer: Gazetteer, names: Sequence[st
     only = F.get("__failed", F.lit(0))
     spread = work.select(F.inline(F.filter(cells, lambda c: only.isNull() | (only == c["facet"]))))
     counted = spread.groupBy("facet", "value").agg(F.count("*").alias("count"), F.max("label").alias("label"))
-    best = top_per_key(counted, ["facet"], [F.col("count").desc(), F.col("value").asc_nulls_first()], limit, rank="__rank")
-    kept = best.filter(F.col("value").isNotNull() | F.col("facet").isin(sorted(NULLABLE)))
-    position = F.row_number().over(Window.partitionBy("facet").orderBy(F.col("value").isNull(), "__rank"))
-    return kept.select("facet", position.alias("position"), "value", "count", "label")
+    if limit is not None:
+        counted = top_per_key(counted, ["facet"], [F.col("count").desc(), F.col("value").asc_nulls_first()], limit)
+    kept = counted.filter(F.col("value").isNotNull() | F.col("facet").isin(sorted(NULLABLE)))
+    # a facet may have any number of values: it is numbered in pieces of equal count and beginning
+    unknown, fewer = F.col("value").isNull().alias("u"), (-F.col("count")).alias("c")
+    kept = kept.withColumn("__at", F.struct(unknown, fewer, F.col("value")))
+    placed = ordinal(kept, ["facet"], "__at", F.struct(unknown, fewer, F.coalesce(F.substring("value", 1, 2), F.lit("")).alias("v")), "position")
+    return placed.select("facet", "position", "value", "count", "label")
 
 
 def matching_counts(df: DataFrame, f: JobFilter, gazetteer: Gazetteer) -> DataFrame:
@@ -182,11 +187,30 @@ def sort_key(sort: str = "posted", order: str = "desc", key: str = "posting_id")
     return [first, F.col(key).desc()]
 
 
-def page(df: DataFrame, sort: str = "posted", order: str = "desc", limit: int = V.DEFAULT_LIMIT, offset: int = 0,
+def page(df: DataFrame, limit: int, sort: str = "posted", order: str = "desc", offset: int = 0,
          key: str = "posting_id") -> DataFrame:
-    """One page of the sorted postings: a bounded top-n per task, never a full sort."""
-    if not 1 <= limit <= V.MAX_LIMIT:
-        raise ValueError(f"limit must be between 1 and {V.MAX_LIMIT}")
-    if not 0 <= offset <= 10**9:
-        raise ValueError("offset must be between 0 and 1000000000")
+    """One page of the sorted postings: a bounded top-n per task, never a full sort.
+
+    Each task keeps offset + limit rows, so offsets are for the first pages; `page_after` goes on from any row.
+    """
+    if limit < 1 or offset < 0:
+        raise ValueError("limit must be at least 1 and offset at least 0")
     return df.orderBy(*sort_key(sort, order, key)).offset(offset).limit(limit)
+
+
+def page_after(df: DataFrame, last: tuple, limit: int, sort: str = "posted", order: str = "desc", key: str = "posting_id") -> DataFrame:
+    """The page after a row, given as (its sort value, its key): rows before it are filtered out, none is kept for them."""
+    value, number = last
+    name, unknown_last = SORTS[sort] if sort in SORTS else (None, None)
+    ordering = sort_key(sort, order, key)
+    c = F.lower(name) if sort in ("title", "company", "location") else F.col(key if sort == "found" else name)
+    tie = F.col(key) < F.lit(number)
+    if value is None:
+        at_end = unknown_last or order == "desc"
+        further = (c.isNull() & tie) if at_end else (c.isNotNull() | (c.isNull() & tie))
+    else:
+        edge = F.lower(F.lit(value)) if sort in ("title", "company", "location") else F.lit(value)
+        beyond = (c < edge) if order == "desc" else (c > edge)
+        nulls = c.isNull() if unknown_last or order == "desc" else F.lit(False)
+        further = beyond | ((c == edge) & tie) | nulls
+    return df.filter(F.coalesce(further, F.lit(False))).orderBy(*ordering).limit(limit)

@@ -97,7 +97,27 @@ def posting_fields(p: Column) -> dict[str, Column]:
 
 
 def unique_fragments(bases: Column) -> Column:
-    """Names in order -> the same names made unique: the second 'x' becomes 'x-2', skipping names already given."""
+    """Names in order -> the same names made unique: the second 'x' becomes 'x-2', skipping names already given.
+
+    Mostly the n-th 'x' is 'x-n', which one count says; only where such a name is somebody's own name too is the page
+    walked name by name.
+    """
+    def numbered(sorted_: Column) -> Column:
+        # equal names stand together, in page order: the place inside the run is the number
+        def step(acc: Column, x: Column) -> Column:
+            n = F.when(acc["last"] == x["name"], acc["n"] + 1).otherwise(1)
+            name = F.when(n == 1, x["name"]).otherwise(F.concat(x["name"], F.lit("-"), n.cast("string")))
+            return F.struct(F.array_append(acc["out"], F.struct(x["i"].alias("i"), name.alias("name"))).alias("out"), x["name"].alias("last"), n.alias("n"))
+
+        start = F.struct(F.array().cast("array<struct<i:int,name:string>>").alias("out"), F.lit(None).cast("string").alias("last"), F.lit(0).alias("n"))
+        return F.transform(F.array_sort(F.aggregate(sorted_, start, step, lambda acc: acc["out"])), lambda x: x["name"])
+
+    placed = F.transform(bases, lambda name, i: F.struct(name.alias("name"), i.alias("i")))
+    quick = J.let(F.array_sort(placed), numbered)
+    return J.let(quick, lambda names: F.when(F.size(F.array_distinct(names)) == F.size(names), names).otherwise(_walked(bases)))
+
+
+def _walked(bases: Column) -> Column:
     def step(taken: Column, base: Column) -> Column:
         names = F.transform(F.sequence(F.lit(1), F.size(taken) + 1),
                             lambda n: F.when(n == 1, base).otherwise(F.concat(base, F.lit("-"), n.cast("string"))))
@@ -128,7 +148,8 @@ def page_postings(pages: DataFrame, key: str) -> DataFrame:
 
 def _in_row(pages: DataFrame, keep: Sequence[str]) -> DataFrame:
     """All JobPosting nodes of a page as one array, block after block, in document order."""
-    raws = F.filter(F.regexp_extract_all("html", F.lit(SCRIPT), F.lit(1)), lambda r: F.trim(r) != "")
+    raws = F.filter(F.regexp_extract_all("html", F.lit(SCRIPT), F.lit(1)),
+                    lambda r: F.contains(r, F.lit("JobPosting")) | F.contains(r, F.lit("\\u")))     # others hold no posting
     work = computed(pages.select(*keep, "html"), raws=raws).drop("html").filter(F.size("raws") > 0)
     work = computed(work, docs=F.filter(F.transform("raws", lambda r: F.struct(J.parse(r).alias("doc"), J.nesting(r).alias("levels"))),
                                         lambda d: d["doc"].isNotNull())).drop("raws")

@@ -3,13 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import vocab as V
 from .history import number_rows
 from .keyed import first_per_key, top_per_key
 
 
 def prune(runs: DataFrame, postings: DataFrame, run_postings: DataFrame, now: Column,
-          keep_runs: int = V.KEEP_RUNS_PER_COMPANY, closed_days: int = V.KEEP_CLOSED_DAYS) -> tuple[DataFrame, DataFrame, DataFrame]:
+          keep_runs: int, closed_days: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Keep the newest runs per company (running ones always) and postings not closed for longer than the limit.
 
     Returns runs, postings, run_postings. Postings that are still listed are never dropped.
@@ -71,7 +70,7 @@ def feed_since(events: DataFrame, cursor: int, order: str = "event_id") -> DataF
     return events.filter(F.col(order) >= cursor)
 
 
-def trim_feed(events: DataFrame, order: str = "event_id", trim_at: int = V.EVENTS_TRIM_AT, keep: int = V.EVENTS_KEEP) -> DataFrame:
+def trim_feed(events: DataFrame, trim_at: int, keep: int, order: str = "event_id") -> DataFrame:
     """The feed after its trims: when it grows past `trim_at`, only the newest `keep` stay.
 
     Ids grow by one, so the surviving range follows from the first and last id alone.

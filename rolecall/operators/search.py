@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import text as TX, vocab as V
+from ..functions import text as TX
 from .keyed import computed
 
 FIELDS = ["title", "company", "location", "department", "city", "region", "country"]
@@ -32,13 +32,13 @@ class Term:
         if self.kind == "phrase":
             return [(None, self.text, False)]
         prefix = self.kind == "word" and len(re.sub(r"\W", "", self.text)) >= 2
-        more = gazetteer.expand(self.text)[1:V.MAX_EXPANSION] if gazetteer else []
+        more = gazetteer.expand(self.text)[1:] if gazetteer else []
         return [(None, self.text, prefix), *[(field, phrase, False) for field, phrase in more]]
 
 
 @dataclass(frozen=True)
 class Search:
-    """`all_of` holds clauses, each a list of alternatives; `none_of` holds excluded terms. At most twelve in all."""
+    """`all_of` holds clauses, each a list of alternatives; `none_of` holds excluded terms."""
 
     all_of: tuple[tuple[Term, ...], ...] = ()
     none_of: tuple[Term, ...] = ()
@@ -63,8 +63,7 @@ class Search:
             return tuple(t for t in terms if re.search(r"\w", t.text))
 
         clauses = [wordy(map(term, c if isinstance(c, (list, tuple)) else [c])) for c in all_of]
-        clauses = [c for c in clauses if c][:V.MAX_SEARCH_TERMS]
-        return cls(tuple(clauses), wordy(map(term, none_of))[:V.MAX_SEARCH_TERMS - len(clauses)])
+        return cls(tuple(c for c in clauses if c), wordy(map(term, none_of)))
 
 
 _FOLD_KEEP = "'’."
@@ -170,7 +169,7 @@ def _hits(index: DataFrame, key: str, phrase: str, prefix: bool, field: str | No
 def matching_ids(index: DataFrame, query: Search, key: str, everything: DataFrame | None = None, gazetteer=None) -> DataFrame:
     """Keys matching the search. `everything` (the keys) is needed only when there are exclusions and no clause.
 
-    All single words are found in one pass over the index; each key then carries at most twelve marks.
+    All single words are found in one pass over the index; each key then carries one mark per clause.
     """
     clauses = [*query.all_of, *[(t,) for t in query.none_of]]
     n = len(query.all_of)
@@ -192,7 +191,7 @@ def matching_ids(index: DataFrame, query: Search, key: str, everything: DataFram
     if not parts:
         found = None
     else:
-        # at most twelve flags per key, combined before the shuffle: a long text never sends its tokens
+        # one flag per clause and key, combined before the shuffle: a long text never sends its tokens
         found = reduce(DataFrame.unionByName, parts).groupBy(key).agg(
             *[F.bool_or(F.col("mark") == m).alias(f"m{m}") for m in range(len(clauses))])
     if n == 0:

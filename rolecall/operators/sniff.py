@@ -1,65 +1,76 @@
 """Postings in the JSON a rendered page loaded: which arrays are listings, and reading their objects."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import classify as C, dates as DT, urls as U, variants as J, vocab as V
-from .keyed import computed, first_per_key, top_per_key
+from .keyed import computed, first_per_key
 
-_TODO = "array<struct<path:string,node:variant>>"
-_FOUND = "array<struct<path:string,objects:array<variant>>>"
+_TODO = "array<struct<path:string,at:string,node:variant>>"
+_FOUND = "array<struct<path:string,at:string,objects:array<variant>>>"
 
 
-def captured(responses: DataFrame, page: str, page_url: str) -> DataFrame:
-    """Responses worth reading per page: from the site's own domain or a known platform, thirty at most, not too large.
+def _step(path: Column, at: Column, i: Column, node: Column) -> Column:
+    """A node one level further in; `at` sorts as the document is read."""
+    return F.struct(path.alias("path"), F.concat(at, F.lit("/"), F.lpad(i.cast("string"), 9, "0")).alias("at"), node.alias("node"))
 
-    responses: page, page_url, pos, url, body.
-    """
+
+def _named(n: Column, e: Column) -> Column:
+    return F.when(n["path"] == "", e["key"]).otherwise(F.concat(n["path"], F.lit("."), e["key"]))
+
+
+def _root(data: Column) -> Column:
+    return F.array(F.struct(F.lit("").alias("path"), F.lit("").alias("at"), data.alias("node"))).cast(_TODO)
+
+
+def _levels(data: Column) -> Column:
+    return F.coalesce(J.nesting(F.to_json(data)), F.lit(1))
+
+
+def captured(responses: DataFrame, page_url: str) -> DataFrame:
+    """Responses worth reading: not empty, from the page's own domain or a known platform. responses: page_url, url, body."""
     host = U.host(F.col("url"))
     own = U.registrable_domain(host) == U.registrable_domain(U.host(F.col(page_url)))
     known = F.lit(False)
     for h in V.API_HOSTS:
         known = known | U.same_site(host, F.lit(h))
-    kept = top_per_key(responses.filter(own | known), [page], [F.col("pos")], V.CAPTURED_MAX_RESPONSES)
-    return kept.filter((F.length("body") > 0) & (F.length("body") <= V.CAPTURED_MAX_BYTES))
+    return responses.filter((own | known) & (F.length("body") > 0))
 
 
 def listing_arrays(data: Column) -> Column:
-    """Arrays that list postings, as array<struct<path, objects>>; found ones are not looked into further."""
+    """Arrays that list postings, in document order, as array<struct<path, at, objects>>; `at` is the place in the document.
+
+    All levels and all elements are visited; found arrays are not looked into further.
+    """
     def children(n: Column) -> Column:
-        listed = F.transform(F.slice(J.items(n["node"]), 1, V.MAX_CHILDREN), lambda x: F.struct(
-            F.concat(n["path"], F.lit("[]")).alias("path"), x.alias("node"))).cast(_TODO)
-        keyed = F.transform(J.fields(n["node"]), lambda e: F.struct(
-            F.when(n["path"] == "", e["key"]).otherwise(F.concat(n["path"], F.lit("."), e["key"])).alias("path"),
-            e["value"].alias("node"))).cast(_TODO)
-        return F.coalesce(listed, keyed, F.array().cast(_TODO))
+        listed = F.transform(J.items(n["node"]), lambda x, i: _step(F.concat(n["path"], F.lit("[]")), n["at"], i, x)).cast(_TODO)
+        keyed = F.transform(J.fields(n["node"]), lambda e, i: _step(_named(n, e), n["at"], i, e["value"])).cast(_TODO)
+        inner = F.coalesce(listed, keyed, F.array().cast(_TODO))
+        return F.filter(inner, lambda x: J.is_nested(x["node"]))
 
     def judged(n: Column) -> Column:
         def listing(objects: Column) -> Column:
-            sample = F.slice(objects, 1, V.SHARE_SAMPLE)
-            enough = F.size(F.filter(sample, J.looks_like_posting)) >= V.MIN_SHARE * F.size(sample)
+            enough = F.size(F.filter(objects, J.looks_like_posting)) >= V.MIN_SHARE * F.size(objects)
             return F.when((F.size(objects) >= V.MIN_ITEMS) & enough, objects)
 
         objects = F.filter(J.items(n["node"]), J.is_object)
-        return F.struct(n["path"].alias("path"), n["node"].alias("node"), J.let(objects, listing).alias("objects"))
+        return F.struct(n["path"].alias("path"), n["at"].alias("at"), n["node"].alias("node"), J.let(objects, listing).alias("objects"))
 
-    start = F.struct(F.array(F.struct(F.lit("").alias("path"), data.alias("node"))).cast(_TODO).alias("todo"),
-                     F.array().cast(_FOUND).alias("found"), F.lit(0).alias("seen"))
+    start = F.struct(_root(data).alias("todo"), F.array().cast(_FOUND).alias("found"))
 
     def level(acc: Column, _: Column) -> Column:
-        todo = F.slice(acc["todo"], 1, F.greatest(F.lit(V.MAX_NODES) - acc["seen"], F.lit(0)))
-
         def split(nodes: Column) -> Column:
             hits = F.filter(nodes, lambda n: n["objects"].isNotNull())
             rest = F.filter(nodes, lambda n: n["objects"].isNull())
             return F.struct(
                 F.flatten(F.transform(rest, children)).cast(_TODO).alias("todo"),
-                F.concat(acc["found"], F.transform(hits, lambda n: F.struct(n["path"].alias("path"), n["objects"].alias("objects"))))
-                .cast(_FOUND).alias("found"), (acc["seen"] + F.size(nodes)).alias("seen"))
+                F.concat(acc["found"], F.transform(hits, lambda n: F.struct(n["path"].alias("path"), n["at"].alias("at"), n["objects"].alias("objects"))))
+                .cast(_FOUND).alias("found"))
 
-        return J.let(F.transform(todo, judged), split)
+        return J.let(F.transform(acc["todo"], judged), split)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(V.MAX_DEPTH)), start, level, lambda acc: acc["found"])
+    found = F.aggregate(F.sequence(F.lit(1), _levels(data)), start, level, lambda acc: acc["found"])
+    return F.array_sort(found, lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))
 
 
 def _parts(entries: Column) -> dict[str, Column]:
@@ -126,26 +137,23 @@ def sniffed_postings(payloads: DataFrame, page: str, page_url: str = "page_url",
                        "city", "region", "country").filter(F.col("title").isNotNull() & F.col("url").isNotNull())
     listing = [page, "endpoint", "json_path"]
     order = [F.col("payload"), F.col("array"), F.col("item")]
-    # a page brings at most thirty responses of two megabytes (`captured`), so one page always fits one task: with the rows
-    # placed by page once, the three steps below need no further shuffle and nothing is read from the JSON twice
-    once = first_per_key(rows.repartition(page), [*listing, "url"], order)
-    same, ranked = Window.partitionBy(*listing), Window.partitionBy(page).orderBy(F.col("__n").desc(), "__first")
-    sized = once.withColumns({"__n": F.count("*").over(same), "__first": F.min(F.struct("payload", "array")).over(same)})
-    best = sized.filter(F.col("__n") >= V.MIN_ITEMS).withColumn("__rank", F.rank().over(ranked)).filter(F.col("__rank") == 1)
-    return best.drop("__n", "__first", "__rank").withColumn("source", F.lit("json-sniffed"))
+    # rows are placed by posting, so a page with most of the postings is spread over all tasks; listings are counted with
+    # partial sums, and the winner of each page (one row) is joined back
+    once = first_per_key(rows, [*listing, "url"], order)
+    sized = once.groupBy(*listing).agg(F.count("*").alias("__n"), F.min(F.struct("payload", "array")).alias("__first"))
+    best = first_per_key(sized.filter(F.col("__n") >= V.MIN_ITEMS), [page], [F.col("__n").desc(), F.col("__first"), F.col("json_path")])
+    return once.join(best.select(*listing), listing, "left_semi").withColumn("source", F.lit("json-sniffed"))
 
 
-def payload_profile(payloads: DataFrame, keep: list[str], max_depth: int = 5, max_keys: int = 12, max_arrays: int = 10) -> DataFrame:
-    """What each payload holds: its top-level keys and the sizes of its arrays, by path."""
+def payload_profile(payloads: DataFrame, keep: list[str]) -> DataFrame:
+    """What each payload holds: its top-level keys and the sizes of its arrays at any depth, by path."""
     sizes = "array<struct<path:string,size:int>>"
 
     def children(n: Column) -> Column:
         inner = F.get(J.items(n["node"]), F.lit(0))
-        listed = F.when(J.items(n["node"]).isNotNull(), F.when(J.is_nested(inner), F.array(F.struct(
-            F.concat(n["path"], F.lit("[]")).alias("path"), inner.alias("node")))).otherwise(F.array()).cast(_TODO))
-        keyed = F.transform(J.fields(n["node"]), lambda e: F.struct(
-            F.when(n["path"] == "", e["key"]).otherwise(F.concat(n["path"], F.lit("."), e["key"])).alias("path"),
-            e["value"].alias("node"))).cast(_TODO)
+        first = F.array(_step(F.concat(n["path"], F.lit("[]")), n["at"], F.lit(0), inner)).cast(_TODO)
+        listed = F.when(J.items(n["node"]).isNotNull(), F.when(J.is_nested(inner), first).otherwise(F.array().cast(_TODO)))
+        keyed = F.transform(J.fields(n["node"]), lambda e, i: _step(_named(n, e), n["at"], i, e["value"])).cast(_TODO)
         return F.coalesce(listed, keyed, F.array().cast(_TODO))
 
     def level(acc: Column, _: Column) -> Column:
@@ -155,8 +163,7 @@ def payload_profile(payloads: DataFrame, keep: list[str], max_depth: int = 5, ma
         return F.struct(F.flatten(F.transform(acc["todo"], children)).cast(_TODO).alias("todo"),
                         F.concat(acc["arrays"], named).cast(sizes).alias("arrays"))
 
-    start = F.struct(F.array(F.struct(F.lit("").alias("path"), F.col("data").alias("node"))).cast(_TODO).alias("todo"),
-                     F.array().cast(sizes).alias("arrays"))
-    arrays = F.aggregate(F.sequence(F.lit(0), F.lit(max_depth)), start, level, lambda acc: F.slice(acc["arrays"], 1, max_arrays))
-    keys = F.slice(F.transform(J.fields(F.col("data")), lambda e: e["key"]), 1, max_keys)
+    start = F.struct(_root(F.col("data")).alias("todo"), F.array().cast(sizes).alias("arrays"))
+    arrays = F.aggregate(F.sequence(F.lit(1), _levels(F.col("data"))), start, level, lambda acc: acc["arrays"])
+    keys = F.transform(J.fields(F.col("data")), lambda e: e["key"])
     return payloads.select(*keep, keys.alias("keys"), arrays.alias("arrays"))

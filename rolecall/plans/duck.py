@@ -41,7 +41,7 @@ def fold(x: str) -> str:
 
 
 def slug(x: str) -> str:
-    return f"left(trim(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '-'), 80)"
+    return f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '-')"
 
 
 def title_case(x: str) -> str:
@@ -159,9 +159,9 @@ def page_title(html: str) -> str:
 
 
 def is_challenge(html: str) -> str:
-    title = collapse(f"regexp_extract(left({html}, {V.CHALLENGE_TITLE_WITHIN}), '(?is)<title[^>]*>(.*?)</title>', 1)")
+    title = collapse(f"regexp_extract({html}, '(?is)<title[^>]*>(.*?)</title>', 1)")
     return (f"({html} <> '' AND (regexp_matches({title}, {re2(V.CHALLENGE_TITLE)}) OR "
-            f"(length({html}) <= {V.CHALLENGE_MAX_HTML} AND len(regexp_extract_all({html}, '(?i)<a ')) < "
+            f"(len(regexp_extract_all({html}, '(?i)<a ')) < "
             f"{V.CHALLENGE_MAX_LINKS} AND regexp_matches({html}, {re2(V.CHALLENGE_BODY)}))))")
 
 
@@ -202,13 +202,17 @@ def is_job_link(url: str, domains: str, listing: str) -> str:
 
 def anchors(source: str, keep: str) -> str:
     """CTE body: links of the pages in `source` (needs html, final_url)."""
-    from ..operators.anchors import ANCHOR, HREF
-    href = " || ".join(f"regexp_extract(tag, {lit(HREF)}, {g})" for g in (1, 2, 3))
-    inner = "regexp_extract(tag, '(?is)^<a\\s[^>]*>(.*)</a\\s*>$', 1)"
+    quoted = """<a\\s(?:[^>=]+|=\\s*"[^"]*"|=\\s*'[^']*'|=)*>"""
+    opening = f"regexp_extract(tag, {lit('(?is)^' + quoted)})"
+    found = lit("""(?is)[\\s"']href\\s*=\\s*(?:"([^"]*)"|'([^']*)'|([^\\s"'>]+))""")
+    href = " || ".join(f"regexp_extract({opening}, {found}, {g})" for g in (1, 2, 3))
+    inner = f"regexp_extract(tag, {lit('(?is)^' + quoted + '(.*)</a' + chr(92) + 's*>$')}, 1)"
+    unseen = "'(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>'"
+    tags = f"regexp_extract_all(regexp_replace(html, {unseen}, ' ', 'g'), {lit('(?is)' + quoted + '.*?</a' + chr(92) + 's*>')})"
     return f"""SELECT {keep}, final_url, pos, href, {without_fragment(resolve('final_url', 'href'))} AS url, chunks FROM (
         SELECT {keep}, final_url, pos, {unescape(f'({href})')} AS href,
                list_filter(list_transform(regexp_split_to_array({inner}, '<[^>]*>'), lambda x: {clean(unescape('x'))}),
                            lambda x: x IS NOT NULL) AS chunks
         FROM (SELECT {keep}, final_url, unnest(range(len(tags))) AS pos, unnest(tags) AS tag
-              FROM (SELECT {keep}, final_url, regexp_extract_all(html, {lit(ANCHOR)}) AS tags FROM {source}))
-        WHERE regexp_matches(tag, {lit(HREF)}))"""
+              FROM (SELECT {keep}, final_url, {tags} AS tags FROM {source}))
+        WHERE regexp_matches({opening}, {found}))"""

@@ -155,12 +155,12 @@ HOSTS = ["api.example.com", "x.greenhouse.io", "tracker.net", "careers.example.c
 
 @query("captured_responses", f"""
     SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders
-      WHERE {D.pick(HOSTS, 'o_orderkey')} NOT IN ('tracker.net', 'notlever.co')) WHERE n <= 30 AND o_orderkey % 4 <> 3""")
+      WHERE {D.pick(HOSTS, 'o_orderkey')} NOT IN ('tracker.net', 'notlever.co')) WHERE o_orderkey % 4 <> 3""")
 def captured_responses(t):
-    """JS-7: responses worth reading, thirty per page at most, empty ones left out."""
+    """JS-7: responses worth reading, empty ones left out."""
     r = t.orders.select("o_custkey", "o_orderkey", col("o_orderkey").alias("pos"), F.concat(lit("https://c"), _text(col("o_custkey")), lit(".example.com/x")).alias("page_url"),
                         F.concat(lit("https://"), pick(HOSTS, col("o_orderkey")), lit("/jobs")).alias("url"), F.when(col("o_orderkey") % 4 == 3, "").otherwise("{}").alias("body"))
-    return SN.captured(r, "o_custkey", "page_url").select("o_custkey", "o_orderkey")
+    return SN.captured(r, "page_url").select("o_custkey", "o_orderkey")
 
 
 @query("json_properties", """
@@ -212,7 +212,7 @@ def board_detections(t):
     x = col("extra")
     extra = (F.when(col("ats") == "workday", F.concat_ws(" ", x["tenant"], x["wd"], x["site"]))
              .when(col("ats") == "oracle", F.concat_ws(" ", x["host"], x["lang"], x["site"])))
-    return B.detections(linked_pages(t), sites).select("domain", col("rank").cast("bigint").alias("rank"), "ats", "token", "hits", extra.alias("extra"))
+    return B.detections(linked_pages(t), sites, top=3).select("domain", col("rank").cast("bigint").alias("rank"), "ats", "token", "hits", extra.alias("extra"))
 
 
 _N = len(LINKS)
@@ -312,10 +312,9 @@ def feed_ashby(t):
     return _shown(RD.ashby(_responses(t, "ashby", body, "board")))
 
 
-SLUG_PLACES = [("US-CA-Santa-Clara", "Santa Clara", "CA", "US"), ("CA-ON-Toronto", "Toronto", "ON", "CA"), ("GB-London", "London", None, "GB"), ("CA-San-Jose", None, None, None),
-               ("IN-Bangalore", None, None, None), ("Austin", None, None, None), ("XX-YY-Nowhere", None, None, None), ("US-CA-Remote", None, "CA", "US"),
-               ("US-NY-Remote-Hybrid", None, "NY", "US"), ("Israel-Tel-Aviv", "Tel Aviv", None, "IL"), ("United-Kingdom-London", "London", None, "GB"),
-               ("Germany-Remote", None, None, "DE"), ("Jersey-City", None, None, None), ("Panama-City", None, None, None), ("Georgia-Tbilisi", None, None, None), ("Remote", None, None, None)]
+SLUG_PLACES = [("South-Africa-Cape-Town", "Cape Town", None, "ZA"), ("Boise", None, None, None), ("US-WA-Spokane", "Spokane", "WA", "US"), ("FR-Nantes", "Nantes", None, "FR"),
+               ("Onsite", None, None, None), ("QQ-Lund", None, None, None), ("CA-BC-Hybrid", None, "BC", "CA"), ("Portugal", None, None, "PT"),
+               ("Chad-Valley", None, None, None), ("MT-Missoula", None, None, None), ("New-Zealand-Remote", None, None, "NZ")]
 _SL = [D.pick([x[i] for x in SLUG_PLACES], "o_orderkey") for i in range(4)]
 
 
@@ -350,10 +349,10 @@ def feed_smartrecruiters(t):
 
 @query("feed_oracle", """
     SELECT 'h.fa.oraclecloud.com/CX' || o_orderkey AS token, NULL AS company, o_orderpriority AS title, 'https://h.fa.oraclecloud.com/hcmUI/CandidateExperience/fr/sites/CX' || o_orderkey || '/job/' || o_orderkey AS url,
-      'Oslo | A | B | C | D' AS location, CASE WHEN o_orderkey % 2 = 0 THEN 'Func' ELSE 'Org' END AS department, o_orderdate AS posted, NULL AS workplace, 'Regular' AS employment_type,
+      'Oslo | A | B | C | D | E' AS location, CASE WHEN o_orderkey % 2 = 0 THEN 'Func' ELSE 'Org' END AS department, o_orderdate AS posted, NULL AS workplace, 'Regular' AS employment_type,
       CASE WHEN o_orderkey % 3 = 0 THEN 'Oslo' END AS city, CASE WHEN o_orderkey % 3 = 0 THEN 'Oslo fylke' END AS region, 'NO' AS country FROM orders WHERE o_orderkey % 7 <> 0""")
 def feed_oracle(t):
-    """RD-7: four further locations at most, first non-empty of several fields, rows without an id dropped."""
+    """RD-7: all further locations, first non-empty of several fields, rows without an id dropped."""
     k = col("o_orderkey")
     body = F.concat(lit('{"items":[{"TotalJobsCount":1,"requisitionList":[{"Id":'), F.when(k % 7 == 0, lit("null")).otherwise(F.concat(lit('"'), _text(k), lit('"'))), lit(',"Title":"'), col("o_orderpriority"),
                     lit('","PostedDate":"'), F.date_format("o_orderdate", "yyyy-MM-dd"), lit('","PrimaryLocation":"Oslo","PrimaryLocationCountry":"NO","WorkplaceType":"","JobSchedule":"","WorkerType":"Regular",'
@@ -375,24 +374,23 @@ def line_pages(t):
 
 
 _LINES = """n AS (SELECT l_orderkey, l_linenumber - 1 AS page_offset, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) - 1 AS pos FROM lineitem WHERE l_linenumber <> 5),
-    w AS (SELECT l_orderkey, least(count(*), 4) AS wanted, count(*) AS total FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1) GROUP BY 1)"""
+    w AS (SELECT l_orderkey, count(*) AS wanted FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1) GROUP BY 1)"""
 
 
 @query("board_rows", f"""
     WITH {_LINES} SELECT l_orderkey::VARCHAR AS domain, page_offset::BIGINT AS page_offset, pos::BIGINT AS pos, l_partkey AS item FROM (SELECT n.*, wanted, row_number() OVER (PARTITION BY l_orderkey ORDER BY page_offset, pos) AS k
       FROM n JOIN w USING (l_orderkey) WHERE page_offset < wanted) WHERE k <= wanted""")
 def board_rows(t):
-    """SRC-4 / FLT-6: pages in order, the total from the first page alone, rows up to the cap."""
-    return apis.board_rows(line_pages(t), max_jobs=4).select("domain", col("page_offset").cast("bigint").alias("page_offset"), col("pos").cast("bigint").alias("pos"), "item")
+    """SRC-4 / FLT-6: pages in order, the total from the first page alone, rows up to that total."""
+    return apis.board_rows(line_pages(t)).select("domain", col("page_offset").cast("bigint").alias("page_offset"), col("pos").cast("bigint").alias("pos"), "item")
 
 
 @query("board_truncation", f"""
     WITH {_LINES} SELECT l_orderkey::VARCHAR AS domain, wanted::BIGINT AS wanted, CASE WHEN EXISTS (SELECT 1 FROM (SELECT unnest(range(1, wanted)) AS o) x
-        WHERE o NOT IN (SELECT page_offset FROM n n2 WHERE n2.l_orderkey = w.l_orderkey)) THEN 'a results page could not be read'
-      WHEN total > 4 THEN 'board has ' || total || ' jobs, read 4' END AS truncated FROM w""")
+        WHERE o NOT IN (SELECT page_offset FROM n n2 WHERE n2.l_orderkey = w.l_orderkey)) THEN 'a results page could not be read' END AS truncated FROM w""")
 def board_truncation(t):
     """SRC-5: why a board was not read whole; this gates closing."""
-    return apis.truncation(line_pages(t), page_size=1, max_jobs=4).select("domain", col("wanted").cast("bigint").alias("wanted"), "truncated")
+    return apis.truncation(line_pages(t), page_size=1).select("domain", col("wanted").cast("bigint").alias("wanted"), "truncated")
 
 
 # ---- one record for every source ----
@@ -442,11 +440,11 @@ def reader_cascade(t):
 
 
 @query("generic_merge", """
-    WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem)
-    SELECT 'c' || l_orderkey AS domain, CASE WHEN n <= 2 AND p_size > 20 THEN 'Detail ' || p_name ELSE 'Link ' || l_partkey END AS title, CASE WHEN n <= 2 AND p_size > 20 THEN 'json-ld' ELSE 'html-heuristic' END AS source
+    WITH l AS (SELECT l_orderkey, l_partkey FROM lineitem)
+    SELECT 'c' || l_orderkey AS domain, CASE WHEN p_size > 20 THEN 'Detail ' || p_name ELSE 'Link ' || l_partkey END AS title, CASE WHEN p_size > 20 THEN 'json-ld' ELSE 'html-heuristic' END AS source
     FROM l JOIN part ON p_partkey = l_partkey UNION ALL SELECT 'c' || o_orderkey, 'Embedded', 'json-ld' FROM orders WHERE o_orderstatus = 'P'""")
 def generic_merge(t):
-    """RD-9 / JOIN-11 / SET-1: embedded postings plus links, the first links of a company read from their own pages."""
+    """RD-9 / JOIN-11 / SET-1: embedded postings plus links, each link read from its own page where there is one."""
     embedded = t.orders.filter(col("o_orderstatus") == "P").select(F.concat(lit("c"), _text(col("o_orderkey"))).alias("domain"), lit("Embedded").alias("title"), lit("u").alias("url"),
                                                                   lit(None).cast("string").alias("location"), lit("json-ld").alias("source"))
     links = t.lineitem.join(t.part, col("l_partkey") == col("p_partkey")).select(
@@ -456,7 +454,7 @@ def generic_merge(t):
     details = t.lineitem.join(t.part.filter(col("p_size") > 20), col("l_partkey") == col("p_partkey")).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("url_key"), F.concat(lit("Detail "), "p_name").alias("title"),
         lit("d").alias("url"), lit(None).cast("string").alias("location"), lit("json-ld").alias("source"))
-    return CA.merge_generic(embedded, links, details, max_enrich=2, order=["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]).select("domain", "title", "source")
+    return CA.merge_generic(embedded, links, details).select("domain", "title", "source")
 
 
 @query("trusted_results", """

@@ -90,9 +90,16 @@ def export_manifest(t):
 
 # ---- streaming ----
 
-def _stream(t, name):
-    table = getattr(t, name)
-    return t.spark.readStream.schema(table.schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
+def _landed(df, part, folder):
+    """Rows as they land: one delivery for each value 0, 1, 2 of `part`, streamed one delivery at a time."""
+    for n in range(3):
+        df.filter(part == n).coalesce(1).write.mode("append").parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _by_days(events, folder):
+    days = F.date_diff(col("ts").cast("date"), F.to_date(lit("2024-01-01")))
+    return _landed(events, F.least(F.floor(days / 10), lit(2)), f"{folder}/landed")
 
 
 def _rows(events):
@@ -112,7 +119,7 @@ def _ingested(t):
     folder = _folder(t)
     versions = ST.Snapshots(t.spark, f"{folder}/postings")
     versions.write(t.spark.createDataFrame([], _EMPTY), 0)
-    ST.ingest(_rows(_stream(t, "events")), versions, f"{folder}/links", f"{folder}/checkpoint", ["title"], available_now=True).awaitTermination()
+    ST.ingest(_rows(_by_days(t.events, folder)), versions, f"{folder}/links", f"{folder}/checkpoint", ["title"], available_now=True).awaitTermination()
     return folder, versions
 
 
@@ -123,7 +130,7 @@ def stream_ingest(t):
     """STM-1 / SNK-8: landed rows streamed into the history; the final version and its links."""
     folder, versions = _ingested(t)
     links = t.spark.read.parquet(f"{folder}/links").groupBy("posting_id").agg(F.count("*").alias("runs"))
-    return versions.read(1).join(links, "posting_id").select("url_key", "domain", "title", "last_seen", "runs")
+    return versions.read(versions.latest()).join(links, "posting_id").select("url_key", "domain", "title", "last_seen", "runs")
 
 
 @query("stream_lifecycle", f"""
@@ -133,15 +140,13 @@ def stream_lifecycle(t):
     """STM-2: finished runs streamed in mark postings missing and closed, as the batch replay does."""
     folder, versions = _ingested(t)
     runs = HP.runs(t)
-    landed = f"{folder}/finished"
-    runs.write.parquet(landed)
     tables = ST.Snapshots(t.spark, f"{folder}/runs")
     tables.write(runs.limit(0), 0)
     marked = ST.Snapshots(t.spark, f"{folder}/marked")
-    marked.write(versions.read(1), 0)
-    stream = t.spark.readStream.schema(runs.schema).parquet(landed)
+    marked.write(versions.read(versions.latest()), 0)
+    stream = _landed(runs, F.least(F.floor(col("run_id") / 100), lit(2)), f"{folder}/finished")
     ST.close_missing(stream, tables, marked, f"{folder}/checkpoint-runs", available_now=True).awaitTermination()
-    return marked.read(1).select("url_key", "missing_since", "closed_at")
+    return marked.read(marked.latest()).select("url_key", "missing_since", "closed_at")
 
 
 @query("stream_counts", """
@@ -149,10 +154,11 @@ def stream_lifecycle(t):
 def stream_counts(t):
     """STM-6: live counts per company while rows stream in."""
     folder = _folder(t)
-    rows = _stream(t, "events").select(F.concat(lit("u"), (col("user_id") % 10).cast("string")).alias("domain"), col("event_type").alias("source"))
+    events = _landed(t.events, col("event_id") % 3, f"{folder}/landed")
+    rows = events.select(F.concat(lit("u"), (col("user_id") % 10).cast("string")).alias("domain"), col("event_type").alias("source"))
     counts = ST.live_counts(rows, JobFilter(source=["click", "view"]), gazetteer(t.spark))
     ST.write_counts(counts, f"{folder}/counts", f"{folder}/checkpoint", available_now=True).awaitTermination()
-    return t.spark.read.parquet(f"{folder}/counts").select("domain", "matching", "total")
+    return ST.read_counts(t.spark, f"{folder}/counts")
 
 
 @query("stream_without_repeats", """
@@ -160,7 +166,7 @@ def stream_counts(t):
 def stream_without_repeats(t):
     """STM-1: repeats of a streaming run are dropped before they are stored."""
     folder = _folder(t)
-    events = _stream(t, "events").select("user_id", "event_type", "event_id", col("ts").cast("timestamp").alias("ts"))
+    events = _by_days(t.events, folder).select("user_id", "event_type", "event_id", col("ts").cast("timestamp").alias("ts"))
     twice = events.withColumn("copy", F.explode(F.array(lit(1), lit(2))))
     once = ST.without_repeats(twice, "ts", ["event_id"], "1 day").drop("copy")
     (once.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")

@@ -228,10 +228,10 @@ def scope_closed_session(t):
     return SC.query_columns(SC.gone(_snapshot(t), links, "closed", runs(t), "s1")).select("posting_id", "run_id", "status")
 
 
-@query("run_history", f"WITH {LOG} SELECT run_id, domain, status, jobs_count::BIGINT AS jobs_count FROM runs ORDER BY run_id DESC LIMIT 200")
+@query("run_history", f"WITH {LOG} SELECT run_id, domain, status, jobs_count::BIGINT AS jobs_count FROM runs")
 def run_history(t):
     """SRT-2: runs, newest first."""
-    return runs(t).orderBy(F.desc("run_id")).limit(200).select("run_id", "domain", "status", "jobs_count")
+    return runs(t).orderBy(F.desc("run_id")).select("run_id", "domain", "status", "jobs_count")
 
 
 # ---- streaming rules in batch ----

@@ -143,10 +143,10 @@ def page_job_links(t):
         OR (regexp_matches(text, {D.re2(V.BARE_JOBS_TEXT)}) AND regexp_matches({D.path('url')}, {D.re2(V.JOBS_PATH)})))),
     once AS (SELECT DISTINCT ON (site, url) site, page_id, pos, url FROM good ORDER BY site, url, page_id, pos)
     SELECT site, row_number() OVER (PARTITION BY site ORDER BY page_id, pos) AS rank, url FROM once
-    QUALIFY rank <= {V.MAX_VIEW_ALL}""")
+    QUALIFY rank <= 5""")
 def view_all_links(t):
     """HTML-6: one hop to the full listing."""
-    return A.view_all_links(crawl(t), "site", "page_id").withColumn("rank", col("rank").cast("bigint"))
+    return A.view_all_links(crawl(t), "site", "page_id", top=5).withColumn("rank", col("rank").cast("bigint"))
 
 
 _PAGED = (f"paged AS (SELECT page_id, {D.without_fragment('url')} AS final_url, html || '<a href=\"' || {D.path('url')} || "
@@ -162,29 +162,29 @@ _PAGED = (f"paged AS (SELECT page_id, {D.without_fragment('url')} AS final_url,
     best AS (SELECT DISTINCT ON (page_id) page_id, f, split_part(pair, '=', 1) AS name, split_part(pair, '=', 2)::BIGINT AS n
              FROM params WHERE regexp_matches(pair, '(?i)^(page|p|pg|pagenum|page_num|pagenumber)=[0-9]+$')
              AND split_part(pair, '=', 2)::BIGINT > 1 ORDER BY page_id, n DESC, pos, nth)
-    SELECT page_id, k::BIGINT AS page_number, CASE WHEN n > 40 THEN n END AS last_page,
+    SELECT page_id, k::BIGINT AS page_number, n AS last_page,
            regexp_extract(f, '^([^?#]*)', 1) || '?' || array_to_string(list_transform(list_filter(
              string_split({D.url_query('f')}, '&'), lambda p: regexp_matches(p, '^[^=]*=.')),
              lambda p: CASE WHEN split_part(p, '=', 1) = name THEN name || '=' || k ELSE p END), '&') AS url
-    FROM (SELECT *, unnest(range(2, least(n, 40) + 1)) AS k FROM best)""")
+    FROM (SELECT *, unnest(range(2, least(n, 10000) + 1)) AS k FROM best)""")
 def pagination(t):
-    """HTML-7 / AGG-13: the other result pages of a listing, and its real length when beyond the cap."""
+    """HTML-7 / AGG-13: the other result pages of a listing, and how many it has."""
     url = U.without_fragment(col("url"))
     more = F.concat(lit('<a href="'), U.path(url), lit("?ref=a&amp;page="), (col("page_id") % 60).cast("string"),
                     lit('&amp;x=">'), col("page_id").cast("string"), lit('</a><a href="?Page=3">3</a>'))
     paged = t.pages.select("page_id", url.alias("final_url"), F.concat("html", more).alias("html"))
-    return A.pagination(paged, ["page_id"]).withColumn("page_number", col("page_number").cast("bigint"))
+    return A.pagination(paged, ["page_id"], upto=10_000).withColumn("page_number", col("page_number").cast("bigint"))
 
 
 # ---- page labels ----
 
 CHALLENGES = ["<title>Just a  moment...</title>", "<p>Please solve the captcha</p>", "", "<title> Access Denied</title>",
               "Reference #18.2f3a", "<title>Careers</title><p>enable JavaScript and cookies</p>"]
-_SHORT = f"CASE WHEN page_id % 2 = 0 THEN {D.pick(CHALLENGES, 'page_id // 2')} || left(html, 400) ELSE html END"
+_SHORT = f"CASE WHEN page_id % 2 = 0 THEN {D.pick(CHALLENGES, 'page_id // 2')} || html ELSE html END"
 
 
 def _maybe_challenge():
-    return F.when(col("page_id") % 2 == 0, F.concat(pick(CHALLENGES, F.floor(col("page_id") / 2)), F.substring("html", 1, 400))) \
+    return F.when(col("page_id") % 2 == 0, F.concat(pick(CHALLENGES, F.floor(col("page_id") / 2)), "html")) \
         .otherwise(col("html"))
 
 
@@ -254,13 +254,13 @@ def sitemap_candidates(t):
     """SRC-8: listing addresses from a sitemap, shortest first, five per site."""
     from ..sources.crawl import sitemap_candidates as best
     urls = t.pages.select(U.host(col("url")).alias("site"), F.regexp_replace("url", "/(en|fr)/", "/$1/jobs/").alias("url"))
-    return best(urls, "site").withColumn("rank", col("rank").cast("bigint"))
+    return best(urls, "site", top=5).withColumn("rank", col("rank").cast("bigint"))
 
 
 # ---- discovery ----
 
 def _score_sql():
-    t = f"left({D.collapse(chr(39).join(['array_to_string(chunks, ', ' ', ')']))}, 80)"
+    t = D.collapse("array_to_string(chunks, ' ')")
     asked = f"lower({D.path('url')} || CASE WHEN {D.url_query('url')} <> '' THEN '?' || {D.url_query('url')} ELSE '' END)"
     return (f"(CASE WHEN regexp_matches({asked}, {D.re2(V.CAREERS_HREF)}) THEN 10 ELSE 0 END + CASE WHEN lower({t}) IN "
             f"{D.in_list(V.CAREERS_TEXT_EXACT)} THEN 20 WHEN regexp_matches({t}, {D.re2(V.CAREERS_TEXT)}) THEN 10 ELSE 0 END)")
@@ -284,7 +284,7 @@ def homes(t):
     SELECT site, url, score, row_number() OVER (PARTITION BY site ORDER BY score DESC, pos) AS rank FROM best QUALIFY rank <= 10""")
 def homepage_links(t):
     """HTML-8 / WIN-7: careers links of home pages, best ten."""
-    return DS.homepage_links(homes(t)).withColumn("rank", col("rank").cast("bigint"))
+    return DS.homepage_links(homes(t), top=10).withColumn("rank", col("rank").cast("bigint"))
 
 
 @query("homepage_job_boards", f"""
@@ -359,12 +359,15 @@ def soft_404(t):
 
 _CAND = f"""f AS (SELECT page_id AS pos, {D.site_domain('url')} AS site, [{D.site_domain('url')}] AS domains,
       CASE WHEN page_id % 9 = 4 THEN 'https://jobs.elsewhere.com/careers' ELSE {_LAND_URL} END AS u,
-      {D.pick(STATUSES, 'page_id')} AS status, {D.page_title('html')} AS title, {D.is_challenge('html')} AS challenge, html <> '' AS filled,
+      {D.pick(STATUSES, 'page_id')} AS status, {D.page_title('html')} AS title, {D.is_challenge('html')} AS challenge, html <> '' AS filled, length(html) AS size,
       {D.pick([80, 20, 15, 10, 0], 'page_id')} AS base, page_id % 5 = 0 OR page_id % 9 = 4 AS asked FROM pages),
-    g AS (SELECT *, (status IN (403, 429, 503) OR challenge) AND (asked OR regexp_matches({D.path('u')}, {D.re2(V.CAREERS_PATH)})) AS blocked,
-      status = 200 AND filled AND NOT challenge AND NOT regexp_matches(title, {D.re2(V.NOT_FOUND_TITLE)}) AS fine,
+    home AS (SELECT site, u AS home_url, title AS home_title, size AS home_size FROM f WHERE status = 200 AND filled AND NOT challenge
+      QUALIFY row_number() OVER (PARTITION BY site ORDER BY pos DESC) = 1),
+    g AS (SELECT f.*, (status IN (403, 429, 503) OR challenge) AND (asked OR regexp_matches({D.path('u')}, {D.re2(V.CAREERS_PATH)})) AS blocked,
+      status = 200 AND filled AND NOT challenge AND NOT regexp_matches(title, {D.re2(V.NOT_FOUND_TITLE)})
+        AND NOT coalesce({D.url_key('u')} = {D.url_key('home_url')} OR (title <> '' AND title = home_title AND abs(size - home_size) <= 0.03 * greatest(home_size, 1)), false) AS fine,
       regexp_matches(title, {D.re2(V.CAREERS_TITLE)}) OR regexp_matches({D.path('u')}, {D.re2(V.CAREERS_PATH)}) AS careers,
-      NOT (len(list_filter(domains, lambda d: {D.same_site(D.host('u'), 'd')})) > 0) AS elsewhere FROM f),
+      NOT (len(list_filter(domains, lambda d: {D.same_site(D.host('u'), 'd')})) > 0) AS elsewhere FROM f LEFT JOIN home USING (site)),
     kept AS (SELECT *, {_final_score_sql('u', 'base')} AS s, {D.url_key('u')} AS url_key FROM g WHERE (blocked OR fine)
       AND (NOT elsewhere OR CASE WHEN blocked THEN asked ELSE careers END) AND (careers OR blocked)),
     merged AS (SELECT site, url_key, list_reduce(list(s ORDER BY pos), lambda acc, x: greatest(acc, x) + 5) AS score,
@@ -381,9 +384,9 @@ def _candidates(t):
                            pick(STATUSES, pos).alias("status"), pick([80, 20, 15, 10, 0], pos).alias("base_score"),
                            ((pos % 5 == 0) | (pos % 9 == 4)).alias("asked_for"), "html")
     features = DS.page_features(pages, ["pos", "site", "domains", "base_score", "asked_for"])
-    none = features.select("site", lit(None).cast("string").alias("home_url"), lit(None).cast("string").alias("home_title"),
-                           lit(None).cast("int").alias("home_size")).limit(0)
-    return DS.candidates(features, none)
+    home = first_per_key(features.filter("ok"), ["site"], [col("pos").desc()])
+    home = home.select("site", col("final_url").alias("home_url"), col("title").alias("home_title"), col("size").alias("home_size"))
+    return DS.merged_candidates(features, home)
 
 
 @query("careers_candidates", f"""
@@ -391,13 +394,12 @@ def _candidates(t):
       row_number() OVER (PARTITION BY site ORDER BY score DESC, pos) AS rank FROM merged QUALIFY rank <= 3""")
 def careers_candidates(t):
     """HTML-11: merged and scored candidates, best three per company."""
-    return _candidates(t).select("site", "url_key", "final_url", col("score").cast("bigint").alias("score"), "hits",
+    return DS.best_candidates(_candidates(t), top=3).select("site", "url_key", "final_url", col("score").cast("bigint").alias("score"), "hits",
                                  col("rank").cast("bigint").alias("rank"))
 
 
 @query("careers_domains", f"""
-    WITH {_CAND}, best AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, pos) AS rank FROM merged QUALIFY rank <= 3)
-    SELECT site, site AS careers_domain FROM best UNION SELECT site, {D.registrable_domain('hosted')} FROM best WHERE hosted <> ''""")
+    WITH {_CAND} SELECT site, site AS careers_domain FROM merged UNION SELECT site, {D.registrable_domain('hosted')} FROM merged WHERE hosted <> ''""")
 def careers_domains(t):
     """HTML-12: domains that count as a company's own."""
     return DS.careers_domains(_candidates(t).withColumn("domain", col("site")))

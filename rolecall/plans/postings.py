@@ -68,7 +68,7 @@ def group_countries(*groups):
     out = set()
     for g in groups:
         e = REGION_GROUPS[g]
-        out |= set(e.get("countries", "").split()) | set(group_countries(*e.get("includes", [])))
+        out |= set(e.get("countries", [])) | set(group_countries(*e.get("includes", [])))
     return sorted(out)
 
 
@@ -139,7 +139,7 @@ def _facet_sql(tests, names=("workplace", "employment_type", "country", "departm
         label = "max(company)" if n == "domain" else "NULL::VARCHAR"
         nulls = "" if n in ("source", "domain") else f" UNION ALL SELECT '{n}', NULL, n, l, 1e9, k FROM top_{n} WHERE v IS NULL"
         parts.append((n, f"top_{n} AS (SELECT {n} AS v, count(*) AS n, {label} AS l, row_number() OVER (ORDER BY count(*) DESC, {n} "
-                         f"ASC NULLS FIRST) AS k FROM p WHERE {where} GROUP BY {n} QUALIFY k <= 100)",
+                         f"ASC NULLS FIRST) AS k FROM p WHERE {where} GROUP BY {n})",
                       f"SELECT '{n}' AS facet, v AS value, n AS count, l AS label, k AS o, k FROM top_{n} WHERE v IS NOT NULL{nulls}"))
     return (f"WITH {POSTINGS}, " + ", ".join(x[1] for x in parts) + ", u AS (" + " UNION ALL ".join(x[2] for x in parts) + ") "
             "SELECT facet, row_number() OVER (PARTITION BY facet ORDER BY o) AS position, value, count::BIGINT AS count, label FROM u")
@@ -227,7 +227,7 @@ def common_company_name(t):
     WITH {POSTINGS} SELECT posting_id, title FROM p ORDER BY lower(title) ASC, posting_id DESC LIMIT 200 OFFSET 300""")
 def sorted_page(t):
     """SRT-1 / SRT-3: one page of a total order."""
-    return FL.page(postings(t), "title", "asc", limit=200, offset=300).select("posting_id", "title")
+    return FL.page(postings(t), 200, "title", "asc", offset=300).select("posting_id", "title")
 
 
 @query("newest_page", f"""
@@ -235,7 +235,7 @@ def sorted_page(t):
 def newest_page(t):
     """SRT-1: newest first, unknown dates last."""
     p = postings(t).withColumn("posted", F.when(col("is_new"), col("posted")))
-    return FL.page(p).select("posting_id", "posted")
+    return FL.page(p, 100).select("posting_id", "posted")
 
 
 # ---- search ----
@@ -371,13 +371,11 @@ def country_names(t):
 
 
 PLACE_TEXT = [
-    ("San Francisco, CA", "San Francisco", "California", "US"), ("Remote - US", None, None, "US"), ("Paris", None, None, None),
-    ("Berlin, DE", "Berlin", None, "DE"), ("Wilmington, DE", None, None, None), ("Gliwice, Poland", "Gliwice", None, "PL"),
-    ("Multiple Locations | Dublin, Ireland", "Dublin", None, "IE"), ("US, CA, Santa Clara", "Santa Clara", "California", "US"),
-    ("Israel, Yokneam", "Yokneam", None, "IL"), ("Washington, D.C.", "Washington, D.C.", "District of Columbia", "US"),
-    ("Tbilisi, Georgia", None, None, None), ("Atlanta, Georgia", "Atlanta", "Georgia", "US"), ("India, Pune (+1 more)", "Pune", None, "IN"),
-    ("Hybrid - London", "London", None, "GB"), ("Portland, ME", None, None, None), ("Boston, MA, USA", "Boston", "Massachusetts", "US"),
-    ("Singapore", "Singapore", None, "SG"), ("California", None, "California", "US"), ("Washington", None, None, None)]
+    ("Denver, CO", "Denver", "Colorado", "US"), ("Spain, Remote", None, None, "ES"), ("Mars Base", None, None, None),
+    ("Chicago, Illinois, US", "Chicago", "Illinois", "US"), ("Somerville, IN", None, None, None), ("Porto, Portugal", "Porto", None, "PT"),
+    ("Several sites / Lisbon, Portugal", "Lisbon", None, "PT"), ("Japan, Osaka (+5 more)", "Osaka", None, "JP"),
+    ("Hybrid | Madrid, Spain", "Madrid", None, "ES"), ("Savannah, Georgia", None, None, None), ("Atlanta, Georgia, USA", "Atlanta", "Georgia", "US"),
+    ("Ohio", None, "Ohio", "US"), ("Montréal, Quebec", "Montreal", "Quebec", "CA"), ("Norway", None, None, "NO")]
 
 
 @query("places_read", f"""

@@ -9,11 +9,10 @@ from .registry import pick, query, utc
 
 col, lit = F.col, F.lit
 
-WORKPLACE_WORDING = ["Remote", "Fully Remote", "TELECOMMUTE", "Hybrid", "Flex", "Flexible", "On-site", "OnSite",
-                     "In Office", "Office", "Unspecified", "unknown", "", "banana", "Office-based  role", None]
-TYPE_WORDING = ["Full-time", "FULL_TIME", "FullTime", "Permanent", "Regular Full Time", "Part-time", "PART_TIME",
-                "Contract", "Contractor", "Temporary", "Fixed-term", "Freelance", "Intern", "Internship", "Co-op",
-                "Volunteer", "PER_DIEM", "Unspecified", "", None]
+WORKPLACE_WORDING = ["three days in-person", None, "hybrid / remote", "Work from home", " flex ", "somewhere", "N/A",
+                     "remote within the EU", "flexible hours", "office", "in-office only", "on site", "none", "  "]
+TYPE_WORDING = ["Apprenticeship", "seasonal help", None, "regular", "part time (60 %)", "fixed term, 12 months", "temp",
+                "n/a", "freelancing", "full time or part time", "Working student", "on call", "FTE", "temperate", " ", "consultant"]
 
 
 # ---- text ----

@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.variant.allowDuplicateKeys": "true",        # of a key given twice the last stays
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -29,9 +30,10 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "rol
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the settings results depend on (UTC above all) on a session somebody else created."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Pin the settings results depend on (UTC, repeated JSON keys) on a session somebody else created."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.variant.allowDuplicateKeys"):
+        if spark.conf.get(key) != SETTINGS[key]:
+            spark.conf.set(key, SETTINGS[key])
     return spark
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import variants as J
+from ..operators.keyed import first_per_key
 from ..schemas import API_RESPONSES
 
 BOARD = ["domain", "ats", "token"]
@@ -19,41 +20,63 @@ def parsed(responses: DataFrame) -> DataFrame:
     return responses.withColumn("data", J.parse(F.col("body")))
 
 
-def board_pages(pages: DataFrame, max_jobs: int = 2000) -> DataFrame:
+def newest_pages(pages: DataFrame) -> DataFrame:
+    """Each page of a board once: the newest answer where `fetched_at` tells, a readable one before an unreadable one."""
+    order = [F.col("fetched_at").desc_nulls_last()] if "fetched_at" in pages.columns else []
+    return first_per_key(pages, [*BOARD, "page_offset"], [*order, F.col("items").isNull(), F.size("items").desc()])
+
+
+def _wanted(total: Column, max_jobs: int | None) -> Column:
+    return total if max_jobs is None else F.when(total.isNotNull(), F.least(total, F.lit(max_jobs)))
+
+
+def board_pages(pages: DataFrame, max_jobs: int | None = None, bucket_width: int = 100_000) -> DataFrame:
     """Pages of boards with how many of their rows count: adds wanted (from the first page's total alone) and take.
 
-    pages: domain, ats, token, page_offset, total, items (NULL for an unreadable page). A board is read up to its first
-    page's total or `max_jobs`; that also bounds the pages of one board, so numbering them in order is cheap.
+    pages: domain, ats, token, page_offset, total, items (NULL for an unreadable page), maybe fetched_at. A board is read
+    up to its first page's total, or to `max_jobs` if the caller names one. The rows before each page are added up over
+    sizes alone, bucket by bucket along the offset; items stay where they are and are joined by page.
     """
-    board = Window.partitionBy(*BOARD)
-    before = board.orderBy("page_offset").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.coalesce(F.size("items"), F.lit(0))
-    first = F.max(F.when(F.col("page_offset") == 0, F.col("total"))).over(board)
-    return (pages.withColumn("wanted", F.when(first.isNotNull(), F.least(first, F.lit(max_jobs)))).withColumn("board_total", first)
-            .withColumn("__had", F.coalesce(F.sum(size).over(before), F.lit(0)))
-            .withColumn("take", F.greatest(F.least(F.col("wanted") - F.col("__had"), size), F.lit(0)))
-            .filter(F.col("wanted").isNotNull() & (F.col("page_offset") < F.greatest(F.col("wanted"), F.lit(1)))).drop("__had"))
-
-
-def board_rows(pages: DataFrame, max_jobs: int = 2000) -> DataFrame:
-    """One row per posting of paged boards, in page order and within the cap: domain, ats, token, page_offset, pos, item."""
+    pages = newest_pages(pages)
+    place = [*BOARD, "__bucket"]
+    bucket = F.floor(F.col("page_offset") / bucket_width)
+    sizes = pages.select(*BOARD, "page_offset", bucket.alias("__bucket"), F.coalesce(F.size("items"), F.lit(0)).alias("__size"))
+    board = Window.partitionBy(*BOARD).orderBy("__bucket")
+    buckets = (sizes.groupBy(*place).agg(F.sum("__size").alias("__n"))
+               .withColumn("__before", F.coalesce(F.sum("__n").over(board.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n"))
+    inside = Window.partitionBy(*place).orderBy("page_offset").rowsBetween(Window.unboundedPreceding, -1)
+    had = (sizes.withColumn("__in", F.coalesce(F.sum("__size").over(inside), F.lit(0))).join(buckets, place)
+           .select(*BOARD, "page_offset", "__size", (F.col("__before") + F.col("__in")).alias("__had")))
+    firsts = pages.filter(F.col("page_offset") == 0).select(*BOARD, F.col("total").alias("board_total"))
+    wanted = firsts.filter(F.col("board_total").isNotNull()).withColumn("wanted", _wanted(F.col("board_total"), max_jobs))
+    numbered = had.join(wanted, BOARD).filter(F.col("page_offset") < F.greatest(F.col("wanted"), F.lit(1)))
+    take = F.greatest(F.least(F.col("wanted") - F.col("__had"), F.col("__size")), F.lit(0))
+    return pages.join(numbered.withColumn("take", take).drop("__had", "__size"), [*BOARD, "page_offset"])
+
+
+def board_rows(pages: DataFrame, max_jobs: int | None = None) -> DataFrame:
+    """One row per posting of paged boards, in page order: domain, ats, token, page_offset, pos, item."""
     return board_pages(pages, max_jobs).select(
         *BOARD, "page_offset", F.posexplode(F.slice("items", 1, F.col("take").cast("int"))).alias("pos", "item"))
 
 
-def truncation(pages: DataFrame, page_size: int, max_jobs: int = 2000, unreadable_counts: bool = True) -> DataFrame:
-    """Why a board was not read whole, one row per board: capped, or a page that is missing or unreadable; NULL if whole."""
+def truncation(pages: DataFrame, page_size: int, max_jobs: int | None = None, unreadable_counts: bool = True) -> DataFrame:
+    """Why a board was not read whole, one row per board: capped, or a page that is missing or unreadable; NULL if whole.
+
+    Readable pages after the first are counted per board and compared with how many there should be.
+    """
+    pages = newest_pages(pages)
     firsts = pages.filter(F.col("page_offset") == 0).select(*BOARD, F.col("total").alias("board_total"))
-    firsts = firsts.withColumn("wanted", F.least("board_total", F.lit(max_jobs)))
-    expected = firsts.filter(F.col("wanted") > page_size).select(*BOARD, F.explode(
-        F.sequence(F.lit(page_size), (F.col("wanted") - 1).cast("int"), F.lit(page_size))).alias("page_offset"))
-    good = pages.filter(F.col("items").isNotNull()).select(*BOARD, "page_offset")
-    lost = expected.join(good, [*BOARD, "page_offset"], "left_anti").groupBy(*BOARD).agg(F.count("*").alias("lost"))
-    capped = F.when(F.col("board_total") > max_jobs, F.concat(
+    firsts = firsts.withColumn("wanted", _wanted(F.col("board_total"), max_jobs))
+    later = pages.filter(F.col("items").isNotNull() & (F.col("page_offset") > 0) & (F.col("page_offset") % page_size == 0))
+    good = (later.select(*BOARD, "page_offset").join(firsts.select(*BOARD, "wanted"), BOARD).filter(F.col("page_offset") < F.col("wanted"))
+            .groupBy(*BOARD).agg(F.count("*").alias("__good")))
+    expected = F.greatest(F.ceil(F.col("wanted") / page_size) - 1, F.lit(0))
+    unread = F.when(expected > F.coalesce("__good", F.lit(0)), F.lit("a results page could not be read"))
+    capped = F.lit(None).cast("string") if max_jobs is None else F.when(F.col("board_total") > max_jobs, F.concat(
         F.lit("board has "), F.col("board_total").cast("string"), F.lit(f" jobs, read {max_jobs}")))
-    unread = F.when(F.col("lost") > 0, F.lit("a results page could not be read"))
     reason = F.coalesce(unread, capped) if unreadable_counts else capped
-    return firsts.join(lost, BOARD, "left").select(*BOARD, "board_total", "wanted", reason.alias("truncated"))
+    return firsts.join(good, BOARD, "left").select(*BOARD, "board_total", "wanted", reason.alias("truncated"))
 
 
 def workplace_flags(location: Column) -> Column:

@@ -41,9 +41,9 @@ def accept_addresses(typed: DataFrame, active: DataFrame) -> DataFrame:
     return parsed.join(busy, "domain", "left").withColumn("status", status).drop("busy")
 
 
-def sitemap_candidates(urls: DataFrame, site: str) -> DataFrame:
-    """Addresses with a path segment naming jobs or careers: shortest path, then shortest address, five per site."""
+def sitemap_candidates(urls: DataFrame, site: str, top: int) -> DataFrame:
+    """Addresses with a path segment naming jobs or careers: shortest path, then shortest address, `top` per site."""
     steps = F.split(U.path(F.col("url")), "/")
     hits = urls.filter(F.arrays_overlap(steps, F.array(*[F.lit(s) for s in V.SITEMAP_SEGMENTS]))).select(site, "url").distinct()
     return top_per_key(hits, [site], [F.size(F.split(U.path(F.col("url")), "/")), F.length("url"), F.col("url")],
-                       V.MAX_SITEMAP, rank="rank").select(site, "rank", "url")
+                       top, rank="rank").select(site, "rank", "url")

@@ -168,16 +168,27 @@ METROS = {"Bay Area": _BAY, "SF Bay Area": _BAY, "San Francisco Bay Area": _BAY,
 
 # Region groups. Those without a label are building blocks only.
 REGION_GROUPS = {
-    "EUROPE": {"countries": "AD AL AT AX BA BE BG BY CH CY CZ DE DK EE ES FI FO FR GB GG GI GR HR HU IE IM IS IT JE LI "
-                            "LT LU LV MC MD ME MK MT NL NO PL PT RO RS RU SE SI SJ SK SM UA VA XK"},
-    "MIDDLE_EAST": {"countries": "AE BH EG IL IQ IR JO KW LB OM PS QA SA SY TR YE"},
-    "AFRICA": {"countries": "AO BF BI BJ BW CD CF CG CI CM CV DJ DZ EH ER ET GA GH GM GN GQ GW KE KM LR LS LY MA MG ML MR "
-                            "MU MW MZ NA NE NG RE RW SC SD SH SL SN SO SS ST SZ TD TG TN TZ UG YT ZA ZM ZW"},
-    "ASIA_PACIFIC": {"countries": "AF AS AU BD BN BT CK CN FJ FM GU HK ID IN JP KG KH KI KP KR KZ LA LK MH MM MN MO MP MV MY "
-                                  "NC NP NR NZ PF PG PH PK PW SB SG TH TJ TL TM TO TV TW UZ VN VU WS"},
-    "LATIN_AMERICA": {"countries": "AG AI AR AW BB BL BM BO BQ BR BS BZ CL CO CR CU CW DM DO EC FK GD GF GP GT GY HN HT JM "
-                                   "KN KY LC MF MQ MS MX NI PA PE PR PY SR SV SX TC TT UY VC VE VG VI"},
-    "NORTH_AMERICA": {"countries": "CA US"},
+    "EUROPE": {"countries": [
+            "AD", "AL", "AT", "AX", "BA", "BE", "BG", "BY", "CH", "CY", "CZ", "DE", "DK", "EE", "ES", "FI", "FO",
+            "FR", "GB", "GG", "GI", "GR", "HR", "HU", "IE", "IM", "IS", "IT", "JE", "LI", "LT", "LU", "LV", "MC",
+            "MD", "ME", "MK", "MT", "NL", "NO", "PL", "PT", "RO", "RS", "RU", "SE", "SI", "SJ", "SK", "SM", "UA",
+            "VA", "XK"]},
+    "MIDDLE_EAST": {"countries": ["AE", "BH", "EG", "IL", "IQ", "IR", "JO", "KW", "LB", "OM", "PS", "QA", "SA", "SY", "TR", "YE"]},
+    "AFRICA": {"countries": [
+            "AO", "BF", "BI", "BJ", "BW", "CD", "CF", "CG", "CI", "CM", "CV", "DJ", "DZ", "EH", "ER", "ET", "GA",
+            "GH", "GM", "GN", "GQ", "GW", "KE", "KM", "LR", "LS", "LY", "MA", "MG", "ML", "MR", "MU", "MW", "MZ",
+            "NA", "NE", "NG", "RE", "RW", "SC", "SD", "SH", "SL", "SN", "SO", "SS", "ST", "SZ", "TD", "TG", "TN",
+            "TZ", "UG", "YT", "ZA", "ZM", "ZW"]},
+    "ASIA_PACIFIC": {"countries": [
+            "AF", "AS", "AU", "BD", "BN", "BT", "CK", "CN", "FJ", "FM", "GU", "HK", "ID", "IN", "JP", "KG", "KH",
+            "KI", "KP", "KR", "KZ", "LA", "LK", "MH", "MM", "MN", "MO", "MP", "MV", "MY", "NC", "NP", "NR", "NZ",
+            "PF", "PG", "PH", "PK", "PW", "SB", "SG", "TH", "TJ", "TL", "TM", "TO", "TV", "TW", "UZ", "VN", "VU",
+            "WS"]},
+    "LATIN_AMERICA": {"countries": [
+            "AG", "AI", "AR", "AW", "BB", "BL", "BM", "BO", "BQ", "BR", "BS", "BZ", "CL", "CO", "CR", "CU", "CW",
+            "DM", "DO", "EC", "FK", "GD", "GF", "GP", "GT", "GY", "HN", "HT", "JM", "KN", "KY", "LC", "MF", "MQ",
+            "MS", "MX", "NI", "PA", "PE", "PR", "PY", "SR", "SV", "SX", "TC", "TT", "UY", "VC", "VE", "VG", "VI"]},
+    "NORTH_AMERICA": {"countries": ["CA", "US"]},
     "EMEA": {"label": "Europe, Middle East & Africa", "aliases": ["EMEA"], "includes": ["EUROPE", "MIDDLE_EAST", "AFRICA"]},
     "APAC": {"label": "Asia-Pacific", "aliases": ["APAC", "Asia Pacific", "Asia-Pacific", "APJ"],
              "includes": ["ASIA_PACIFIC"]},
@@ -186,15 +197,19 @@ REGION_GROUPS = {
     "AMERICAS": {"label": "The Americas", "aliases": ["Americas", "The Americas"],
                  "includes": ["NORTH_AMERICA", "LATIN_AMERICA"]},
     "EU": {"label": "European Union", "aliases": ["EU", "European Union"],
-           "countries": "AT BE BG HR CY CZ DK EE FI FR DE GR HU IE IT LV LT LU MT NL PL PT RO SK SI ES SE"},
-    "DACH": {"label": "Germany, Austria & Switzerland", "aliases": ["DACH"], "countries": "DE AT CH"},
+           "countries": [
+            "AT", "BE", "BG", "HR", "CY", "CZ", "DK", "EE", "FI", "FR", "DE", "GR", "HU", "IE", "IT", "LV", "LT",
+            "LU", "MT", "NL", "PL", "PT", "RO", "SK", "SI", "ES", "SE"]},
+    "DACH": {"label": "Germany, Austria & Switzerland", "aliases": ["DACH"], "countries": ["DE", "AT", "CH"]},
     "NORDICS": {"label": "Nordic countries", "aliases": ["Nordics", "Nordic", "Scandinavia"],
-                "countries": "DK FI IS NO SE"},
+                "countries": ["DK", "FI", "IS", "NO", "SE"]},
     "UKI": {"label": "United Kingdom & Ireland", "aliases": ["UK&I", "UKI", "UK & Ireland", "UK and Ireland"],
-            "countries": "GB IE"},
-    "ANZ": {"label": "Australia & New Zealand", "aliases": ["ANZ"], "countries": "AU NZ"},
+            "countries": ["GB", "IE"]},
+    "ANZ": {"label": "Australia & New Zealand", "aliases": ["ANZ"], "countries": ["AU", "NZ"]},
     "MENA": {"label": "Middle East & North Africa", "aliases": ["MENA"],
-             "countries": "AE BH DZ EG EH IL IQ IR JO KW LB LY MA MR OM PS QA SA SD SY TN TR YE"}}
+             "countries": [
+            "AE", "BH", "DZ", "EG", "EH", "IL", "IQ", "IR", "JO", "KW", "LB", "LY", "MA", "MR", "OM", "PS", "QA",
+            "SA", "SD", "SY", "TN", "TR", "YE"]}}
 
 
 def iso_countries(spark: SparkSession) -> dict[str, str]:
@@ -313,7 +328,7 @@ class Gazetteer:
                 continue
             seen.add(name)
             entry = self.groups.get(name, {})
-            found |= set(entry.get("countries", "").split())
+            found |= set(entry.get("countries", []))
             todo += entry.get("includes", [])
         return sorted(found)
 
@@ -372,7 +387,7 @@ class Gazetteer:
         if self.own_cities is None:
             return [(c[0], c[3]) for c in CITIES if key in map(fold_text, [c[0], *c[3]])]
         labels = F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array())), fold)
-        hits = self.cities.filter(F.array_contains(labels, key)).select("name", "aliases").limit(V.MAX_EXPANSION).collect()
+        hits = self.cities.filter(F.array_contains(labels, key)).select("name", "aliases").collect()     # the cities of one name
         return [(r.name, r.aliases or []) for r in hits]
 
     def is_known_place(self, text: str) -> bool:

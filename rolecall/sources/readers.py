@@ -21,7 +21,6 @@ _TEXT = {f: "string" for f in FEED_FIELDS} | {"remote": "boolean", "posted": "ti
 # Names of the custom fields holding workplace and employment type.
 WORKPLACE_FIELD = r"(?i)workplace|remote|location type"
 EMPLOYMENT_FIELD = r"(?i)employment type|job type|contract type|worker type|commitment"
-MAX_EXTRA_LOCATIONS = 4
 
 GREENHOUSE = ("jobs ARRAY<STRUCT<id: BIGINT, title: STRING, company_name: STRING, absolute_url: STRING, "
               "location: STRUCT<name: STRING>, first_published: STRING, updated_at: STRING, "
@@ -54,6 +53,10 @@ def _feed(df: DataFrame, keep: list[str], **fields: Column) -> DataFrame:
     return df.select(*keep, *[fields.get(f, F.lit(None)).cast(_TEXT[f]).alias(f) for f in FEED_FIELDS])
 
 
+def _when(responses: DataFrame) -> list[str]:
+    return [c for c in ("fetched_at",) if c in responses.columns]
+
+
 def _answers(responses: DataFrame, ats: str, endpoint: str | None = None) -> DataFrame:
     rows = responses.filter((F.col("ats") == ats) & (F.col("status") == 200))
     return rows if endpoint is None else rows.filter(F.col("endpoint") == endpoint)
@@ -161,10 +164,10 @@ def workday_location(text: Column, path: Column) -> Column:
         primary, F.lit(" (+"), (many.try_cast("bigint") - 1).cast("string"), F.lit(" more)"))).otherwise(text)
 
 
-def workday(responses: DataFrame, gazetteer: Gazetteer, as_of: Column, max_jobs: int = 2000) -> DataFrame:
+def workday(responses: DataFrame, gazetteer: Gazetteer, as_of: Column, max_jobs: int | None = None) -> DataFrame:
     """Paged by 20; token is tenant/site, `endpoint` the board's host."""
     pages = _answers(responses, "workday").withColumn("d", F.from_json("body", WORKDAY)).select(
-        *apis.BOARD, "endpoint", "page_offset", F.coalesce("d.total", F.lit(0)).alias("total"), F.col("d.jobPostings").alias("items"))
+        *apis.BOARD, "endpoint", *_when(responses), "page_offset", F.coalesce("d.total", F.lit(0)).alias("total"), F.col("d.jobPostings").alias("items"))
     hosts = pages.groupBy(*apis.BOARD).agg(F.min("endpoint").alias("host"))
     rows = apis.board_rows(pages, max_jobs).join(hosts, apis.BOARD)
     steps = F.split("item.externalPath", "/")
@@ -178,10 +181,10 @@ def workday(responses: DataFrame, gazetteer: Gazetteer, as_of: Column, max_jobs:
                  posted=DT.from_text(F.col("item.postedOn"), as_of), source=F.lit("workday"))
 
 
-def smartrecruiters(responses: DataFrame, max_jobs: int = 2000) -> DataFrame:
+def smartrecruiters(responses: DataFrame, max_jobs: int | None = None) -> DataFrame:
     """Paged by 100. A company without postings is not on this platform and gives no rows."""
     pages = _answers(responses, "smartrecruiters").withColumn("d", F.from_json("body", SMARTRECRUITERS)).select(
-        *apis.BOARD, "page_offset", F.coalesce("d.totalFound", F.lit(0)).alias("total"), F.col("d.content").alias("items"))
+        *apis.BOARD, *_when(responses), "page_offset", F.coalesce("d.totalFound", F.lit(0)).alias("total"), F.col("d.content").alias("items"))
     rows = apis.board_rows(pages, max_jobs)
     place = F.col("item.location")
 
@@ -196,16 +199,16 @@ def smartrecruiters(responses: DataFrame, max_jobs: int = 2000) -> DataFrame:
                  posted=DT.from_text(_or(F.col("item.releasedDate"), F.col("item.createdOn"))), source=F.lit("smartrecruiters"))
 
 
-def oracle(responses: DataFrame, max_jobs: int = 2000) -> DataFrame:
+def oracle(responses: DataFrame, max_jobs: int | None = None) -> DataFrame:
     """Paged by 50; token is host/site, `endpoint` the language. Rows without an Id are left out."""
     first = F.get("d.items", F.lit(0))
     pages = _answers(responses, "oracle").withColumn("d", F.from_json("body", ORACLE)).select(
-        *apis.BOARD, "endpoint", "page_offset", first["TotalJobsCount"].alias("total"), first["requisitionList"].alias("items"))
+        *apis.BOARD, "endpoint", *_when(responses), "page_offset", first["TotalJobsCount"].alias("total"), first["requisitionList"].alias("items"))
     languages = pages.groupBy(*apis.BOARD).agg(F.min("endpoint").alias("lang"))
     rows = apis.board_rows(pages, max_jobs).join(languages, apis.BOARD).filter(F.coalesce("item.Id", F.lit("")) != "")
     j = F.col("item")
     work = F.get(F.filter(j["workLocation"], lambda w: _or(w["TownOrCity"], w["Country"]).isNotNull()), F.lit(0))
-    extra = F.coalesce(F.transform(F.slice(j["secondaryLocations"], 1, MAX_EXTRA_LOCATIONS), lambda s: s["Name"]), F.array().cast("array<string>"))
+    extra = F.coalesce(F.transform(j["secondaryLocations"], lambda s: s["Name"]), F.array().cast("array<string>"))
     return _feed(rows, [*apis.BOARD, "page_offset", "pos"], title=j["Title"],
                  url=F.concat(F.lit("https://"), F.substring_index("token", "/", 1), F.lit("/hcmUI/CandidateExperience/"),
                               F.coalesce(F.nullif("lang", F.lit("")), F.lit("en")), F.lit("/sites/"), F.substring_index("token", "/", -1),

@@ -5,6 +5,8 @@ again after a failure writes the same version again and nothing is counted twice
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,6 +26,11 @@ class Snapshots:
     def read(self, version: int) -> DataFrame:
         return self.spark.read.parquet(self.path(version))
 
+    def latest(self) -> int:
+        """The newest version that was written to its end."""
+        files = self.spark.read.parquet(self.folder).inputFiles()
+        return max(int(re.search(r"/v=(\d+)/", name).group(1)) for name in files)
+
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(self.path(version))
 
@@ -80,9 +87,15 @@ def live_counts(rows: DataFrame, job_filter: JobFilter, gazetteer) -> DataFrame:
 
 
 def write_counts(counts: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Changed companies after each batch, refreshed at most every two and a half seconds."""
+    """Changed companies after each batch, refreshed at most every two and a half seconds; `read_counts` gives the newest."""
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = counts.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="2.5 seconds")).start()
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The newest counts of every company over all batches: domain, matching, total."""
+    newest = F.max_by(F.struct("matching", "total"), "batch").alias("c")
+    return spark.read.parquet(path).groupBy("domain").agg(newest).select("domain", "c.matching", "c.total")

@@ -3,9 +3,10 @@ import json
 from pyspark.sql import functions as F
 
 from rolecall.functions import variants as J
-from rolecall.operators import jsonld as LD, search as S, sniff as SN
-from rolecall.operators.anchors import is_job_link, job_links
+from rolecall.operators import filters as FL, jsonld as LD, search as S, sniff as SN
+from rolecall.operators.anchors import anchors, is_job_link, job_links, pagination
 from rolecall.operators.search import Search
+from rolecall.sources import apis
 
 JOB_PATHS = {"/careers/software-engineer-123456": True, "/careers/search": False, "/careers/list/135592/": True, "/careers/list/?x=1": False,
              "/careers/search/job/data-analyst-225712": True, "/jobs/teams": False, "/careers/life-at-acme": False, "/about": False,
@@ -43,6 +44,69 @@ def test_fragments_skip_names_already_taken(spark):
     assert df.select(LD.unique_fragments(F.col("b")).alias("n")).first().n == ["x", "x-2", "x-2-2", "x-3", "y"]
 
 
+def test_fragments_of_a_long_page(spark):
+    df = spark.createDataFrame([(["dev"] * 2000 + [f"n{i}" for i in range(1000)],), (["a", "b", "a", "b"],), ([],)], "b ARRAY<STRING>")
+    got = [r.n for r in df.select(LD.unique_fragments(F.col("b")).alias("n")).collect()]
+    assert got[0][:3] == ["dev", "dev-2", "dev-3"] and got[0][1999:2001] == ["dev-2000", "n0"] and len(set(got[0])) == 3000
+    assert got[1:] == [["a", "b", "a-2", "b-2"], []]
+
+
+def test_links_are_those_a_reader_sees(spark):
+    html = ('<!-- <a href="/old">Old</a> --><script>document.write(\'<a href="/js">Js</a>\')</script>'
+            '<a title="more > less" href="/one" data-href="/no">One<script>x("</a>")</script></a><a data-href="/never">Never</a>'
+            "<a\nclass='b'href='/two'>Two</a><a href=/three>it's</a>")
+    df = spark.createDataFrame([(1, "https://acme.com/", html)], "id INT, final_url STRING, html STRING")
+    assert [(r.href, list(r.chunks)) for r in anchors(df, ["id"]).orderBy("pos").collect()] == [
+        ("/one", ["One"]), ("/two", ["Two"]), ("/three", ["it's"])]
+
+
+def test_pagination_names_the_last_page(spark):
+    df = spark.createDataFrame([(1, "https://acme.com/jobs", '<a href="/jobs?page=900000000000">last</a>')], "id INT, final_url STRING, html STRING")
+    rows = pagination(df, ["id"], upto=3).orderBy("page_number").collect()
+    assert [(r.page_number, r.url, r.last_page) for r in rows] == [
+        (2, "https://acme.com/jobs?page=2", 900000000000), (3, "https://acme.com/jobs?page=3", 900000000000)]
+
+
+def test_repeated_json_keys(spark):
+    df = spark.createDataFrame([('{"a": 1, "a": 2}',)], "j STRING")
+    assert df.select(J.scalar(J.get(J.parse(F.col("j")), "a")).alias("a")).first().a == "2"
+
+
+def test_listings_come_in_document_order(spark):
+    good = {"id": 1, "title": "Dev", "team": "T"}
+    df = spark.createDataFrame([(json.dumps({"a": {"jobs": [good] * 3}, "b": [good] * 3, "c": [[[good] * 60]]}),)], "j STRING")
+    got = df.select(SN.listing_arrays(J.parse(F.col("j"))).alias("f")).first().f
+    assert [(x.path, len(x.objects)) for x in got] == [("a.jobs", 3), ("b", 3), ("c[][]", 60)]
+
+
+def test_boards_are_read_whole_and_once(spark):
+    rows = [("a", 0, 5, [1, 2], 1), ("a", 0, 5, [1, 3], 2), ("a", 2, 0, [4, 5], 1), ("a", 4, 0, [6, 7], 1), ("b", 0, 4, [1, 2], 1), ("b", 2, 4, None, 1),
+            ("c", 1, 9, [9], 1), ("d", 0, 0, [], 1)]
+    df = spark.createDataFrame([(d, "x", d, o, t, i, f) for d, o, t, i, f in rows],
+                               "domain STRING, ats STRING, token STRING, page_offset INT, total INT, items ARRAY<INT>, fetched_at INT")
+    got = sorted((r.domain, r.page_offset, r.pos, r.item) for r in apis.board_rows(df).collect())
+    assert got == [("a", 0, 0, 1), ("a", 0, 1, 3), ("a", 2, 0, 4), ("a", 2, 1, 5), ("a", 4, 0, 6), ("b", 0, 0, 1), ("b", 0, 1, 2)]
+    assert len(apis.board_rows(df, max_jobs=3).filter("domain = 'a'").collect()) == 3
+    why = {r.domain: r.truncated for r in apis.truncation(df, page_size=2).collect()}
+    assert why == {"a": None, "b": "a results page could not be read", "d": None}
+    assert {r.domain: r.truncated for r in apis.truncation(df, page_size=2, max_jobs=3).collect()}["a"] == "board has 5 jobs, read 3"
+
+
+def test_pages_after_a_row(spark):
+    rows = [(1, "b"), (2, None), (3, "A"), (4, "a"), (5, "C"), (6, None), (7, "b")]
+    df = spark.createDataFrame(rows, "posting_id INT, title STRING")
+    for order in ("asc", "desc"):
+        whole = [(r.title, r.posting_id) for r in FL.page(df, 100, "title", order).collect()]
+        walked, last = [], None
+        while True:
+            part = FL.page(df, 2, "title", order) if last is None else FL.page_after(df, last, 2, "title", order)
+            part = [(r.title, r.posting_id) for r in part.collect()]
+            if not part:
+                break
+            walked, last = walked + part, part[-1]
+        assert walked == whole, order
+
+
 def test_readable_and_lookup(spark):
     data = {"A": {"city": "Berlin", "country": {"name": "Germany"}}, "b": ["x", {"label": " y "}, "x", True], "Title": "", "name": 5, "N": None}
     df = spark.createDataFrame([(json.dumps(data),)], "j STRING").select(J.parse(F.col("j")).alias("v"))

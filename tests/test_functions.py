@@ -35,13 +35,14 @@ def test_clean_and_lists(spark):
 def test_unescape(spark):
     texts = ["a&amp;b", "&#8217;x&#x2F;y", "&lt;&gt;&quot;", "plain", "&#x1F600;", "a & b", "&amp;lt;"]
     assert column(spark, texts, TX.unescape_markup) == ["a&b", "’x/y", '<>"', "plain", "\U0001F600", "a & b", "&lt;"]
-    assert column(spark, ["&eacute;&thetasym;"], TX.unescape_full) == ["éϑ"]
+    assert column(spark, ["&eacute;&thetasym;", "&euro;5 &rarr; &nosuch; &Aring;", "&amp;euro;", "a&b;"], TX.unescape_markup) == [
+        "éϑ", "€5 → &nosuch; Å", "&euro;", "a&b;"]
 
 
 def test_titles_and_slugs(spark):
     assert column(spark, ["/jobs/senior-data_engineer-123456/", "/jobs/42", "/x/o'neil-3d"], TX.title_from_path) == [
         "Senior Data Engineer", None, "O'Neil 3D"]
-    assert column(spark, ["  C++ / Ünï  Dev! ", "x" * 100], TX.slug) == ["c-n-dev", "x" * 80]
+    assert column(spark, ["  C++ / Ünï  Dev! ", "x" * 100], TX.slug) == ["c-n-dev", "x" * 100]
     assert column(spark, ["NEW YORK", "NYC", "Suite 5", "Bonn", "y" * 61], TX.tidy_city) == ["New York", "NYC", None, "Bonn", None]
 
 
@@ -97,3 +98,11 @@ def test_challenge_pages(spark):
 def test_has_word(spark):
     assert column(spark, ["Remote - EU", "Menu", "eu-west", "UK&I team", None], lambda c: TX.has_word(c, "EU")) == [True, False, True, False, False]
     assert column(spark, ["in UK&I.", "UKI"], lambda c: TX.has_any_word(c, ["UK&I", "DACH"])) == [True, False]
+
+
+def test_iso_forms(spark):
+    texts = ["2023-11-05T06:07:08.123456789Z", "20231105", "20231105T060708Z", "20231105T0607+0200", "2023-W45-7", "2023W45", "2023-W53-1",
+             "2020-W53-5T10:00", "202311", "20231345", "5 Nov", "", None]
+    want = [datetime(2023, 11, 5, 6, 7, 8, 123456), datetime(2023, 11, 5), datetime(2023, 11, 5, 6, 7, 8), datetime(2023, 11, 5, 4, 7),
+            datetime(2023, 11, 5), datetime(2023, 11, 6), None, datetime(2021, 1, 1, 10), None, None, None, None, None]
+    assert column(spark, texts, lambda c: DT.from_text(c).cast("timestamp_ntz")) == want
