@@ -47,6 +47,7 @@ def from_text(text: Column, as_of: Column | None = None) -> Column:
     iso = F.regexp_replace(full, r"([.,]\d{6})\d+", "$1")
     iso = F.regexp_replace(iso, r"([+-]\d{2})(\d{2})$", "$1:$2")
     iso = F.regexp_replace(iso, r"([T ]\d{2})(?=$|[+-]\d{2}:\d{2}$)", "$1:00")
+    iso = F.regexp_replace(iso, r"([T ]\d{2}:\d{2})(?=[+-]\d{2}:\d{2}$)", "$1:00")
     parsed = F.when(full.rlike(_ISO),
                     F.replace(iso, F.lit(","), F.lit(".")).try_cast("timestamp"))
     return parsed if as_of is None else F.coalesce(relative_date(trimmed, as_of), parsed)

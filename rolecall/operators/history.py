@@ -59,10 +59,15 @@ def upsert(snapshot: DataFrame, batch: DataFrame, fields: list[str] | None = Non
     """The next snapshot: new keys inserted, known ones refreshed and their missing/closed marks cleared.
 
     Adds `changed` (a field differs or the key is new) for whoever maintains derived tables. first_seen never moves.
-    New postings get the ids after the largest one. Both sides have one row per key, so the join cannot skew.
+    New postings get the ids after the largest one: they are numbered on the batch's side, so that the snapshot is merged in
+    one join. Both sides have one row per key, so the join cannot skew.
     """
     fields = POSTING_FIELDS if fields is None else fields
-    new = batch_postings(batch, fields).withColumnsRenamed({"first_at": "n_first", "domain": "n_domain", "run_id": "n_run", "seen_at": "n_seen",
+    arrived = batch_postings(batch, fields)
+    top = snapshot.agg(F.coalesce(F.max("posting_id"), F.lit(0)).alias("__top"))
+    fresh = arrived.select("url_key").join(snapshot.select("url_key"), "url_key", "left_anti")
+    ids = number_rows(fresh, "url_key", "__id").join(F.broadcast(top)).select("url_key", (F.col("__id") + F.col("__top")).alias("__id"))
+    new = arrived.join(ids, "url_key", "left").withColumnsRenamed({"first_at": "n_first", "domain": "n_domain", "run_id": "n_run", "seen_at": "n_seen",
                                                             **{f: f"n_{f}" for f in fields}})
     both = snapshot.withColumn("__old", F.lit(True)).join(new, "url_key", "full_outer")
     seen, old = F.col("n_run").isNotNull(), F.coalesce("__old", F.lit(False))
@@ -73,17 +78,13 @@ def upsert(snapshot: DataFrame, batch: DataFrame, fields: list[str] | None = Non
     differs = F.lit(False)
     for f in fields:
         differs = differs | ~F.col(f).eqNullSafe(F.col(f"n_{f}"))
-    merged = both.select(
-        "posting_id", "url_key", newest("domain").alias("domain"), *[newest(f).alias(f) for f in fields],
+    return both.select(
+        F.coalesce("posting_id", "__id").alias("posting_id"), "url_key", newest("domain").alias("domain"), *[newest(f).alias(f) for f in fields],
         F.coalesce("first_seen", "n_first").alias("first_seen"),
         F.when(seen, F.col("n_seen")).otherwise(F.col("last_seen")).alias("last_seen"),
         F.when(~seen, F.col("missing_since")).alias("missing_since"), F.when(~seen, F.col("closed_at")).alias("closed_at"),
         F.when(seen, F.col("n_run")).otherwise(F.col("last_run_id")).alias("last_run_id"),
         (seen & (~old | differs)).alias("changed"))
-    top = snapshot.agg(F.coalesce(F.max("posting_id"), F.lit(0)).alias("__top"))
-    fresh = merged.filter(F.col("posting_id").isNull()).select("url_key")
-    ids = number_rows(fresh, "url_key", "__id").join(F.broadcast(top)).select("url_key", (F.col("__id") + F.col("__top")).alias("__id"))
-    return (merged.join(ids, "url_key", "left").withColumn("posting_id", F.coalesce("posting_id", "__id")).drop("__id"))
 
 
 def link_rows(batch: DataFrame, snapshot: DataFrame) -> DataFrame:

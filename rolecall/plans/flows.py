@@ -115,11 +115,11 @@ _EMPTY = ("posting_id BIGINT, url_key STRING, domain STRING, title STRING, first
           "missing_since TIMESTAMP_NTZ, closed_at TIMESTAMP_NTZ, last_run_id BIGINT")
 
 
-def _ingested(t):
+def _ingested(t, finished=None):
     folder = _folder(t)
     versions = ST.Snapshots(t.spark, f"{folder}/postings")
     versions.write(t.spark.createDataFrame([], _EMPTY), 0)
-    ST.ingest(_rows(_by_days(t.events, folder)), versions, f"{folder}/links", f"{folder}/checkpoint", ["title"], available_now=True).awaitTermination()
+    ST.ingest(_rows(_by_days(t.events, folder)), versions, f"{folder}/links", f"{folder}/checkpoint", ["title"], available_now=True, finished=finished).awaitTermination()
     return folder, versions
 
 
@@ -133,9 +133,19 @@ def stream_ingest(t):
     return versions.read(versions.latest()).join(links, "posting_id").select("url_key", "domain", "title", "last_seen", "runs")
 
 
-@query("stream_lifecycle", f"""
+_LIFECYCLE = f"""
     WITH {HP.LOG}, {HP._MARKS} SELECT l.posting_id::VARCHAR AS url_key, m.missing_at AS missing_since, m.closed_at FROM (SELECT posting_id, max(run_id) AS run_id FROM listed GROUP BY 1) l
-    LEFT JOIN marks m ON m.posting_id = l.posting_id AND m.run_id = l.run_id""")
+    LEFT JOIN marks m ON m.posting_id = l.posting_id AND m.run_id = l.run_id"""
+
+
+@query("stream_history", _LIFECYCLE)
+def stream_history(t):
+    """STM-1 / STM-2: rows streamed in and marks set in one table, delivery by delivery."""
+    folder, versions = _ingested(t, finished=lambda: HP.runs(t))
+    return versions.read(versions.latest()).select("url_key", "missing_since", "closed_at")
+
+
+@query("stream_lifecycle", _LIFECYCLE)
 def stream_lifecycle(t):
     """STM-2: finished runs streamed in mark postings missing and closed, as the batch replay does."""
     folder, versions = _ingested(t)

@@ -6,6 +6,7 @@ again after a failure writes the same version again and nothing is counted twice
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -41,17 +42,18 @@ def without_repeats(rows: DataFrame, event_time: str, keys: list[str], within: s
 
 
 def ingest(rows: DataFrame, postings: Snapshots, links: str, checkpoint: str, fields: list[str],
-           available_now: bool = False) -> StreamingQuery:
+           available_now: bool = False, finished: Callable[[], DataFrame] | None = None) -> StreamingQuery:
     """Stream of conformed rows (run_id, pos, domain, url_key, seen_at, fields) -> postings versions and run links.
 
-    Version 0 of the postings must exist (it may be empty).
+    Version 0 of the postings must exist (it may be empty). `finished` gives the runs as they are when a batch is stored:
+    the same version then also marks postings missing and closed, so one table holds the whole history.
     """
     def store(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
             known = postings.read(number)
             merged = H.upsert(known, batch, fields).drop("changed")
-            postings.write(merged, number + 1)
+            postings.write(merged if finished is None else H.with_marks(merged, finished()), number + 1)
             marked = H.mark_new(batch, known)
             H.link_rows(marked, postings.read(number + 1)).write.mode("overwrite").parquet(f"{links}/batch={number}")
         finally:
