@@ -187,10 +187,11 @@ def unescape(c: Column) -> Column:
     parts = F.split(c, "&")
     numeric = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), _decode_number), ""))
     text = F.when(F.contains(c, F.lit("&#")), numeric).otherwise(c)
+    usual = "|".join(["amp", *NAMED_ENTITIES])
+    text = F.when(c.rlike(f"&(?!(?:{usual});)[A-Za-z][A-Za-z0-9]*;"), _decode_names(text)).otherwise(text)
     for name, char in NAMED_ENTITIES.items():
         text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    rare = text.rlike("&(?!amp;)[A-Za-z][A-Za-z0-9]*;")
-    return F.replace(F.when(rare, _decode_names(text)).otherwise(text), F.lit("&amp;"), F.lit("&"))
+    return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
 
 def unescape_markup(c: Column) -> Column:

@@ -37,11 +37,15 @@ def captured(responses: DataFrame, page_url: str) -> DataFrame:
     return responses.filter((own | known) & (F.length("body") > 0))
 
 
-def listing_arrays(data: Column) -> Column:
+def listing_arrays(data: Column, levels: Column | None = None) -> Column:
     """Arrays that list postings, in document order, as array<struct<path, at, objects>>; `at` is the place in the document.
 
-    All levels and all elements are visited; found arrays are not looked into further.
+    All elements of all levels are visited (`levels`: how deep the text nests, where the caller has it); found arrays are not
+    looked into further.
     """
+    if levels is None:
+        return J.let(data, lambda d: listing_arrays(d, _levels(d)))
+
     def children(n: Column) -> Column:
         listed = F.transform(J.items(n["node"]), lambda x, i: _step(F.concat(n["path"], F.lit("[]")), n["at"], i, x)).cast(_TODO)
         keyed = F.transform(J.fields(n["node"]), lambda e, i: _step(_named(n, e), n["at"], i, e["value"])).cast(_TODO)
@@ -69,7 +73,7 @@ def listing_arrays(data: Column) -> Column:
 
         return J.let(F.transform(acc["todo"], judged), split)
 
-    found = F.aggregate(F.sequence(F.lit(1), _levels(data)), start, level, lambda acc: acc["found"])
+    found = F.aggregate(F.sequence(F.lit(1), levels), start, level, lambda acc: acc["found"])
     return F.array_sort(found, lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))
 
 

@@ -113,7 +113,7 @@ def payloads(t):
     FROM orders WHERE o_orderkey % 6 IN (0, 1, 5)""")
 def listing_arrays(t):
     """JS-1 / CLS-12 / AGG-15: arrays of postings, told from filters, news cards and short lists."""
-    found = payloads(t).select("o_orderkey", F.inline(SN.listing_arrays(J.parse(col("body")))))
+    found = payloads(t).select("o_orderkey", F.inline(SN.listing_arrays(J.parse(col("body")), J.nesting(col("body")))))
     return found.select("o_orderkey", "path", F.size("objects").cast("bigint").alias("objects"))
 
 
