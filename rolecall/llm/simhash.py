@@ -1,4 +1,4 @@
-"""SimHash near-duplicate detection with pivot distance tables."""
+"""SimHash near-duplicate detection with pivot distance tables, on request verified by shingle sets."""
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -13,6 +13,7 @@ from .components import components
 from .exchange import prepare, stored
 
 HEAVY = 4096
+TILE_BYTES = 16_000_000
 PIVOTS = 12
 LANE_STEP = 0x9E3779B97F4A7C15
 
@@ -53,6 +54,40 @@ def fingerprints(docs: DataFrame, words: int = 5, lanes: int = 1, id_column: str
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInPandas(run, f"doc_id {kind}, fingerprint string")
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's shingles; a text of fewer words is one shingle, one without words has none."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = max(min(len(tokens), 1), len(tokens) - words + 1)
+    shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False)) if len(tokens) >= words else [b" ".join(tokens)][:n]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, n))
+
+
+def set_fingerprint(hashes: np.ndarray, lanes: int, block: int = 65_536) -> bytes:
+    """The fingerprint of a set of shingle hashes, each counted once."""
+    counts = np.zeros(64 * lanes, np.int64)
+    for start in range(0, len(hashes), block):
+        h = hashes[start:start + block]
+        for lane in range(lanes):
+            x = h if lane == 0 else _mix(h + np.uint64(LANE_STEP * lane & 0xFFFFFFFFFFFFFFFF))
+            counts[64 * lane:64 * lane + 64] += np.unpackbits(x.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int32)
+    return np.packbits(counts * 2 > len(hashes)).tobytes()
+
+
+def shingle_sets(docs: DataFrame, words: int, lanes: int) -> DataFrame:
+    """(doc_id, key, fingerprint, hashes) of every document; equal sets have equal keys (128 bits)."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), 100):
+                part = f.iloc[at:at + 100]
+                sets = [shingle_set(t, words) for t in part["text"]]
+                blobs = [s.tobytes() for s in sets]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "key": [xxhash.xxh3_128_hexdigest(b) for b in blobs],
+                                    "fingerprint": [set_fingerprint(s, lanes).hex() for s in sets], "hashes": blobs})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, key string, fingerprint string, hashes binary")
+
+
 def _bits(values: np.ndarray) -> np.ndarray:
     return np.bitwise_count(values).sum(axis=1, dtype=np.int32) if values.ndim > 1 else np.bitwise_count(values).astype(np.int32)
 
@@ -161,12 +196,90 @@ def near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 1, most: int =
     return table.join(ids, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int, lanes: int, most: int, bands: int, digits: int) -> DataFrame:
+def similar_pairs(fps: np.ndarray, sets: list[np.ndarray], most: int, similarity: float) -> list[tuple[int, int]]:
+    """Links between rows that connect exactly those within `most` bits whose sets have the Jaccard similarity.
+
+    Rows already connected are not compared again, so a group of copies takes one comparison a row.
+    """
+    sizes, label, out = np.array([len(s) for s in sets]), np.arange(len(sets)), []
+    for i in range(len(sets)):
+        near = np.flatnonzero(label[i + 1:] != label[i]) + i + 1
+        near = near[np.minimum(sizes[near], sizes[i]) >= similarity * np.maximum(sizes[near], sizes[i]) - 1e-9]
+        near = near[_bits(fps[near] ^ fps[i]) <= most]
+        for j in near:
+            if label[i] != label[j] and sizes[i] and sizes[j]:
+                a, b = (sets[i], sets[j]) if sizes[i] <= sizes[j] else (sets[j], sets[i])
+                common = int((b[np.searchsorted(b, a).clip(max=len(b) - 1)] == a).sum())
+                if common >= similarity * (len(a) + len(b) - common) - 1e-9:
+                    out.append((i, int(j)))
+                    label[label == label[j]] = label[i]
+    return out
+
+
+def verified_links(members: DataFrame, most: int, similarity: float) -> DataFrame:
+    """Edges (a, b) between the keys of `members` (key, fingerprint, hashes, root) of one root that have the similarity.
+
+    A root with many or long sets is cut into tiles, and pairs of tiles are compared by different tasks.
+    """
+    spark = members.sparkSession
+    size = F.octet_length("hashes")
+    total = members.agg(F.coalesce(F.sum(size), F.lit(0))).head()[0]
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TILE_BYTES + 1)
+    needed = F.ceil(F.greatest(F.count("*") / HEAVY, F.sum(size) / TILE_BYTES)).cast("int")
+    heavy = members.groupBy("root").agg(needed.alias("tiles")).filter("tiles > 1")
+    heavy = with_known_size(stored(heavy, "heavy"))
+    tile = F.pmod(F.xxhash64("key"), F.coalesce("tiles", F.lit(1))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1))
+    tiled = (members.join(heavy, "root", "left").withColumn("tile", tile).withColumn("other", other)
+             .select("key", F.unhex("fingerprint").alias("fp"), "hashes", F.xxhash64("root", F.least("tile", "other"), F.greatest("tile", "other")).alias("cell")))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        for _, f in group.groupby("cell", sort=False):
+            keys, lanes = f["key"].to_numpy(), np.frombuffer(b"".join(f["fp"]), ">u8").astype(np.uint64).reshape(len(f), -1)
+            for i, j in similar_pairs(lanes, [np.frombuffer(x, np.uint64) for x in f["hashes"]], most, similarity):
+                a.append(keys[i])
+                b.append(keys[j])
+        return pd.DataFrame({"a": a, "b": b}, columns=["a", "b"]).astype("object")
+
+    return tiled.groupBy(F.pmod("cell", F.lit(groups)).alias("g")).applyInPandas(compare, "a string, b string")
+
+
+def similar_documents(docs: DataFrame, words: int, lanes: int, most: int, bands: int, digits: int, similarity: float) -> DataFrame:
+    """(doc_id, component_id) of every document: documents whose sets of distinct shingles have the Jaccard similarity are linked.
+
+    Fingerprints only find candidates: those of distinct sets that share a band and differ in at most `most` bits. The
+    sets of the candidates' groups are then compared, and components are built of the pairs that reach the similarity.
+    Texts without words are linked with each other; other defined results are those of near_duplicates.
+    """
+    prepare(docs.sparkSession)
+    table = stored(shingle_sets(docs, words, lanes), "sets")
+    distinct = stored(table.groupBy("key", "fingerprint").agg(F.min("doc_id").alias("low")), "distinct")
+    found = components(links(distinct.select("fingerprint").distinct(), most, bands, digits), "simhash")
+    rooted = distinct.join(found, distinct.fingerprint == found.node, "left").select("key", F.coalesce("root", "fingerprint").alias("root"))
+    rooted = stored(rooted, "candidates")
+    several = rooted.groupBy("root").count().filter("count > 1").select("root")
+    wanted = stored(rooted.join(several, "root"), "wanted")
+    # one copy of each set; partial aggregates leave a set one row a task, however many copies it has
+    sets = table.join(wanted.select("key"), "key", "left_semi").groupBy("key", "fingerprint").agg(F.first("hashes").alias("hashes"))
+    members = stored(sets.join(wanted, "key"), "members")
+    same = components(verified_links(members, most, similarity), "similar")
+    roots = stored(distinct.join(same, distinct.key == same.node, "left").select("key", "low", F.coalesce("root", "key").alias("root")), "roots")
+    least = roots.groupBy("root").agg(F.min("low").alias("component_id"))
+    return table.select("doc_id", "key").join(roots.join(least, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int, lanes: int, most: int, bands: int, digits: int, similarity: float | None = None) -> DataFrame:
     """The rows of docs whose id is the smallest of its near-duplicate group, all columns kept, one row for each such id.
 
-    Rows with a NULL doc_id cannot be told apart and stay.
+    With a similarity, groups are those of similar_documents, else of near_duplicates. Rows with a NULL doc_id cannot be
+    told apart and stay.
     """
-    groups = stored(near_duplicates(docs, words, lanes, most, bands, digits), "groups")
+    if similarity is None:
+        groups = near_duplicates(docs, words, lanes, most, bands, digits)
+    else:
+        groups = similar_documents(docs, words, lanes, most, bands, digits, similarity)
+    groups = stored(groups, "groups")
     first = groups.filter("doc_id = component_id").groupBy("doc_id").count()
     kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     if first.filter("count > 1").head(1):

@@ -90,6 +90,35 @@ def test_simhash(docs):
     assert kept.columns == docs.columns and kept.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").count() == 0
 
 
+@pytest.mark.parametrize("tile", [16_000_000, 4000])
+def test_pipeline_links_by_shingle_sets(spark, monkeypatch, tile):
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash, "TILE_BYTES", tile)
+    rng, rows, number = np.random.default_rng(11), [], iter(range(10 ** 9))
+    fresh = lambda n: [f"w{next(number)}" for _ in range(n)]
+    for share in (0.62, 0.66, 0.7, 0.74, 0.78, 0.79, 0.81, 0.83, 0.85, 0.9):
+        for _ in range(3):  # the first words stay: common / all of the shingles is about the share
+            base = fresh(int(rng.integers(150, 300)))
+            keep = math.ceil(2 * share / (1 + share) * len(base))
+            rows += [base, base[:keep] + fresh(len(base) - keep)]
+    line = fresh(8)
+    for _ in range(4):  # a repeated line outweighs 100 own words, if repeats are counted
+        rows.append(fresh(100) + line * 60)
+    for _ in range(30):  # short texts: the last word differs; the same words; one word more
+        base = fresh(8)
+        rows += [base, base[:7] + fresh(1), base, fresh(2)]
+        base = fresh(24)
+        rows += [base, base + fresh(1)]
+    base = fresh(60)
+    rows += [base + fresh(1) for _ in range(40)] + [[], []]
+    sets = [{" ".join(w[i:i + 5]) for i in range(len(w) - 4)} or set([" ".join(w)] if w else []) for w in rows]
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    root = roots(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if alike(sets[a], sets[b])])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, df, FOLDER).collect()} == set(root)
+
+
 def test_close_pairs_with_tiles(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HEAVY", 20)
     rng = np.random.default_rng(3)
