@@ -44,7 +44,9 @@ def search(query: np.ndarray, values: np.ndarray, order: np.ndarray, ranked: np.
     up = query >= 0
     upper = np.where(up[:, None], query[:, None] * high, query[:, None] * low)
     worst = np.where(up, query * ranked[:, 0], query * ranked[:, -1])
-    sequence = np.argsort(-(upper - worst[:, None]), axis=None, kind="stable")
+    # of equal impacts the one next in its dimension's order first, so that what is unseen is always one end of the dimension
+    place = np.where(up[:, None], np.arange(SEGMENTS - 1, -1, -1), np.arange(SEGMENTS))
+    sequence = np.lexsort((place.ravel(), (worst[:, None] - upper).ravel()))
     at_dim, at_segment = (x.tolist() for x in np.divmod(sequence, SEGMENTS))
     score, left, done = np.zeros(n, np.int64), np.full(dims, SEGMENTS), 0
     floor, starts, factors = None, cuts.tolist(), query.tolist()

@@ -272,6 +272,19 @@ def test_topk_stops_on_proof():
         assert set(np.argsort(-(values @ q), kind="stable")[:5]) <= set(near) and len(near) < 3000
 
 
+def test_topk_stops_on_proof_when_segments_tie():
+    rng = np.random.default_rng(4)
+    for levels in (2, 3, 5):
+        for _ in range(8):
+            values = rng.integers(0, levels, (2000, 12)) * 40 - 40
+            values[rng.choice(2000, 200, replace=False)] = values[0]
+            order, ranked = topk.build(values)
+            cuts, of = topk.segments(order)
+            for q in values[:25] + rng.integers(-3, 4, (25, 12)):
+                near, best = topk.search(q, values, order, ranked, cuts, of, 5), values @ q
+                assert set(np.flatnonzero(best >= np.sort(best)[-5])) <= set(near)
+
+
 def test_rollups(spark, tmp_path):
     columns = "doc_id bigint, op string, source string, lang string, tokenizer_version string, n_tokens bigint, seq int"
     table = rollups.Rollups(spark, str(tmp_path))
