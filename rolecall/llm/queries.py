@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import crosspolytope, katz, licenses, mixing, packing, quality, repeats, rollups, simhash, tokens, topk
+from . import crosspolytope, fim, idfiles, katz, licenses, merkle, mixing, packing, quality, repeats, rollups, simhash, tokens, topk
 from ..session import shared_folder
 from .exchange import crc_of_id, prepare, stored
 
@@ -117,3 +117,29 @@ def op3_rollups(spark: SparkSession, folder: str) -> DataFrame:
 def op10_katz(spark: SparkSession, folder: str) -> DataFrame:
     """Katz backoff log probability of every document."""
     return katz.katz_scores(_read(spark, folder, "documents"), held_out_mod=10)
+
+
+@_query()
+def op11_idfiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all documents, written to files in the order of doc_id and read back from them."""
+    written = idfiles.write_ids(_read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return idfiles.read_ids(written)
+
+
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@_query(merkle.manifest_sql(LEAF, f"CASE WHEN crc % 5 = 0 THEN translate(text, '{UPPER}', '{LOWER}') ELSE text END"))
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """Manifest of all documents; every fifth (by crc32 of its id) is checked with its text lower-cased."""
+    text = F.col("text")
+    changed = F.when(crc_of_id(F.col("doc_id")) % 5 == 0, F.translate(text, UPPER, LOWER)).otherwise(text)
+    done = merkle.manifest(_read(spark, folder, "documents"), LEAF, {"text": changed})
+    return done.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+@_query()
+def op13_fim(spark: SparkSession, folder: str) -> DataFrame:
+    """Fill-in-middle outputs of all documents and the texts restored from them, as digests."""
+    return fim.transform_digests(_read(spark, folder, "documents"))

@@ -15,6 +15,8 @@ import numpy as np
 END = np.array([1], "<u4").tobytes()
 CACHE_WORDS = 600_000
 _APART = re.compile(r" \s")
+_SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to str.split(), not to the tokenizer
+_WORD = re.compile(r"[^ \t\n\v\f\r]+")
 
 
 class _Numbers(dict):
@@ -83,6 +85,45 @@ class Encoder:
         return out
 
 
+class WordEncoder(Encoder):
+    """As Encoder, for a tokenizers file that lower-cases, drops white space and never joins words over it.
+
+    Words apart at plain ASCII white space are encoded once per worker. A text that may hold the name of a special token
+    is encoded whole.
+    """
+
+    _shared: dict[str, "WordEncoder"] = {}
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.words) > CACHE_WORDS:
+            keep = CACHE_WORDS // 2  # words met early are the common ones
+            words = _Numbers()
+            words.update((w, i) for w, i in self.words.items() if i < keep)
+            self.words, self.ids = words, self.ids[:keep]
+        out: list[bytes | None] = [None] * len(texts)
+        cut: dict[int, list[int]] = {}
+        whole, number = [], self.words.__getitem__
+        for i, t in enumerate(texts):
+            if not t:
+                out[i] = b""
+            elif any(s in t for s in self.special):
+                whole.append(i)
+            elif t.isascii() and not _SEPARATORS.search(t):
+                cut[i] = list(map(number, t.lower().split()))
+            else:
+                cut[i] = list(map(number, _WORD.findall(t)))
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        new, self.words.new = self.words.new, []
+        for at in range(0, len(new), 5000):
+            self.ids += self._ids(new[at:at + 5000])
+        get = self.ids.__getitem__
+        for i, numbers in cut.items():
+            out[i] = b"".join(map(get, numbers))
+        return out
+
+
+
 def count_tokens(docs, path: str, version: str, text_column: str = "text"):
     """Docs with two more columns: tokenizer_version, and n_tokens of the whole text (0 for NULL or empty text)."""
     from pyspark.sql import functions as F
