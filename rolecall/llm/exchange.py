@@ -40,14 +40,30 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, and survives the loss of executors."""
+_SCRATCH: list[str] = []
+
+
+def stored(df: DataFrame, name: str, scratch: bool = True) -> DataFrame:
+    """Write to the shared folder and read back: cuts the lineage, and survives the loss of executors.
+
+    Scratch tables are those `drop_scratch` removes.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if scratch:
+        _SCRATCH.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the tables `stored` has written so far in this session; only for callers whose results were written elsewhere."""
+    paths, _SCRATCH[:] = list(_SCRATCH), []
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)  # the file system Spark itself wrote to, whichever it is
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def partitions(spark: SparkSession, total_bytes: int, per_part: int = PART_BYTES) -> int:
     """Number of hash partitions such that each holds a bounded share of the corpus."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, 8, -(-int(total_bytes) // per_part))

@@ -4,6 +4,8 @@ DataFrame functions only.
 """
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .exchange import prepare, stored
@@ -111,15 +113,19 @@ def keep_mixed(docs: DataFrame, domain: Column, weights: dict[str, dict[str, flo
     """The rows of docs that one epoch of the mix takes, whole and with all columns; texts do not move.
 
     Of each leaf the documents up to the last key taken stay, so only one key per leaf is joined to the documents.
+    Defined results are those of `mix`: texts without words go, NULL domain, lang or source is the branch "none", copies of
+    a row stay or go together; an empty table gives no rows; further columns may have any name.
     """
+    free = "_" * (2 + max(map(len, docs.columns)))  # before names of our own: longer than any name of the caller's
     rows, leaves = _counted(docs, domain)
     plan = stored(leaf_budgets(leaves, budget_share, 1, weights), "budgets")
-    last = _taken(rows, plan, seed, 3).groupBy(*[F.col(c).alias(f"__{c}") for c in LEVELS]).agg(F.max("key").alias("__last"))
+    last = _taken(rows, plan, seed, 3).groupBy(*[F.col(c).alias(f"{free}{c}") for c in LEVELS]).agg(F.max("key").alias(f"{free}last"))
     key = order_key(F.col("doc_id"), F.lit(0), seed)
     own = [_named(domain), _named(F.col("lang")), _named(F.col("source"))]
-    match = (F.col("__domain") == own[0]) & (F.col("__lang") == own[1]) & (F.col("__source") == own[2])
-    kept = docs.join(stored(last, "cutoffs"), match).filter(word_count(F.col("text")) > 0).filter(F.col("__last").isNull() | (key <= F.col("__last")))
-    return kept.select(*[docs[c] for c in docs.columns])
+    match = functools.reduce(lambda a, b: a & b, [F.col(f"{free}{c}") == value for c, value in zip(LEVELS, own, strict=True)])
+    until = F.col(f"{free}last")
+    kept = docs.join(stored(last, "cutoffs"), match).filter(word_count(F.col("text")) > 0).filter(until.isNull() | (key <= until))
+    return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
 def mix_sql(domain: str, weights: dict[str, dict[str, float]], budget_share: float, max_epochs: int, seed: int) -> str:

@@ -116,7 +116,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, shrinka
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that the classifier accepts, all columns kept and no row moved."""
+    """The rows of docs that the classifier accepts, all columns kept and no row moved.
+
+    Defined results are those of `classify`; an empty table gives no rows; further columns may have any name.
+    """
     prepare(docs.sparkSession)
     model = fit(stored(with_statistics(docs), "statistics"), labels)
 

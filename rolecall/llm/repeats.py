@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .exchange import (ask, bytes_table, chunked, pack, partitions, prepare, sorted_delta, table_bytes, total_size, unpack, with_answers)
 
 U = np.uint64
+ADDED = ["n_bytes", "n_removed", "spans", "kept"]  # columns of the result besides the caller's
 SEED = np.random.default_rng(77).integers(0, 2 ** 63, 256, U)
 SEGMENT = 500_000
-CHUNK = 6_000_000
+CHUNK = 4_500_000
 ALONE, MARKED, SENT_MARKED, SENT = 0, 1, 2, 3
 
 
@@ -183,8 +184,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, text_column: str = "text"
     columns named like the four added ones are replaced.
     """
     spark = prepare(docs.sparkSession)
-    added = ["n_bytes", "n_removed", "spans", "kept"]
-    keep = [f for f in docs.schema.fields if f.name not in added]
+    keep = [f for f in docs.schema.fields if f.name not in ADDED]
     rows = docs.select(*[F.col(f"`{f.name}`") for f in keep])
     chunks = chunked(rows, table_bytes, size=text_column, limit=CHUNK)
     parts = partitions(spark, total_size(chunks))
@@ -252,7 +252,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, text_column: str = "text"
                 out.append((len(texts[doc]), int(mask.sum()), spans, kept.decode("utf-8", "ignore") if as_text else kept))
                 doc, at = doc + 1, end
         frame = table.to_pandas(types_mapper=None, integer_object_nulls=True) if names else pd.DataFrame(index=range(len(out)))
-        for i, c in enumerate(added):
+        for i, c in enumerate(ADDED):
             frame[c] = [o[i] for o in out]
         return frame
 

@@ -1,6 +1,7 @@
 """SimHash near-duplicate detection with pivot distance tables, on request verified by shingle sets."""
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,10 @@ from .exchange import prepare, stored
 HEAVY = 4096
 TILE_BYTES = 16_000_000
 PIVOTS = 12
+LANES = 3                          # fingerprints of sets have 192 bits
+FIELDS = [f"f{i}" for i in range(LANES)]
+PER_BUCKET = 512                   # unrelated rows a band value holds, about, at most
+MAX_IDS = 1_000_000                # ids, 8 bytes each, that are broadcast
 LANE_STEP = 0x9E3779B97F4A7C15
 
 
@@ -73,19 +78,34 @@ def set_fingerprint(hashes: np.ndarray, lanes: int, block: int = 65_536) -> byte
     return np.packbits(counts * 2 > len(hashes)).tobytes()
 
 
-def shingle_sets(docs: DataFrame, words: int, lanes: int) -> DataFrame:
-    """(doc_id, key, fingerprint, hashes) of every document; equal sets have equal keys (128 bits)."""
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(key, hashes) of every document: its set of shingle hashes; equal sets have equal keys (128 bits)."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), 100):
+                blobs = [shingle_set(t, words).tobytes() for t in f["text"].iloc[at:at + 100]]
+                yield pd.DataFrame({"key": [xxhash.xxh3_128_hexdigest(b) for b in blobs], "hashes": blobs})
+
+    return docs.select("text").mapInPandas(run, "key string, hashes binary")
+
+
+def set_fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, known, key, f0, f1, f2) of every document: the key of its shingle set and the set's fingerprint of LANES * 64 bits.
+
+    A NULL id is 0 and not known: pandas would turn the other ids into floating point.
+    """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for at in range(0, len(f), 100):
                 part = f.iloc[at:at + 100]
                 sets = [shingle_set(t, words) for t in part["text"]]
-                blobs = [s.tobytes() for s in sets]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "key": [xxhash.xxh3_128_hexdigest(b) for b in blobs],
-                                    "fingerprint": [set_fingerprint(s, lanes).hex() for s in sets], "hashes": blobs})
+                bits = np.frombuffer(b"".join(set_fingerprint(x, LANES) for x in sets), ">u8").astype(np.uint64).view(np.int64).reshape(-1, LANES)
+                yield pd.DataFrame({"doc_id": part["doc_id"], "known": part["known"], "key": [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in sets],
+                                    **{f"f{i}": bits[:, i] for i in range(LANES)}})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, key string, fingerprint string, hashes binary")
+    source = docs.select(F.coalesce("doc_id", F.lit(0).cast(kind)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "text")
+    return source.mapInPandas(run, f"doc_id {kind}, known boolean, key string, {', '.join(f'{f} bigint' for f in FIELDS)}")
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -245,41 +265,152 @@ def verified_links(members: DataFrame, most: int, similarity: float) -> DataFram
     return tiled.groupBy(F.pmod("cell", F.lit(groups)).alias("g")).applyInPandas(compare, "a string, b string")
 
 
-def similar_documents(docs: DataFrame, words: int, lanes: int, most: int, bands: int, digits: int, similarity: float) -> DataFrame:
+def bands_for(n: int, similarity: float, recall: float = 0.98) -> tuple[int, int]:
+    """(width, number) of the bands for n fingerprints: sets of that similarity share one with about that chance.
+
+    The width grows with the number of rows, so that a band value is held by about PER_BUCKET unrelated rows at most; the
+    number of bands grows as the width asks for it. A bit differs with the angle between the sets, as vectors, over pi.
+    """
+    width = max(16, math.ceil(math.log2(max(n, 1) / PER_BUCKET)))
+    agree = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** width
+    return width, math.ceil(math.log(1 - recall) / math.log(1 - agree))
+
+
+def band_cells(fps: np.ndarray, width: int, bands: range) -> Iterator[np.ndarray]:
+    """Values of each band for all rows, the band's number above its bits; a band reads `width` bits drawn by a fixed seed."""
+    bits = np.ascontiguousarray(np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(len(fps), -1), axis=1).T)
+    for k in bands:
+        value = np.full(len(fps), k, np.int64)
+        for at in np.random.default_rng((77, k)).choice(len(bits), width, replace=False):
+            value = value << np.int64(1) | bits[at]
+        yield value
+
+
+def _lanes(frame: pd.DataFrame) -> np.ndarray:
+    return np.ascontiguousarray(frame[FIELDS].to_numpy(np.int64)).view(np.uint64)
+
+
+def candidate_links(distinct: DataFrame, similarity: float, most: int) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (f0, f1, f2) of at most `most` differing bits that share a band; a, b are their hex.
+
+    A row in the shuffle is a band value and the fingerprint. Band values that many rows hold are cut into tiles, and pairs of
+    tiles are compared by different tasks. Such values are known beforehand: one with more than HEAVY rows has more
+    than HEAVY over the number of tasks in at least one task, so only such counts are sent.
+    """
+    spark = distinct.sparkSession
+    n = distinct.count()
+    width, bands = bands_for(n, similarity)
+    tasks = max(1, distinct.rdd.getNumPartitions())
+    floor = max(2, HEAVY // tasks)
+
+    def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for value in band_cells(_lanes(f), width, range(bands)):
+                yield pd.DataFrame({"cell": value, **{c: f[c] for c in FIELDS}})
+
+    def counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [_lanes(f) for f in frames]
+        if held:
+            for value in band_cells(np.concatenate(held), width, range(bands)):
+                cell, many = np.unique(value, return_counts=True)
+                yield pd.DataFrame({"cell": cell[many >= floor], "n": many[many >= floor]})
+
+    heavy = distinct.mapInPandas(counts, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") + tasks * (floor - 1) > HEAVY)
+    heavy = with_known_size(stored(heavy.select("cell", F.ceil((F.col("n") + tasks * (floor - 1)) / HEAVY).cast("int").alias("tiles")), "heavy"))
+    rows = distinct.mapInPandas(cells, f"cell bigint, {', '.join(f'{f} bigint' for f in FIELDS)}")
+    tile = F.pmod(F.xxhash64(*FIELDS), F.coalesce("tiles", F.lit(1))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1))
+    low, high = F.least("tile", "other"), F.greatest("tile", "other")
+    tiled = (rows.join(heavy, "cell", "left").withColumn("tile", tile).withColumn("other", other)
+             .select(*FIELDS, F.when(F.col("tiles").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", low, high)).alias("cell")))
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * bands // 400_000 + 1)
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        cell, fps = group["cell"].to_numpy(), _lanes(group)
+        order = np.argsort(cell, kind="stable")
+        cell, fps = cell[order], fps[order]
+        same = cell[1:] == cell[:-1]  # rows alone in their cell have nothing to compare with
+        shared = np.append(same, False) | np.append(False, same)
+        cell, fps = cell[shared], fps[shared]
+        a, b = to_smallest(fps, *close_pairs(fps, cell, most))
+        name = lambda at: [x.tobytes().hex() for x in fps[at].astype(">u8")]
+        return pd.DataFrame({"a": name(a), "b": name(b)}, columns=["a", "b"]).astype("object")
+
+    return tiled.groupBy(F.pmod(F.xxhash64("cell"), F.lit(groups)).alias("g")).applyInPandas(compare, "a string, b string")
+
+
+def to_smallest(fps: np.ndarray, root: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same components with every row linked to its component's smallest fingerprint.
+
+    Cells of different bands hold different members of a large group, but the small ones recur, so most bands repeat the
+    same links and a group's links stay few.
+    """
+    place = np.empty(len(fps), np.int64)
+    place[np.lexsort(fps.T[::-1])] = np.arange(len(fps))
+    row_at = np.empty(len(fps), np.int64)
+    row_at[place] = np.arange(len(fps))
+    best = place.copy()
+    np.minimum.at(best, root, place[member])
+    a, b = np.concatenate([best[root], best[root]]), np.concatenate([place[member], place[root]])
+    pairs = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
+    return row_at[pairs[:, 0]], row_at[pairs[:, 1]]
+
+
+def similar_documents(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """(doc_id, component_id) of every document: documents whose sets of distinct shingles have the Jaccard similarity are linked.
 
-    Fingerprints only find candidates: those of distinct sets that share a band and differ in at most `most` bits. The
-    sets of the candidates' groups are then compared, and components are built of the pairs that reach the similarity.
-    Texts without words are linked with each other; other defined results are those of near_duplicates.
+    Fingerprints only find candidates: those of distinct sets that share a band and differ in a quarter of their bits at
+    most (see bands_for for the share of links found). The sets of the candidates' groups are then made again from their
+    texts and compared, and components are built of the pairs that reach the similarity. Texts without words are linked
+    with each other; other defined results are those of near_duplicates.
     """
     prepare(docs.sparkSession)
-    table = stored(shingle_sets(docs, words, lanes), "sets")
-    distinct = stored(table.groupBy("key", "fingerprint").agg(F.min("doc_id").alias("low")), "distinct")
-    found = components(links(distinct.select("fingerprint").distinct(), most, bands, digits), "simhash")
-    rooted = distinct.join(found, distinct.fingerprint == found.node, "left").select("key", F.coalesce("root", "fingerprint").alias("root"))
-    rooted = stored(rooted, "candidates")
+    most = 16 * LANES
+    table = stored(set_fingerprints(docs, words), "sets")
+    own_id = F.when(F.col("known"), F.col("doc_id"))
+    distinct = stored(table.groupBy("key", *FIELDS).agg(F.min(own_id).alias("low")), "distinct")
+    name = F.concat(*[F.lower(F.lpad(F.hex(f), 16, "0")) for f in FIELDS])
+    found = components(candidate_links(stored(distinct.select(*FIELDS).distinct(), "fingerprints"), similarity, most), "simhash")
+    rooted = distinct.withColumn("fingerprint", name).join(found, F.col("fingerprint") == found.node, "left")
+    rooted = stored(rooted.select("key", "low", "fingerprint", F.coalesce("root", "fingerprint").alias("root")), "candidates")
     several = rooted.groupBy("root").count().filter("count > 1").select("root")
     wanted = stored(rooted.join(several, "root"), "wanted")
-    # one copy of each set; partial aggregates leave a set one row a task, however many copies it has
-    sets = table.join(wanted.select("key"), "key", "left_semi").groupBy("key", "fingerprint").agg(F.first("hashes").alias("hashes"))
-    members = stored(sets.join(wanted, "key"), "members")
+    # the sets of one document for each key; only ids are sent to the texts, up to a size
+    ids = with_known_size(stored(wanted.filter("low is not null").select(F.col("low").alias("doc_id")).distinct(), "ids"), MAX_IDS)
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    if wanted.filter("low is null").head(1):
+        texts = texts.unionByName(docs.select("doc_id", "text").filter("doc_id is null"))
+    sets = shingle_sets(texts, words).groupBy("key").agg(F.first("hashes").alias("hashes"))
+    members = stored(sets.join(wanted.select("key", "fingerprint", "root"), "key"), "members")
     same = components(verified_links(members, most, similarity), "similar")
     roots = stored(distinct.join(same, distinct.key == same.node, "left").select("key", "low", F.coalesce("root", "key").alias("root")), "roots")
     least = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    return table.select("doc_id", "key").join(roots.join(least, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+    own = table.select(own_id.alias("doc_id"), "key")
+    return own.join(roots.join(least, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+
+
+def keep_similar(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The rows of docs whose id is the smallest of its group of similar_documents, all columns kept, one row for each such id.
+
+    Defined results: rows with a NULL doc_id cannot be told apart and stay; of rows with equal ids that all stay, one
+    does; texts without words are one group; an empty table gives no rows; further columns may have any name. The ids to
+    drop are sent to the rows up to MAX_IDS of them (8 bytes each); beyond, both are shuffled by id.
+    """
+    groups = similar_documents(docs, words, similarity).filter("doc_id is not null")
+    counts = stored(groups.groupBy("doc_id").agg(F.sum((F.col("doc_id") == F.col("component_id")).cast("int")).alias("n")), "groups")
+    dropped = with_known_size(counts.filter("n = 0").select("doc_id"), MAX_IDS)
+    kept = docs.join(dropped, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    if counts.filter("n > 1").head(1):
+        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    return kept
 
 
-def keep_one(docs: DataFrame, words: int, lanes: int, most: int, bands: int, digits: int, similarity: float | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, words: int, lanes: int, most: int, bands: int, digits: int) -> DataFrame:
     """The rows of docs whose id is the smallest of its near-duplicate group, all columns kept, one row for each such id.
 
-    With a similarity, groups are those of similar_documents, else of near_duplicates. Rows with a NULL doc_id cannot be
-    told apart and stay.
+    Groups are those of near_duplicates. Rows with a NULL doc_id cannot be told apart and stay.
     """
-    if similarity is None:
-        groups = near_duplicates(docs, words, lanes, most, bands, digits)
-    else:
-        groups = similar_documents(docs, words, lanes, most, bands, digits, similarity)
-    groups = stored(groups, "groups")
+    groups = stored(near_duplicates(docs, words, lanes, most, bands, digits), "groups")
     first = groups.filter("doc_id = component_id").groupBy("doc_id").count()
     kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     if first.filter("count > 1").head(1):
