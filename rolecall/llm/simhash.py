@@ -15,6 +15,7 @@ from .exchange import prepare, stored
 
 HEAVY = 4096
 TILE_BYTES = 16_000_000
+TILE_SETS = 16_384                 # sets compared in one task, if they are not too long together
 PIVOTS = 12
 LANES = 3                          # fingerprints of sets have 192 bits
 FIELDS = [f"f{i}" for i in range(LANES)]
@@ -245,7 +246,7 @@ def verified_links(members: DataFrame, most: int, similarity: float) -> DataFram
     size = F.octet_length("hashes")
     total = members.agg(F.coalesce(F.sum(size), F.lit(0))).head()[0]
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TILE_BYTES + 1)
-    needed = F.ceil(F.greatest(F.count("*") / HEAVY, F.sum(size) / TILE_BYTES)).cast("int")
+    needed = F.ceil(F.greatest(F.count("*") / TILE_SETS, F.sum(size) / TILE_BYTES)).cast("int")
     heavy = members.groupBy("root").agg(needed.alias("tiles")).filter("tiles > 1")
     heavy = with_known_size(stored(heavy, "heavy"))
     tile = F.pmod(F.xxhash64("key"), F.coalesce("tiles", F.lit(1))).cast("int")
