@@ -55,16 +55,18 @@ def batch_postings(batch: DataFrame, fields: list[str] | None = None) -> DataFra
         F.min("seen_at").alias("first_at")).select("url_key", "first_at", "r.*")
 
 
-def upsert(snapshot: DataFrame, batch: DataFrame, fields: list[str] | None = None) -> DataFrame:
+def upsert(snapshot: DataFrame, batch: DataFrame, fields: list[str] | None = None, top: int | None = None) -> DataFrame:
     """The next snapshot: new keys inserted, known ones refreshed and their missing/closed marks cleared.
 
     Adds `changed` (a field differs or the key is new) for whoever maintains derived tables. first_seen never moves.
     New postings get the ids after the largest one: they are numbered on the batch's side, so that the snapshot is merged in
-    one join. Both sides have one row per key, so the join cannot skew.
+    one join. Both sides have one row per key, so the join cannot skew. `top` is the largest id where the snapshot is
+    only the part of a table that holds the batch's keys.
     """
     fields = POSTING_FIELDS if fields is None else fields
     arrived = batch_postings(batch, fields)
-    top = snapshot.agg(F.coalesce(F.max("posting_id"), F.lit(0)).alias("__top"))
+    largest = F.coalesce(F.max("posting_id"), F.lit(0)) if top is None else F.lit(top)
+    top = snapshot.agg(largest.cast("bigint").alias("__top"))
     fresh = arrived.select("url_key").join(snapshot.select("url_key"), "url_key", "left_anti")
     ids = number_rows(fresh, "url_key", "__id").join(F.broadcast(top)).select("url_key", (F.col("__id") + F.col("__top")).alias("__id"))
     new = arrived.join(ids, "url_key", "left").withColumnsRenamed({"first_at": "n_first", "domain": "n_domain", "run_id": "n_run", "seen_at": "n_seen",

@@ -10,6 +10,7 @@ from ..operators.filters import JobFilter
 from ..session import shared_folder
 from ..sinks import exports as X
 from ..streaming import ingest as ST
+from ..streaming.table import PostingTable
 from . import history as HP
 from .postings import POSTINGS, gazetteer, postings
 from .registry import pick, query
@@ -90,16 +91,19 @@ def export_manifest(t):
 
 # ---- streaming ----
 
-def _landed(df, part, folder):
-    """Rows as they land: one delivery for each value 0, 1, 2 of `part`, streamed one delivery at a time."""
+def _deliver(df, part, folder, start):
+    """Rows as they land: one delivery for each value 0, 1, 2 of `part`, in any number of files.
+
+    The stream is started again after each delivery, from its checkpoint, and takes what is new.
+    """
     for n in range(3):
-        df.filter(part == n).coalesce(1).write.mode("append").parquet(folder)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        df.filter(part == n).write.mode("append").parquet(folder)
+        start(df.sparkSession.readStream.schema(df.schema).parquet(folder)).awaitTermination()
 
 
-def _by_days(events, folder):
+def _third():
     days = F.date_diff(col("ts").cast("date"), F.to_date(lit("2024-01-01")))
-    return _landed(events, F.least(F.floor(days / 10), lit(2)), f"{folder}/landed")
+    return F.least(F.floor(days / 10), lit(2))
 
 
 def _rows(events):
@@ -115,12 +119,13 @@ _EMPTY = ("posting_id BIGINT, url_key STRING, domain STRING, title STRING, first
           "missing_since TIMESTAMP_NTZ, closed_at TIMESTAMP_NTZ, last_run_id BIGINT")
 
 
-def _ingested(t, finished=None):
+def _ingested(t):
     folder = _folder(t)
-    versions = ST.Snapshots(t.spark, f"{folder}/postings")
-    versions.write(t.spark.createDataFrame([], _EMPTY), 0)
-    ST.ingest(_rows(_by_days(t.events, folder)), versions, f"{folder}/links", f"{folder}/checkpoint", ["title"], available_now=True, finished=finished).awaitTermination()
-    return folder, versions
+    table = PostingTable(t.spark, f"{folder}/postings", _EMPTY, ["title"], buckets=8)
+    table.create()
+    _deliver(t.events, _third(), f"{folder}/landed", lambda landed: ST.ingest(
+        _rows(landed), table, f"{folder}/links", f"{folder}/checkpoint", available_now=True))
+    return folder, table
 
 
 @query("stream_ingest", """
@@ -128,9 +133,9 @@ def _ingested(t, finished=None):
       arg_max(props, event_id) AS title, arg_max(ts, event_id) AS last_seen, count(DISTINCT ts::DATE)::BIGINT AS runs FROM events GROUP BY 1, 2""")
 def stream_ingest(t):
     """STM-1 / SNK-8: landed rows streamed into the history; the final version and its links."""
-    folder, versions = _ingested(t)
+    folder, table = _ingested(t)
     links = t.spark.read.parquet(f"{folder}/links").groupBy("posting_id").agg(F.count("*").alias("runs"))
-    return versions.read(versions.latest()).join(links, "posting_id").select("url_key", "domain", "title", "last_seen", "runs")
+    return table.read().join(links, "posting_id").select("url_key", "domain", "title", "last_seen", "runs")
 
 
 _LIFECYCLE = f"""
@@ -140,22 +145,22 @@ _LIFECYCLE = f"""
 
 @query("stream_history", _LIFECYCLE)
 def stream_history(t):
-    """STM-1 / STM-2: rows streamed in and marks set in one table, delivery by delivery."""
-    folder, versions = _ingested(t, finished=lambda: HP.runs(t))
-    return versions.read(versions.latest()).select("url_key", "missing_since", "closed_at")
+    """STM-1 / STM-2: rows streamed into the bucketed table, its marks from the finished runs."""
+    _, table = _ingested(t)
+    return table.history(HP.runs(t)).select("url_key", "missing_since", "closed_at")
 
 
 @query("stream_lifecycle", _LIFECYCLE)
 def stream_lifecycle(t):
     """STM-2: finished runs streamed in mark postings missing and closed, as the batch replay does."""
-    folder, versions = _ingested(t)
+    folder, table = _ingested(t)
     runs = HP.runs(t)
     tables = ST.Snapshots(t.spark, f"{folder}/runs")
     tables.write(runs.limit(0), 0)
     marked = ST.Snapshots(t.spark, f"{folder}/marked")
-    marked.write(versions.read(versions.latest()), 0)
-    stream = _landed(runs, F.least(F.floor(col("run_id") / 100), lit(2)), f"{folder}/finished")
-    ST.close_missing(stream, tables, marked, f"{folder}/checkpoint-runs", available_now=True).awaitTermination()
+    marked.write(table.read(), 0)
+    _deliver(runs, F.least(F.floor(col("run_id") / 100), lit(2)), f"{folder}/finished", lambda landed: ST.close_missing(
+        landed, tables, marked, f"{folder}/checkpoint-runs", available_now=True))
     return marked.read(marked.latest()).select("url_key", "missing_since", "closed_at")
 
 
@@ -163,11 +168,13 @@ def stream_lifecycle(t):
     SELECT 'u' || (user_id % 10) AS domain, count(*) FILTER (WHERE event_type IN ('click', 'view'))::BIGINT AS matching, count(*)::BIGINT AS total FROM events GROUP BY 1""")
 def stream_counts(t):
     """STM-6: live counts per company while rows stream in."""
-    folder = _folder(t)
-    events = _landed(t.events, col("event_id") % 3, f"{folder}/landed")
-    rows = events.select(F.concat(lit("u"), (col("user_id") % 10).cast("string")).alias("domain"), col("event_type").alias("source"))
-    counts = ST.live_counts(rows, JobFilter(source=["click", "view"]), gazetteer(t.spark))
-    ST.write_counts(counts, f"{folder}/counts", f"{folder}/checkpoint", available_now=True).awaitTermination()
+    folder, names = _folder(t), gazetteer(t.spark)
+
+    def count(events):
+        rows = events.select(F.concat(lit("u"), (col("user_id") % 10).cast("string")).alias("domain"), col("event_type").alias("source"))
+        return ST.write_counts(ST.live_counts(rows, JobFilter(source=["click", "view"]), names), f"{folder}/counts", f"{folder}/checkpoint", available_now=True)
+
+    _deliver(t.events, col("event_id") % 3, f"{folder}/landed", count)
     return ST.read_counts(t.spark, f"{folder}/counts")
 
 
@@ -176,11 +183,14 @@ def stream_counts(t):
 def stream_without_repeats(t):
     """STM-1: repeats of a streaming run are dropped before they are stored."""
     folder = _folder(t)
-    events = _by_days(t.events, folder).select("user_id", "event_type", "event_id", col("ts").cast("timestamp").alias("ts"))
-    twice = events.withColumn("copy", F.explode(F.array(lit(1), lit(2))))
-    once = ST.without_repeats(twice, "ts", ["event_id"], "1 day").drop("copy")
-    (once.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
-     .trigger(availableNow=True).start().awaitTermination())
+
+    def once(events):
+        twice = events.select("user_id", "event_type", "event_id", col("ts").cast("timestamp").alias("ts")).withColumn("copy", F.explode(F.array(lit(1), lit(2))))
+        rows = ST.without_repeats(twice, "ts", ["event_id"], "1 day").drop("copy")
+        return (rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
+                .trigger(availableNow=True).start())
+
+    _deliver(t.events, _third(), f"{folder}/landed", once)
     return t.spark.read.parquet(f"{folder}/rows").groupBy("user_id", "event_type").agg(F.count("*").alias("events"))
 
 

@@ -37,6 +37,12 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system, whichever Spark writes to; nothing happens if it isn't there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Where intermediate tables and checkpoints go: the folder the cluster names, shared by all executors.
 

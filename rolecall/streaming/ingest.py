@@ -1,18 +1,17 @@
 """Structured Streaming: landed rows into the posting history, batch by batch.
 
-The snapshot is a folder of numbered versions. Batch n reads version n and writes version n + 1, so a batch that is run
-again after a failure writes the same version again and nothing is counted twice.
+Tables have numbered versions. Batch n reads version n and writes version n + 1, so a batch that is run again after a
+failure writes the same version again and nothing is counted twice. Postings are kept in `table.PostingTable`.
 """
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import history as H
 from ..operators.filters import JobFilter, conditions
+from .table import PostingTable
 
 
 class Snapshots:
@@ -41,21 +40,15 @@ def without_repeats(rows: DataFrame, event_time: str, keys: list[str], within: s
     return rows.withWatermark(event_time, within).dropDuplicatesWithinWatermark(keys)
 
 
-def ingest(rows: DataFrame, postings: Snapshots, links: str, checkpoint: str, fields: list[str],
-           available_now: bool = False, finished: Callable[[], DataFrame] | None = None) -> StreamingQuery:
-    """Stream of conformed rows (run_id, pos, domain, url_key, seen_at, fields) -> postings versions and run links.
+def ingest(rows: DataFrame, postings: PostingTable, links: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Stream of conformed rows (run_id, pos, domain, url_key, seen_at, fields) -> the posting table and run links.
 
-    Version 0 of the postings must exist (it may be empty). `finished` gives the runs as they are when a batch is stored:
-    the same version then also marks postings missing and closed, so one table holds the whole history.
+    The table must have been created. Its `history` adds the missing and closed marks.
     """
     def store(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            known = postings.read(number)
-            merged = H.upsert(known, batch, fields).drop("changed")
-            postings.write(merged if finished is None else H.with_marks(merged, finished()), number + 1)
-            marked = H.mark_new(batch, known)
-            H.link_rows(marked, postings.read(number + 1)).write.mode("overwrite").parquet(f"{links}/batch={number}")
+            postings.store(batch, number).write.mode("overwrite").parquet(f"{links}/batch={number}")
         finally:
             batch.unpersist()
 
