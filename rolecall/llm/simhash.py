@@ -282,11 +282,26 @@ def band_cells(fps: np.ndarray, width: int, bands: range) -> Iterator[np.ndarray
     bits = np.ascontiguousarray(np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(len(fps), -1), axis=1).T)
     for k in bands:
         value = np.full(len(fps), k, np.int64)
-        for at in np.random.default_rng((77, k)).choice(len(bits), width, replace=False):
+        for at in _band_bits(k, len(bits), width):
             value = value << np.int64(1) | bits[at]
         yield value
 
 
+def _band_bits(band: int, bits: int, width: int) -> np.ndarray:
+    return np.random.default_rng((77, band)).choice(bits, width, replace=False)
+
+
+def first_shared_band(a: np.ndarray, b: np.ndarray, width: int, bands: int) -> np.ndarray:
+    """The first band in which two rows of fingerprints have the same value; `bands` if there is none."""
+    out, differ = np.full(len(a), bands), a ^ b
+    for k in reversed(range(bands)):
+        mask = np.zeros(64 * a.shape[1], np.uint8)
+        mask[_band_bits(k, len(mask), width)] = 1
+        lanes = np.packbits(mask).view(">u8").astype(np.uint64)
+        out[((differ & lanes) == 0).all(axis=1)] = k
+    return out
+
+
 def _lanes(frame: pd.DataFrame) -> np.ndarray:
     return np.ascontiguousarray(frame[FIELDS].to_numpy(np.int64)).view(np.uint64)
 
@@ -295,8 +310,9 @@ def candidate_links(distinct: DataFrame, similarity: float, most: int) -> DataFr
     """Edges (a, b) between distinct fingerprints (f0, f1, f2) of at most `most` differing bits that share a band; a, b are their hex.
 
     A row in the shuffle is a band value and the fingerprint. Band values that many rows hold are cut into tiles, and pairs of
-    tiles are compared by different tasks. Such values are known beforehand: one with more than HEAVY rows has more
-    than HEAVY over the number of tasks in at least one task, so only such counts are sent.
+    tiles are compared by different tasks (their cells are negative numbers). Such values are known beforehand: one with more than HEAVY rows has more
+    than HEAVY over the number of tasks in at least one task, so only such counts are sent. Two rows that share several
+    bands are linked in the first of them; a link between them in a later one says nothing new and is left out.
     """
     spark = distinct.sparkSession
     n = distinct.count()
@@ -323,7 +339,7 @@ def candidate_links(distinct: DataFrame, similarity: float, most: int) -> DataFr
     other = F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1))
     low, high = F.least("tile", "other"), F.greatest("tile", "other")
     tiled = (rows.join(heavy, "cell", "left").withColumn("tile", tile).withColumn("other", other)
-             .select(*FIELDS, F.when(F.col("tiles").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", low, high)).alias("cell")))
+             .select(*FIELDS, F.when(F.col("tiles").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", low, high).bitwiseOR(F.lit(-2 ** 63))).alias("cell")))
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * bands // 400_000 + 1)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -334,6 +350,9 @@ def candidate_links(distinct: DataFrame, similarity: float, most: int) -> DataFr
         shared = np.append(same, False) | np.append(False, same)
         cell, fps = cell[shared], fps[shared]
         a, b = to_smallest(fps, *close_pairs(fps, cell, most))
+        near = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1) <= most
+        new = (cell[b] < 0) | ~near | (first_shared_band(fps[a], fps[b], width, bands) == cell[b] >> np.int64(width))
+        a, b = a[new], b[new]
         name = lambda at: [x.tobytes().hex() for x in fps[at].astype(">u8")]
         return pd.DataFrame({"a": name(a), "b": name(b)}, columns=["a", "b"]).astype("object")
 

@@ -42,19 +42,33 @@ def test_band_cells_take_their_own_bits():
     assert all(((a ^ b) & 0xFFFF == 0xFFFF).all() for a, b in zip(cells, simhash.band_cells(flipped, 16, range(53)), strict=True))
 
 
-def test_heavy_cells_are_cut_and_lose_nothing(spark, monkeypatch):
-    """Many fingerprints near one another, in tiles: all of them are one component."""
-    monkeypatch.setattr(simhash, "HEAVY", 16)
+def test_first_shared_band():
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 2 ** 64, (300, 3), np.uint64)
+    b = a.copy()
+    for row in b:
+        for bit in rng.choice(192, 25, replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    same = np.stack([x == y for x, y in zip(simhash.band_cells(a, 16, range(53)), simhash.band_cells(b, 16, range(53)), strict=True)])
+    assert (simhash.first_shared_band(a, b, 16, 53) == np.where(same.any(axis=0), same.argmax(axis=0), 53)).all()
+
+
+@pytest.mark.parametrize("heavy", [16, 4096])
+def test_heavy_cells_are_cut_and_lose_nothing(spark, monkeypatch, heavy):
+    """Many fingerprints near one another, in tiles or not: all of them are one component, by few links."""
+    monkeypatch.setattr(simhash, "HEAVY", heavy)
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2 ** 64, 3, np.uint64)
     fps = [base.copy() for _ in range(150)]
     for f in fps:
-        for bit in rng.integers(0, 192, 4):
+        for bit in rng.integers(0, 192, 12):
             f[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
     fps = np.unique(np.stack(fps), axis=0)
     df = spark.createDataFrame([tuple(map(int, f.view(np.int64))) for f in fps], "f0 bigint, f1 bigint, f2 bigint").repartition(3)
     from rolecall.llm.components import components
-    found = components(simhash.candidate_links(df, 0.8, 48))
+    links = simhash.candidate_links(df, 0.8, 48).cache()
+    assert heavy < 4096 or links.count() < 12 * len(fps)
+    found = components(links)
     assert found.count() == len(fps) and found.select("root").distinct().count() == 1
 
 
