@@ -118,10 +118,18 @@ def unique_fragments(bases: Column) -> Column:
 
 
 def _walked(bases: Column) -> Column:
+    """Name by name: a name already given takes the smallest number whose name is free, found among the numbers taken."""
     def step(taken: Column, base: Column) -> Column:
-        names = F.transform(F.sequence(F.lit(1), F.size(taken) + 1),
-                            lambda n: F.when(n == 1, base).otherwise(F.concat(base, F.lit("-"), n.cast("string"))))
-        return F.array_append(taken, F.get(F.filter(names, lambda x: ~F.array_contains(taken, x)), F.lit(0)))
+        prefix = F.concat(base, F.lit("-"))
+
+        def number(name: Column) -> Column:
+            suffix = F.substr(name, F.length(prefix) + 1)
+            n = suffix.try_cast("int")
+            return F.when(n.cast("string") == suffix, n)  # 'x-02' takes no number
+
+        numbers = F.filter(F.transform(F.filter(taken, lambda x: F.startswith(x, prefix)), number), lambda n: n.isNotNull())
+        free = J.let(numbers, lambda ns: F.get(F.array_except(F.sequence(F.lit(2), F.size(ns) + 2), ns), F.lit(0)))
+        return F.array_append(taken, F.when(F.array_contains(taken, base), F.concat(prefix, free.cast("string"))).otherwise(base))
 
     return F.aggregate(bases, F.array().cast("array<string>"), step)
 

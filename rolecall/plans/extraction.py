@@ -5,10 +5,10 @@ order, in several shapes. The SQL side computes what must come out from the orde
 """
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from ..functions import classify as C, text as TX, variants as J, vocab as V
-from ..operators import boards as B, cascade as CA, conform as CF, jsonld as LD, sniff as SN
+from ..functions import classify as C, text as TX, urls as U, variants as J, vocab as V
+from ..operators import boards as B, cascade as CA, conform as CF, jsonld as LD, reading as RG, sniff as SN
 from ..sources import apis, readers as RD
 from . import duck as D
 from .postings import gazetteer
@@ -493,3 +493,77 @@ def adapter_rows(t):
 
     rows = RD.with_adapters(payloads(t).withColumnRenamed("o_custkey", "domain"), {10: own, 20: own}, generic)
     return rows.groupBy("domain", "reader").agg(F.count("*").alias("postings"))
+
+
+# ---- pages in, postings out ----
+
+_SITE = 4           # postings on a result page
+_IDS = 1_000_000    # addresses of postings hold long numbers
+
+
+def _crawled(t):
+    """A careers site per customer, as landed: result pages that name only the next one, and a page for most postings.
+
+    Result pages list four orders each and repeat the first one's link; customers divisible by 5 list two, so their further
+    pages are not followed. A third of the posting pages never landed, a third holds no posting of its own.
+    """
+    o = t.orders.select("o_custkey", "o_orderkey", "o_orderpriority", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("r"))
+    size = F.when(col("o_custkey") % 5 == 0, 2).otherwise(_SITE)
+    o = o.withColumn("page", F.ceil(col("r") / size).cast("int"))
+    site = F.concat(lit("https://c"), _text(col("o_custkey")), lit(".example.com"))
+    link = F.concat(lit('<a href="/jobs/'), _text(col("o_orderkey") + _IDS), lit('">Post '), _text(col("o_orderkey")), lit("</a>"))
+    listing = o.groupBy("o_custkey", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", link.alias("a")))), lambda x: x["a"]), " ").alias("links"))
+    first = o.filter("r = 1").select("o_custkey", F.concat(lit('<a href="/jobs/'), _text(col("o_orderkey") + _IDS), lit('">Seen before</a>')).alias("again"))
+    embedded = F.when(col("o_custkey") % 4 == 0, F.concat(
+        lit('<script type="application/ld+json">{"@type":"JobPosting","title":"On page '), _text(col("page")), lit('","url":"/own/'), _text(col("page")), lit('"}</script>'))).otherwise("")
+    more = F.concat(lit('<a href="/careers?page='), _text(col("page") + 1), lit('">next</a>'))
+    listing = listing.join(first, "o_custkey").select(
+        "o_custkey", F.concat(site, lit("/careers"), F.when(col("page") == 1, "").otherwise(F.concat(lit("?page="), _text(col("page"))))).alias("url"),
+        F.concat(lit("<html><body>"), embedded, "links", F.when(col("page") > 1, col("again")).otherwise(""), more).alias("html"))
+    detail = F.when(col("o_orderkey") % 3 == 1, F.concat(
+        lit('<script type="application/ld+json">{"@type":"JobPosting","title":"Detail '), "o_orderpriority", lit('"}</script>'))).otherwise("<p>Apply here</p>")
+    details = o.filter("o_orderkey % 3 <> 0").select("o_custkey", F.concat(site, lit("/jobs/"), _text(col("o_orderkey") + _IDS)).alias("url"), detail.alias("html"))
+    pages = listing.unionByName(details)
+    return pages.select(F.concat(lit("c"), _text(col("o_custkey"))).alias("domain"), "url", col("url").alias("final_url"), "html",
+                        F.array(U.registrable_domain(U.host(col("url")))).alias("domains"))
+
+
+def _read_sites(t, upto=None):
+    pages = _crawled(t)
+    landed = RG.LandedPages(pages, upto)
+    starts = pages.filter(F.col("url").endswith("/careers")).select("domain", "url", lit(1).alias("rank"))
+    return landed, landed.listings(starts)
+
+
+_SITES = """o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderpriority AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders),
+    placed AS (SELECT *, CASE WHEN c % 5 = 0 THEN 2 ELSE 4 END AS size, (r + CASE WHEN c % 5 = 0 THEN 1 ELSE 3 END) // CASE WHEN c % 5 = 0 THEN 2 ELSE 4 END AS page FROM o),
+    pages AS (SELECT c, page, count(*) AS own, CASE WHEN page > 1 THEN 1 ELSE 0 END AS again FROM placed GROUP BY c, page),
+    -- a page is reached if every page before it has three links
+    reached AS (SELECT c, page, own + again AS links FROM pages a WHERE NOT EXISTS (SELECT 1 FROM pages b WHERE b.c = a.c AND b.page < a.page AND b.own + b.again < 3)),
+    shown AS (SELECT p.* FROM placed p JOIN reached USING (c, page))"""
+
+
+@query("generic_reading", f"""
+    WITH {_SITES}
+    SELECT 'c' || c AS domain, CASE WHEN k % 3 = 1 THEN 'Detail ' || p ELSE 'Post ' || k END AS title, 'https://c' || c || '.example.com/jobs/' || (k + 1000000) || CASE WHEN k % 3 = 1 THEN '#job-' || {D.slug("'Detail ' || p")} ELSE '' END AS url,
+           CASE WHEN k % 3 = 1 THEN 'json-ld' ELSE 'html-heuristic' END AS source FROM shown
+    UNION ALL SELECT 'c' || c, 'On page ' || page, 'https://c' || c || '.example.com/own/' || page, 'json-ld' FROM reached WHERE c % 4 = 0""")
+def generic_reading(t):
+    """RD-8 / RD-9 / HTML-7: from landed pages through further result pages and posting pages to postings."""
+    landed, listings = _read_sites(t)
+    return landed.read(listings).select("domain", "title", "url", "source")
+
+
+@query("listing_rounds", f"WITH {_SITES} SELECT 'c' || c AS domain, count(*)::BIGINT AS pages, max(page)::BIGINT - 1 AS rounds FROM reached GROUP BY c")
+def listing_rounds(t):
+    """HTML-7: result pages found by following one another, and in how many rounds."""
+    _, listings = _read_sites(t)
+    return listings.groupBy("domain").agg(F.count("*").alias("pages"), F.max("round").cast("bigint").alias("rounds"))
+
+
+@query("listings_too_long", f"""
+    WITH {_SITES} SELECT 'c' || c AS domain, max(page)::BIGINT + 1 AS last_page FROM reached WHERE links >= 3 AND page <= 2 GROUP BY c HAVING max(page) + 1 > 2""")
+def listings_too_long(t):
+    """SRC-5: companies whose listing has more pages than the crawl would fetch."""
+    landed, listings = _read_sites(t, upto=2)
+    return landed.too_long(listings)
