@@ -2,6 +2,7 @@
 import collections
 import hashlib
 import math
+import re
 import zlib
 
 import duckdb
@@ -192,6 +193,37 @@ def test_mixing_and_licenses_equal_sql(docs):
         assert plain(df.select(*names).collect()) == plain(want.fetchall())
 
 
+WRAPPED = {  # statements as they stand in files, with the label they must get
+    "bsd": "/*\r\n * Copyright (c) 2020 A. Person. All rights reserved.\r\n *\r\n * Redistribution and use in source and binary forms, with or without\r\n * modification, are permitted provided that the following holds:\r\n */",
+    "gpl-notice": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation.",
+    "apache-2": "// Licensed under the Apache License,\n//\n// Version 2.0 (the \"License\");",
+    "mit-text": "\tPermission is hereby granted, free of charge, to any\n\n\tperson obtaining a copy\n\tof this software and associated files",
+    "mpl": "-- This Source Code Form is subject\r-- to the terms of the Mozilla Public\r-- License, v. 2.0."}
+
+
+@pytest.mark.parametrize("before", [0, 5, 27, 28, 29, 55, 700])
+def test_licenses_wrapped_over_lines(spark, before):
+    rows = [(i, "word " * before + text, None, None, 1) for i, text in enumerate(WRAPPED.values())]
+    apart = " ".join(w + " lamp river" for w in licenses.TEMPLATES[7][0].split())  # all the words, but in no run
+    rows.append((9, apart, None, None, 1))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r for r in licenses.scan_licenses(table).collect()}
+    for i, label in enumerate(WRAPPED):
+        assert label in got[i].labels.split(","), label
+        words = re.findall("[a-z0-9]+", rows[i][1].lower())
+        for f in got[i].found:
+            run = f.run.split()
+            assert words[f.at:f.at + len(run)] == run
+            template = next(set(t.split()) for t, x in licenses.TEMPLATES if x == f.label)
+            assert abs(len(template & set(run)) / len(template) - f.share) < 1e-12 and f.share >= 0.8 - 1e-9
+    assert got[9].labels == "" and got[9].score == 0
+    con = duckdb.connect()
+    con.register("documents", table.toPandas())
+    want = con.execute(queries.ORACLES["op9_licenses"]).fetchall()
+    names = [x[0] for x in con.description]
+    assert sorted(map(str, want)) == sorted(str(tuple(got[r.doc_id][n] for n in names)) for r in got.values())
+
+
 def test_keep_mixed_takes_what_mix_takes(docs):
     once = {(r.doc_id) for r in mixing.mix(docs, queries.domain(), queries.WEIGHTS, 0.6, 1, 3).collect()}
     kept = mixing.keep_mixed(docs, queries.domain(), queries.WEIGHTS, 0.6, 3)
