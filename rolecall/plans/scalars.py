@@ -37,6 +37,35 @@ def text_fold(t):
     return t.documents.select("doc_id", F.md5(TX.fold(col("text"))).alias("folded_md5"))
 
 
+# Names in scripts and signs that fold to other letters, each with its folded form.
+FOLDED = [("שָׁלוֹם", "שלום"), ("ﾃﾞｰﾀ", "テータ"), ("½ Zoll", "1⁄2 zoll"), ("Ǆep", "dzep"), ("Ŀ.", "l·"), ("ΌΣΟΣ", "οσοσ"),
+          ("㎏", "kg"), ("İZMİR", "izmir"), ("Ⅷ", "viii"), ("ﷲ", "الله"), ("①②", "12"), ("𝐁𝐞𝐫𝐧", "bern"), ("Đà Nẵng", "đa nang"),
+          ("각", "\u1100\u1161\u11a8"), ("가 나", "\u1100\u1161 \u1102\u1161"), ("ŉ", "ʼn"), ("Ꮳ", "Ꮳ"), ("O’Fallon…", "ofallon"), ("…", ""), ("ẞ", "ss")]
+
+
+@query("text_fold_scripts", f"""
+    SELECT p_partkey, md5(concat_ws(' ', nullif({D.pick([f for _, f in FOLDED], 'p_partkey')}, ''), lower(p_name))) AS folded_md5 FROM part""")
+def text_fold_scripts(t):
+    """STR-2: letters of other scripts, and signs that stand for several letters."""
+    text = F.concat(pick([x for x, _ in FOLDED], col("p_partkey")), lit(" "), F.upper("p_name"))
+    return t.part.select("p_partkey", F.md5(TX.fold(text)).alias("folded_md5"))
+
+
+# Texts with references, each with what they say.
+REFERENCES = [("&#38;lt;b", "&lt;b"), ("it&#146;s", "it’s"), ("&copy 2024", "© 2024"), ("caf&eacute", "café"), ("&amp;eacute;", "&eacute;"),
+              ("&#x26;amp;", "&amp;"), ("&notit;", "¬it;"), ("&notin;", "∉"), ("R&D; &nosuch;", "R&D; &nosuch;"), ("&#0;&#xD800;&#1114112;", "\ufffd" * 3),
+              ("a&#1;b&#11;c", "abc"), ("&#x1F600;&#128512", "😀😀"), ("&", "&"), ("&&amp;&", "&&&"), ("&#;&#x;&#xg;", "&#;&#x;&#xg;"),
+              ("&LT;&ltx&gt", "<<x>"), ("&nbsp;&NotEqualTilde;", "\u00a0≂̸"), ("&#99999999999999999999;", "\ufffd"), ("&#129;&#x80;", "\u0081€"), ("&amp", "&")]
+
+
+@query("text_references", f"""
+    SELECT p_partkey, md5({D.pick([f for _, f in REFERENCES], 'p_partkey')} || '|' || p_name) AS undone_md5 FROM part""")
+def text_references(t):
+    """STR-6: references undone once, from left to right, with and without ';'."""
+    text = F.concat(pick([x for x, _ in REFERENCES], col("p_partkey")), lit("|"), col("p_name"))
+    return t.part.select("p_partkey", F.md5(TX.unescape_markup(text)).alias("undone_md5"))
+
+
 @query("text_slug", f"""
     SELECT p_partkey, {D.slug("p_name || ' / ' || p_brand || ' — ' || p_type")} AS slug FROM part""")
 def text_slug(t):
