@@ -209,6 +209,32 @@ def read_places(texts: DataFrame, column: str, gazetteer: Gazetteer) -> DataFram
     return read.groupBy("text").agg(F.min_by("place", "seg").alias("place")).select("text", "place.*")
 
 
+HOT_ROWS = 100_000  # a text of more rows is spread over keys of its own, so many rows each
+HOT_TEXTS = 10_000  # so many of the most frequent texts at most
+HOT_LENGTH = 1000   # in characters; a longer text is never spread, which bounds what is broadcast
+
+
+def _join_read(df: DataFrame, column: str, gazetteer: Gazetteer, wanted: Column | None = None) -> DataFrame:
+    """Add __place, the place read from the text of `column` (NULL where none is, or where the row is not `wanted`).
+
+    Texts are counted and read once each. A frequent text, read or not, is spread over several keys; rows that need no
+    place are spread evenly. So no task gets more than some HOT_ROWS rows of one text.
+    """
+    own = F.col(column) if wanted is None else F.when(wanted, F.col(column))
+    counts = df.select(own.alias("__text")).filter(F.col("__text").isNotNull()).groupBy("__text").agg(F.count("*").alias("__n"))
+    hot = (counts.filter((F.col("__n") > HOT_ROWS) & (F.length("__text") <= HOT_LENGTH)).orderBy(F.desc("__n"), "__text").limit(HOT_TEXTS)
+           .select(F.col("__text").alias("__hot"), (F.floor(F.col("__n") / HOT_ROWS) + 1).alias("__keys")))
+    places = read_places(counts, "__text", gazetteer).select(F.col("text").alias("__text"), F.struct("city", "region", "country").alias("__place"))
+    places = (places.join(F.broadcast(hot), F.col("__text") == F.col("__hot"), "left")
+              .select("__text", "__place", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("__keys", F.lit(1)) - 1)).alias("__key")))
+    marked = df.withColumn("__own", own).join(F.broadcast(hot), F.col("__own") == F.col("__hot"), "left")
+    row = F.monotonically_increasing_id()
+    # -1 and below: a key that no place has
+    marked = marked.select(*df.columns, F.coalesce("__own", F.lit("")).alias("__text"),
+                           F.when(F.col("__own").isNull(), -1 - row).otherwise(row % F.coalesce("__keys", F.lit(1))).alias("__key"))
+    return marked.join(places, ["__key", "__text"], "left").select(*df.columns, "__place")
+
+
 def add_places(df: DataFrame, gazetteer: Gazetteer, location: str = "location", city: str = "city", region: str = "region",
                country: str = "country") -> DataFrame:
     """Feed structure first, location text for what the feed left out unless it contradicts: adds geo_confidence."""
@@ -216,16 +242,15 @@ def add_places(df: DataFrame, gazetteer: Gazetteer, location: str = "location",
     work = normalize_countries(work, gazetteer, "__country", "__iso")
     work = normalize_regions(work, gazetteer, "__region", "__iso", "__reg")
     work = computed(work, __town=TX.clean(F.col("__city"))).drop("__city", "__region", "__country")
-    places = read_places(work, location, gazetteer).withColumnsRenamed(
-        {"text": "__text", "city": "__pc", "region": "__pr", "country": "__pi"})
-    hit = work.join(places, F.col(location) == F.col("__text"), "left")
+    hit = _join_read(work, location, gazetteer).select("*", F.col("__place.city").alias("__pc"), F.col("__place.region").alias("__pr"),
+                                                       F.col("__place.country").alias("__pi"))
     feed = F.coalesce("__iso", "__reg", "__town").isNotNull()
     agrees = F.col("__pi").isNull() | F.col("__iso").isNull() | (F.col("__pi") == F.col("__iso"))
 
     def filled(own: str, read: str) -> Column:
         return F.when(feed & ~agrees, F.col(own)).when(feed, F.coalesce(own, read)).otherwise(F.col(read))
 
-    confidence = F.when(feed, "feed").when(F.col("__text").isNotNull(), "parsed")
+    confidence = F.when(feed, "feed").when(F.col("__place").isNotNull(), "parsed")
     return hit.select(*[c for c in df.columns if c not in (city, region, country, "geo_confidence")],
                       filled("__town", "__pc").alias(city), filled("__reg", "__pr").alias(region),
                       filled("__iso", "__pi").alias(country), confidence.alias("geo_confidence"))
@@ -233,13 +258,11 @@ def add_places(df: DataFrame, gazetteer: Gazetteer, location: str = "location",
 
 def backfill_places(postings: DataFrame, gazetteer: Gazetteer) -> DataFrame:
     """Read places for stored rows that have none yet; rows with a confidence are left as they are."""
-    places = read_places(postings.filter(F.col("geo_confidence").isNull()), "location", gazetteer).withColumnsRenamed(
-        {"text": "__text", "city": "__c", "region": "__r", "country": "__i"})
-    hit = postings.join(places, (F.col("location") == F.col("__text")) & F.col("geo_confidence").isNull(), "left")
-    new = F.col("__text").isNotNull()
+    hit = _join_read(postings, "location", gazetteer, F.col("geo_confidence").isNull())
+    new = F.col("__place").isNotNull()
     return hit.select(*[
         F.when(new, F.col(source)).otherwise(F.col(c)).alias(c) if source else F.col(c)
         for c in postings.columns
-        for source in [{"city": "__c", "region": "__r", "country": "__i"}.get(c)]
+        for source in [{"city": "__place.city", "region": "__place.region", "country": "__place.country"}.get(c)]
         if c != "geo_confidence"],
         F.when(new, "parsed").otherwise(F.col("geo_confidence")).alias("geo_confidence"))

@@ -58,10 +58,9 @@ _GAZETTEERS: dict[int, Gazetteer] = {}
 
 def gazetteer(spark) -> Gazetteer:
     """One gazetteer per session."""
-    key = id(spark._jvm)
-    if key not in _GAZETTEERS:
-        _GAZETTEERS[key] = Gazetteer.load(spark)
-    return _GAZETTEERS[key]
+    if getattr(_GAZETTEERS.get("newest"), "spark", None) is not spark:
+        _GAZETTEERS["newest"] = Gazetteer.load(spark)
+    return _GAZETTEERS["newest"]
 
 
 def group_countries(*groups):
@@ -375,7 +374,19 @@ PLACE_TEXT = [
     ("Chicago, Illinois, US", "Chicago", "Illinois", "US"), ("Somerville, IN", None, None, None), ("Porto, Portugal", "Porto", None, "PT"),
     ("Several sites / Lisbon, Portugal", "Lisbon", None, "PT"), ("Japan, Osaka (+5 more)", "Osaka", None, "JP"),
     ("Hybrid | Madrid, Spain", "Madrid", None, "ES"), ("Savannah, Georgia", None, None, None), ("Atlanta, Georgia, USA", "Atlanta", "Georgia", "US"),
-    ("Ohio", None, "Ohio", "US"), ("Montréal, Quebec", "Montreal", "Quebec", "CA"), ("Norway", None, None, "NO")]
+    ("Ohio", None, "Ohio", "US"), ("Montréal, Quebec", "Montreal", "Quebec", "CA"), ("Norway", None, None, "NO"),
+    # cities alone, one name in several places, other spellings
+    ("Orlando", "Orlando", "Florida", "US"), ("nashville", "Nashville", "Tennessee", "US"), ("Sacramento", "Sacramento", "California", "US"),
+    ("RALEIGH", "Raleigh", "North Carolina", "US"), ("Remote - Milwaukee", "Milwaukee", "Wisconsin", "US"), ("Honolulu", "Honolulu", "Hawaii", "US"),
+    ("Hybrid | Ann Arbor", "Ann Arbor", "Michigan", "US"), ("Edmonton", "Edmonton", "Alberta", "CA"), ("Québec City", "Quebec City", "Quebec", "CA"),
+    ("Glasgow", "Glasgow", None, "GB"), ("Leeds", "Leeds", None, "GB"), ("Belfast", "Belfast", None, "GB"), ("Galway", "Galway", None, "IE"),
+    ("Stuttgart", "Stuttgart", None, "DE"), ("Düsseldorf", "Düsseldorf", None, "DE"), ("Den Haag", "The Hague", None, "NL"), ("Marseille", "Marseille", None, "FR"),
+    ("Torino", "Turin", None, "IT"), ("Göteborg", "Gothenburg", None, "SE"), ("Wrocław", "Wroclaw", None, "PL"), ("București", "Bucharest", None, "RO"),
+    ("Kiev", "Kyiv", None, "UA"), ("Tallinn", "Tallinn", None, "EE"), ("Nairobi", "Nairobi", None, "KE"), ("Riyadh", "Riyadh", None, "SA"),
+    ("Calcutta", "Kolkata", None, "IN"), ("Gurugram", "Gurgaon", None, "IN"), ("Saigon", "Ho Chi Minh City", None, "VN"), ("Medellin", "Medellín", None, "CO"),
+    ("Rio de Janeiro", "Rio de Janeiro", None, "BR"), ("Osaka", "Osaka", None, "JP"), ("Richmond", None, None, None), ("Birmingham", None, None, None),
+    ("Valencia", None, None, None), ("Wellington", None, None, None), ("Columbus, OH", "Columbus", "Ohio", "US"), ("Birmingham, UK", "Birmingham", None, "GB"),
+    ("Madison, WI", "Madison", "Wisconsin", "US"), ("Reading, England", "Reading", None, "GB"), ("Remote", None, None, None), ("", None, None, None)]
 
 
 @query("places_read", f"""

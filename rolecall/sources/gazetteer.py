@@ -1,13 +1,15 @@
 """Place dimensions: countries, US and Canadian subdivisions, cities, metro areas, region groups.
 
-Countries come from the ISO list every JVM ships, with the names below where ours differ, so no country table is kept
-here. Cities are a starting set of well-known ones; a fuller table (name, region, country, aliases, ambiguous) replaces
-it through `Gazetteer.load(spark, cities=...)`. A city is ambiguous when its name alone could be elsewhere.
+Countries (ISO 3166) and cities stand in the two files beside this one; a table of the caller's own (name, region, country,
+aliases, ambiguous) replaces the cities through `Gazetteer.load(spark, cities=...)`. A city is ambiguous when its name
+alone could be elsewhere.
 """
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,13 +20,6 @@ from ..functions import vocab as V
 from ..functions.text import fold, fold_text
 from ..operators.keyed import with_known_size
 
-# Display names that differ from the JVM's ('&' and 'St.' are spelled out by rule).
-COUNTRY_NAMES = {
-    "BQ": "Bonaire, Sint Eustatius and Saba", "CD": "Democratic Republic of the Congo", "CG": "Republic of the Congo",
-    "CI": "Côte d'Ivoire", "CV": "Cabo Verde", "GS": "South Georgia and the South Sandwich Islands", "HK": "Hong Kong",
-    "HM": "Heard Island and McDonald Islands", "MM": "Myanmar", "MO": "Macao", "PS": "Palestine", "TR": "Türkiye",
-    "UM": "United States Minor Outlying Islands", "VC": "Saint Vincent and the Grenadines", "XK": "Kosovo"}
-
 # Further names of a country.
 COUNTRY_ALIASES = {
     "AE": ["UAE", "U.A.E.", "Emirates"], "AT": ["Österreich"], "AX": ["Aland Islands"], "BA": ["Bosnia"],
@@ -58,107 +53,18 @@ SUBDIVISIONS = {
            "NL": "Newfoundland and Labrador", "NS": "Nova Scotia", "NT": "Northwest Territories", "NU": "Nunavut",
            "ON": "Ontario", "PE": "Prince Edward Island", "QC": "Quebec", "SK": "Saskatchewan", "YT": "Yukon"}}
 
-# Fixed values: (name, region, country, aliases, ambiguous).
-CITIES = [
-    ("New York", "New York", "US", ["NYC", "New York City", "New York, NY", "Manhattan", "Brooklyn"], False),
-    ("San Francisco", "California", "US", ["SF", "San Fran", "SFO"], False),
-    ("Los Angeles", "California", "US", ["LA", "L.A."], False),
-    ("San Diego", "California", "US", [], False),
-    ("Palo Alto", "California", "US", [], False),
-    ("Mountain View", "California", "US", [], False),
-    ("Sunnyvale", "California", "US", [], False),
-    ("Menlo Park", "California", "US", [], False),
-    ("Santa Clara", "California", "US", [], False),
-    ("Cupertino", "California", "US", [], False),
-    ("Oakland", "California", "US", [], False),
-    ("San Jose", "California", "US", [], True),
-    ("Seattle", "Washington", "US", [], False),
-    ("Redmond", "Washington", "US", [], False),
-    ("Austin", "Texas", "US", [], False),
-    ("Dallas", "Texas", "US", [], False),
-    ("Houston", "Texas", "US", [], False),
-    ("Boston", "Massachusetts", "US", [], False),
-    ("Cambridge", "Massachusetts", "US", [], True),
-    ("Chicago", "Illinois", "US", [], False),
-    ("Denver", "Colorado", "US", [], False),
-    ("Atlanta", "Georgia", "US", [], False),
-    ("Miami", "Florida", "US", [], False),
-    ("Washington, D.C.", "District of Columbia", "US", ["Washington DC", "Washington D.C.", "DC", "Washington, DC"], False),
-    ("Portland", "Oregon", "US", [], True),
-    ("Phoenix", "Arizona", "US", [], False),
-    ("Philadelphia", "Pennsylvania", "US", ["Philly"], False),
-    ("Pittsburgh", "Pennsylvania", "US", [], False),
-    ("Salt Lake City", "Utah", "US", [], False),
-    ("Minneapolis", "Minnesota", "US", [], False),
-    ("Detroit", "Michigan", "US", [], False),
-    ("Las Vegas", "Nevada", "US", [], False),
-    ("St. Louis", "Missouri", "US", ["Saint Louis", "St Louis"], False),
-    ("Toronto", "Ontario", "CA", [], False),
-    ("Vancouver", "British Columbia", "CA", [], True),
-    ("Montreal", "Quebec", "CA", ["Montréal"], False),
-    ("Ottawa", "Ontario", "CA", [], False),
-    ("Calgary", "Alberta", "CA", [], False),
-    ("London", None, "GB", [], False),
-    ("Manchester", None, "GB", [], True),
-    ("Edinburgh", None, "GB", [], False),
-    ("Cambridge", None, "GB", [], True),
-    ("Oxford", None, "GB", [], True),
-    ("Dublin", None, "IE", [], True),
-    ("Berlin", None, "DE", [], False),
-    ("Munich", None, "DE", ["München"], False),
-    ("Hamburg", None, "DE", [], False),
-    ("Frankfurt", None, "DE", ["Frankfurt am Main"], False),
-    ("Cologne", None, "DE", ["Köln"], False),
-    ("Paris", None, "FR", [], True),
-    ("Lyon", None, "FR", [], False),
-    ("Amsterdam", None, "NL", [], True),
-    ("Rotterdam", None, "NL", [], False),
-    ("Brussels", None, "BE", ["Bruxelles"], False),
-    ("Zurich", None, "CH", ["Zürich"], False),
-    ("Geneva", None, "CH", ["Genève"], True),
-    ("Vienna", None, "AT", ["Wien"], True),
-    ("Madrid", None, "ES", [], False),
-    ("Barcelona", None, "ES", [], False),
-    ("Lisbon", None, "PT", ["Lisboa"], False),
-    ("Milan", None, "IT", ["Milano"], False),
-    ("Rome", None, "IT", ["Roma"], True),
-    ("Copenhagen", None, "DK", ["København"], False),
-    ("Stockholm", None, "SE", [], False),
-    ("Oslo", None, "NO", [], False),
-    ("Helsinki", None, "FI", [], False),
-    ("Warsaw", None, "PL", ["Warszawa"], False),
-    ("Krakow", None, "PL", ["Kraków", "Cracow"], False),
-    ("Prague", None, "CZ", ["Praha"], False),
-    ("Budapest", None, "HU", [], False),
-    ("Athens", None, "GR", ["Athina"], True),
-    ("Istanbul", None, "TR", [], False),
-    ("Luxembourg City", None, "LU", ["Luxembourg"], False),
-    ("Tel Aviv", None, "IL", ["Tel Aviv-Yafo", "Tel-Aviv"], False),
-    ("Dubai", None, "AE", [], False),
-    ("Cairo", None, "EG", [], True),
-    ("Lagos", None, "NG", [], False),
-    ("Cape Town", None, "ZA", [], False),
-    ("Singapore", None, "SG", [], False),
-    ("Tokyo", None, "JP", [], False),
-    ("Seoul", None, "KR", [], False),
-    ("Beijing", None, "CN", [], False),
-    ("Shanghai", None, "CN", [], False),
-    ("Hong Kong", None, "HK", [], False),
-    ("Taipei", None, "TW", [], False),
-    ("Bangalore", None, "IN", ["Bengaluru"], False),
-    ("Mumbai", None, "IN", ["Bombay"], False),
-    ("Pune", None, "IN", [], False),
-    ("Delhi", None, "IN", ["New Delhi"], False),
-    ("Sydney", None, "AU", [], False),
-    ("Melbourne", None, "AU", [], False),
-    ("Auckland", None, "NZ", [], False),
-    ("Mexico City", None, "MX", ["CDMX", "Ciudad de México", "Ciudad de Mexico"], False),
-    ("São Paulo", None, "BR", ["Sao Paulo"], False),
-    ("Buenos Aires", None, "AR", [], False),
-    ("Santiago", None, "CL", [], True),
-    ("Bogotá", None, "CO", ["Bogota"], False),
-    ("Panama City", None, "PA", [], True),
-]
+
+def _rows(name: str) -> list[dict[str, str]]:
+    with (Path(__file__).parent / name).open(encoding="utf-8", newline="") as lines:
+        return list(csv.DictReader(lines))
+
+
+@lru_cache(maxsize=1)
+def built_in_cities() -> list[tuple[str, str | None, str, list[str], bool]]:
+    """(name, region, country, aliases, ambiguous) of cities.csv."""
+    return [(r["name"], r["region"] or None, r["country"], [a for a in r["aliases"].split("|") if a], r["ambiguous"] == "yes")
+            for r in _rows("cities.csv")]
+
 
 # Metro areas and the cities they stand for.
 _BAY = ["San Francisco", "San Jose", "Oakland", "Palo Alto", "Mountain View", "Sunnyvale", "Menlo Park", "Redwood City",
@@ -212,12 +118,10 @@ REGION_GROUPS = {
             "SA", "SD", "SY", "TN", "TR", "YE"]}}
 
 
-def iso_countries(spark: SparkSession) -> dict[str, str]:
-    """ISO code -> English name, from the JVM's own list."""
-    locale = spark._jvm.java.util.Locale
-    names = {code: locale("", code).getDisplayCountry(locale.ENGLISH).replace("&", "and").replace("St.", "Saint")
-             for code in locale.getISOCountries()}
-    return dict(sorted({**names, **COUNTRY_NAMES}.items()))
+@lru_cache(maxsize=1)
+def iso_countries() -> dict[str, str]:
+    """ISO code -> English name."""
+    return {r["code"]: r["name"] for r in _rows("countries.csv")}
 
 
 @dataclass(frozen=True)
@@ -231,7 +135,7 @@ class Gazetteer:
 
     @classmethod
     def load(cls, spark: SparkSession, cities: DataFrame | None = None, countries: dict[str, str] | None = None) -> Gazetteer:
-        return cls(spark, countries or iso_countries(spark), cities)
+        return cls(spark, countries or iso_countries(), cities)
 
     # ---- tables ----
 
@@ -261,14 +165,14 @@ class Gazetteer:
     def cities(self) -> DataFrame:
         if self.own_cities is not None:
             return self.own_cities.select("name", "region", "country", "aliases", "ambiguous")
-        return self._table(CITIES, "name STRING, region STRING, country STRING, aliases ARRAY<STRING>, ambiguous BOOLEAN")
+        return self._table(built_in_cities(), "name STRING, region STRING, country STRING, aliases ARRAY<STRING>, ambiguous BOOLEAN")
 
     @cached_property
     def city_names(self) -> DataFrame:
         """name_key -> entries, the cities known under that name."""
         if self.own_cities is None:
             known: dict[str, list] = {}
-            for name, region, country, aliases, ambiguous in CITIES:
+            for name, region, country, aliases, ambiguous in built_in_cities():
                 for key in dict.fromkeys(map(fold_text, [name, *aliases])):
                     known.setdefault(key, []).append(
                         {"name": name, "region": region, "country": country, "ambiguous": ambiguous})
@@ -385,7 +289,7 @@ class Gazetteer:
     def _city_entries(self, key: str) -> list[tuple[str, list[str]]]:
         """Cities known under one folded name; one small lookup per search word when the table is the caller's."""
         if self.own_cities is None:
-            return [(c[0], c[3]) for c in CITIES if key in map(fold_text, [c[0], *c[3]])]
+            return [(c[0], c[3]) for c in built_in_cities() if key in map(fold_text, [c[0], *c[3]])]
         labels = F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array())), fold)
         hits = self.cities.filter(F.array_contains(labels, key)).select("name", "aliases").collect()     # the cities of one name
         return [(r.name, r.aliases or []) for r in hits]
