@@ -66,14 +66,11 @@ class Search:
         return cls(tuple(c for c in clauses if c), wordy(map(term, none_of)))
 
 
-_FOLD_KEEP = "'’."
-
-
 def _plain(c: Column) -> Column:
     """Lower case without accents, punctuation kept."""
-    source, target = TX._fold_map()
-    kept = "".join(ch for ch in source if ch not in _FOLD_KEEP)
-    return F.translate(c, kept, target)
+    source, target, _ = TX._fold_map()
+    marks = "".join(ch for ch in source[len(target):] if unicodedata.combining(ch))
+    return F.translate(c, source[:len(target)] + marks, target)
 
 
 def tokens(c: Column) -> Column:
