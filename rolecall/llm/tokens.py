@@ -2,7 +2,8 @@
 
 The byte-level tokenizer cuts a text before every single space that stands between two other characters, whatever
 follows. Words are therefore encoded once per worker and looked up afterwards. Texts with white space after a space, or
-with the name of a special token, are encoded whole.
+with the name of a special token, are encoded whole. A word of Latin letters, perhaps with marks behind it, is one or two
+units of the tokenizers used here, so its merges are asked of the tokenizer's model, without the steps before it.
 """
 from __future__ import annotations
 
@@ -13,10 +14,16 @@ from array import array
 import numpy as np
 
 END = np.array([1], "<u4").tobytes()
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 _APART = re.compile(r" \s")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to str.split(), not to the tokenizer
 _WORD = re.compile(r"[^ \t\n\v\f\r]+")
+_MARKS = r"([!#$%&()*+,\-./:;=?@\[\]^_{|}~]*)"  # no apostrophe, which takes letters with it, and no angle brackets
+_LATIN = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+){_MARKS}")
+_LATIN_SMALL = re.compile(f"([a-zß-öø-ÿ]+){_MARKS}")
+# fixed values of byte-level tokenizers: bytes that are no visible character are written as those from U+0100 on
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = dict(zip(sorted(set(range(256)) - set(_VISIBLE)), range(256, 512), strict=False))
 
 
 class _Numbers(dict):
@@ -35,6 +42,7 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes. `path` names a tokenizers JSON file of the byte-level kind."""
 
     _shared: dict[str, "Encoder"] = {}
+    _plain, _before = _LATIN, "\u0120"  # words asked of the model, and how it writes the space before them
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core already
@@ -43,6 +51,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words, self.ids = _Numbers(), []
+        self.model, self.marks = self.tokenizer.model, {"": b""}
+        tries = ["Word", "straße,", "ÉÀÿ...", "(x)", "of"]  # a file that treats words in another way gets texts only
+        self.words.new = [w for w in tries if self._plain.fullmatch(w)]
+        texts = list(map(self._as_text, self.words.new))
+        self._learn()
+        if self.ids != self._ids(texts):
+            self._plain = re.compile(r"(?!)")
+        self.words, self.ids = _Numbers(), []
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -54,6 +70,36 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _units(self, unit: str) -> bytes:
+        return array("I", [token.id for token in self.model.tokenize(unit)]).tobytes()
+
+    def _learn(self) -> None:
+        """Ids of the words that are new: plain ones by the model, all others as the texts they are."""
+        new, self.words.new = self.words.new, []
+        ids: list[bytes | None] = []
+        for w in new:
+            plain = self._plain.fullmatch(w)
+            if plain is None:
+                ids.append(None)
+                continue
+            letters, marks = plain.groups()
+            if not letters.isascii():
+                letters = letters.encode().decode("latin-1").translate(_BYTES)
+            if marks not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks = {"": b""}
+                self.marks[marks] = self._units(marks)
+            ids.append(self._units(self._before + letters) + self.marks[marks])
+        rest = [i for i, known in enumerate(ids) if known is None]
+        for at in range(0, len(rest), 5000):
+            some = rest[at:at + 5000]
+            for i, got in zip(some, self._ids([self._as_text(new[i]) for i in some]), strict=True):
+                ids[i] = got
+        self.ids += ids
+
+    def _as_text(self, word: str) -> str:
+        return word[1:] if word[:1] == "\0" else f" {word}"
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; NULL is empty text."""
         texts = [t or "" for t in texts]
@@ -76,9 +122,7 @@ class Encoder:
                 out[i] = b""
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        new, self.words.new = self.words.new, []
-        for at in range(0, len(new), 5000):
-            self.ids += self._ids([w[1:] if w[:1] == "\0" else f" {w}" for w in new[at:at + 5000]])
+        self._learn()
         get = self.ids.__getitem__
         for i, numbers in cut.items():
             out[i] = b"".join(map(get, numbers))
@@ -93,6 +137,10 @@ class WordEncoder(Encoder):
     """
 
     _shared: dict[str, "WordEncoder"] = {}
+    _plain, _before = _LATIN_SMALL, ""
+
+    def _as_text(self, word: str) -> str:
+        return word
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.words) > CACHE_WORDS:
@@ -114,16 +162,13 @@ class WordEncoder(Encoder):
                 cut[i] = list(map(number, _WORD.findall(t)))
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        new, self.words.new = self.words.new, []
-        for at in range(0, len(new), 5000):
-            self.ids += self._ids(new[at:at + 5000])
+        self._learn()
         get = self.ids.__getitem__
         for i, numbers in cut.items():
             out[i] = b"".join(map(get, numbers))
         return out
 
 
-
 def count_tokens(docs, path: str, version: str, text_column: str = "text"):
     """Docs with two more columns: tokenizer_version, and n_tokens of the whole text (0 for NULL or empty text)."""
     from pyspark.sql import functions as F

@@ -49,6 +49,19 @@ def test_word_encoder_equals_the_tokenizer():
         assert np.frombuffer(got, "<u4").tolist() == plain.encode(t or "", add_special_tokens=False).ids
 
 
+LATIN = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]))
+PLAIN_WORDS = [*LATIN, LATIN, *(f"{c}a{c}{m}" for c, m in zip(LATIN, "!#$%&()*+,-./:;=?@[]^_{|}~" * 9, strict=False)),
+               "it's", "don't.", "we'll...", "a.b", "x<y>", "end.\"", "µ", "ªº", "12", "a1", "²", "ſ", "K", "é", "&&&", "%%%a"]
+
+
+@pytest.mark.parametrize("kind, name", [(tokens.Encoder, "byte_bpe_50k.json"), (tokens.WordEncoder, "word_bpe_49k.json")])
+def test_plain_words_are_asked_of_the_model(kind, name):
+    encoder = kind(public_tokenizers.path(name))
+    own = [" ".join(PLAIN_WORDS), *PLAIN_WORDS, *(f"a {w} {w}" for w in PLAIN_WORDS), "\n".join(PLAIN_WORDS)]
+    assert encoder.encode(own) == encoder._ids(own)
+    assert encoder._plain.fullmatch("word") and encoder._plain.fullmatch("éß,")
+
+
 def test_ranks_code_one_to_four_bytes():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 3, 4, 5, 1001):
