@@ -11,6 +11,7 @@ from ..session import shared_folder
 from ..sinks import exports as X
 from ..streaming import ingest as ST
 from ..streaming.table import PostingTable
+from ..streaming.totals import LiveTotals
 from . import history as HP
 from .postings import POSTINGS, gazetteer, postings
 from .registry import pick, query
@@ -106,10 +107,11 @@ def _third():
     return F.least(F.floor(days / 10), lit(2))
 
 
-def _rows(events):
+def _rows(events, key=None):
     kind = F.array_position(F.array(*[lit(k) for k in HP.KINDS]), col("event_type"))
     day = F.date_diff(col("ts").cast("date"), F.to_date(lit("2024-01-01")))
-    return events.select((col("user_id") * len(HP.KINDS) + kind - 1).cast("string").alias("url_key"),
+    own = (col("user_id") * len(HP.KINDS) + kind - 1).cast("string")
+    return events.select((own if key is None else key).alias("url_key"),
                          F.concat(lit("d"), (col("user_id") % 10).cast("string")).alias("domain"),
                          (10 * day + col("user_id") % 10).cast("bigint").alias("run_id"), col("event_id").alias("pos"),
                          col("props").alias("title"), col("ts").alias("seen_at"))
@@ -178,6 +180,31 @@ def stream_counts(t):
     return ST.read_counts(t.spark, f"{folder}/counts")
 
 
+@query("stream_totals", f"""
+    WITH {HP.LOG}, last AS (SELECT k, max_by({{'domain': d, 'run_id': r, 'title': props}}, r * 10000000000 + event_id) AS x FROM (
+      SELECT (user_id // 2) * 5 + list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) AS k, 'd' || (user_id % 10) AS d, props, event_id,
+        10 * date_diff('day', DATE '2024-01-01', ts::DATE) + user_id % 10 AS r FROM events) GROUP BY 1),
+    l AS (SELECT k, x.domain AS domain, x.run_id AS run_id, x.title LIKE '%7%' AS hit FROM last),
+    m AS (SELECT l.*, min(e.run_id) AS missing_run, min(e.finished_at) AS missing_at FROM l LEFT JOIN elig e ON e.domain = l.domain AND e.run_id > l.run_id GROUP BY ALL),
+    c AS (SELECT m.*, min(e.finished_at) AS closed_at FROM m LEFT JOIN elig e ON e.domain = m.domain AND e.run_id > m.missing_run
+      AND e.finished_at >= m.missing_at + INTERVAL 24 HOUR GROUP BY ALL)
+    SELECT domain, count(*) FILTER (WHERE hit)::BIGINT AS matching, count(*)::BIGINT AS total, count(*) FILTER (WHERE hit AND closed_at IS NULL)::BIGINT AS open_matching,
+      count(*) FILTER (WHERE closed_at IS NULL)::BIGINT AS open FROM c GROUP BY 1""")
+def stream_totals(t):
+    """STM-6: counts per company while postings are listed again, change, move to another company and are closed."""
+    folder = _folder(t)
+    table = PostingTable(t.spark, f"{folder}/postings", _EMPTY, ["title"], buckets=8)
+    totals = LiveTotals(t.spark, f"{folder}/totals", col("title").contains("7"), every=2)
+    table.create()
+    totals.create()
+    kind = F.array_position(F.array(*[lit(k) for k in HP.KINDS]), col("event_type"))
+    shared = (F.floor(col("user_id") / 2) * len(HP.KINDS) + kind).cast("string")  # two companies list the same address in turn
+    rows = t.events.withColumn("shared", shared)
+    _deliver(rows, _third(), f"{folder}/landed", lambda landed: ST.ingest(
+        _rows(landed, col("shared")), table, f"{folder}/links", f"{folder}/checkpoint", available_now=True, totals=totals))
+    return totals.read(HP.runs(t))
+
+
 @query("stream_without_repeats", """
     SELECT user_id, event_type, count(*)::BIGINT AS events FROM (SELECT DISTINCT user_id, event_type, event_id FROM events) GROUP BY 1, 2""")
 def stream_without_repeats(t):

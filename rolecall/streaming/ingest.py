@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import history as H
 from ..operators.filters import JobFilter, conditions
 from .table import PostingTable
+from .totals import LiveTotals
 
 
 class Snapshots:
@@ -40,15 +41,19 @@ def without_repeats(rows: DataFrame, event_time: str, keys: list[str], within: s
     return rows.withWatermark(event_time, within).dropDuplicatesWithinWatermark(keys)
 
 
-def ingest(rows: DataFrame, postings: PostingTable, links: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+def ingest(rows: DataFrame, postings: PostingTable, links: str, checkpoint: str, available_now: bool = False,
+           totals: LiveTotals | None = None) -> StreamingQuery:
     """Stream of conformed rows (run_id, pos, domain, url_key, seen_at, fields) -> the posting table and run links.
 
-    The table must have been created. Its `history` adds the missing and closed marks.
+    The table must have been created. Its `history` adds the missing and closed marks. `totals`, created too, are kept
+    up with what each batch changes.
     """
     def store(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
             postings.store(batch, number).write.mode("overwrite").parquet(f"{links}/batch={number}")
+            if totals is not None:
+                totals.commit(postings.changes(batch, number), number)
         finally:
             batch.unpersist()
 

@@ -116,6 +116,11 @@ class PostingTable:
         spread = F.pmod(F.hash("url_key"), F.lit(self.files))
         (rows.withColumn("bucket", self._bucket()).repartition("bucket", spread).write.mode("overwrite").partitionBy("bucket").parquet(path))
 
+    def _touched(self, batch: DataFrame) -> tuple[DataFrame, list[int]]:
+        """The keys of a batch and the numbers of the buckets they fall into."""
+        keys = batch.filter(F.coalesce("url_key", F.lit("")) != "").select("url_key", self._bucket().alias("bucket")).distinct()
+        return keys, [r.bucket for r in keys.select("bucket").distinct().collect()]
+
     def store(self, batch: DataFrame, number: int) -> DataFrame:
         """Merge batch `number` into version `number` and commit the next one; returns the links of the batch.
 
@@ -123,8 +128,7 @@ class PostingTable:
         same number stored again gives the same version again.
         """
         known, top = self._manifest(number)
-        keys = batch.filter(F.coalesce("url_key", F.lit("")) != "").select("url_key", self._bucket().alias("bucket")).distinct()
-        touched = [r.bucket for r in keys.select("bucket").distinct().collect()]  # numbers of buckets
+        keys, touched = self._touched(batch)
         before = self._rows(known, touched).join(keys.select("url_key"), "url_key", "left_semi")
         path = f"{self.folder}/delta/batch={number}"
         if touched:
@@ -140,6 +144,14 @@ class PostingTable:
         self._drop_old(number + 1)
         return links
 
+    def changes(self, batch: DataFrame, number: int) -> DataFrame:
+        """Signed rows of the batch stored last: its keys' rows before it with sign -1, those after it with sign 1."""
+        keys, touched = self._touched(batch)
+        before = self._rows(self._manifest(number)[0], touched).join(keys.select("url_key"), "url_key", "left_semi")
+        after = self._load("delta", "batch bigint, bucket int", [f"{self.folder}/delta/batch={number}/bucket={b}" for b in sorted(touched)])
+        columns = self.schema.fieldNames()
+        return before.select(*columns, F.lit(-1).alias("sign")).unionByName(after.select(*columns, F.lit(1).alias("sign")))
+
     def _counted(self, known: dict[int, Bucket], delta: DataFrame, number: int, top: int) -> tuple[dict[int, Bucket], int]:
         after = dict(known)
         for r in delta.groupBy("bucket").agg(F.count("*").alias("n"), F.max("posting_id").alias("top")).collect():  # one row for each bucket
