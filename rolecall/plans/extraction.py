@@ -5,10 +5,14 @@ order, in several shapes. The SQL side computes what must come out from the orde
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from ..functions import classify as C, text as TX, urls as U, variants as J, vocab as V
 from ..operators import boards as B, cascade as CA, conform as CF, jsonld as LD, reading as RG, sniff as SN
+from ..operators.keyed import kept, spread
+from ..session import shared_folder
 from ..sources import apis, readers as RD
 from . import duck as D
 from .postings import gazetteer
@@ -104,7 +108,8 @@ def payloads(t):
     mixed = F.concat(lit('{"list":['), repeat(lambda i: [lit('{"id":"'), k, lit(f'm{i}","title":"Mixed {i}","team":"T"}}')], 3),
                      lit(',{"x":1},{"y":2},"text"]}'))
     body = F.element_at(F.array(jobs, deep, filters, news, few, mixed), (col("o_orderkey") % 6 + 1).cast("int"))
-    return t.orders.select("o_orderkey", "o_custkey", col("o_orderkey").alias("pos"), F.concat(lit("https://c"), _text(col("o_custkey")), lit(".example.com/careers")).alias("page_url"),
+    orders = spread(t.orders.select("o_orderkey", "o_custkey", "o_orderpriority"))
+    return orders.select("o_orderkey", "o_custkey", col("o_orderkey").alias("pos"), F.concat(lit("https://c"), _text(col("o_custkey")), lit(".example.com/careers")).alias("page_url"),
                            F.concat(lit("https://api.example.com/v1/"), _text(col("o_orderkey") % 6), lit("?page="), k).alias("url"), body.alias("body"))
 
 
@@ -193,7 +198,7 @@ _HITS_SQL = f"""h(i, n, ats, token) AS (VALUES {', '.join(str(h) for h in HITS)}
 def linked_pages(t):
     none = lit(None).cast("array<string>")
     url = F.concat(lit("https://c"), _text(col("o_custkey")), lit(".example.com/"))
-    return t.orders.select(F.concat(lit("c"), _text(col("o_custkey"))).alias("domain"), col("o_orderkey").alias("pos"), url.alias("url"), url.alias("final_url"),
+    return spread(t.orders.select("o_orderkey", "o_custkey")).select(F.concat(lit("c"), _text(col("o_custkey"))).alias("domain"), col("o_orderkey").alias("pos"), url.alias("url"), url.alias("final_url"),
                            none.alias("json_urls"), pick(LINKS, col("o_orderkey")).alias("html"))
 
 
@@ -529,7 +534,8 @@ def _crawled(t):
 
 
 def _read_sites(t, upto=None):
-    pages = _crawled(t)
+    # what the crawl landed lies in a table; it is not made anew for every reading
+    pages = kept(_crawled(t), f"{shared_folder(t.spark)}/crawled-{uuid.uuid4().hex}", "pages")
     landed = RG.LandedPages(pages, upto)
     starts = pages.filter(F.col("url").endswith("/careers")).select("domain", "url", lit(1).alias("rank"))
     return landed, landed.listings(starts)
