@@ -86,9 +86,7 @@ def number(v: Column) -> Column:
 
 def filled(v: Column) -> Column:
     """Neither null nor an empty text, array or object."""
-    return let(v, lambda x: F.coalesce(
-        x.isNotNull() & ~F.is_variant_null(x) & ~F.coalesce(F.try_variant_get(x, "$", "string").isin("", "[]", "{}"), F.lit(False)),
-        F.lit(False)))
+    return F.coalesce(~F.try_variant_get(v, "$", "string").isin("", "[]", "{}"), v.isNotNull() & ~F.is_variant_null(v))
 
 
 def lowered(v: Column) -> Column:
@@ -111,6 +109,22 @@ def first_entry(entries: Column, keys: Sequence[str]) -> Column:
                lambda best: F.get(F.filter(entries, lambda e: e["k"] == best), F.lit(0)))
 
 
+def by_key(entries: Column) -> Column:
+    """Entries made with `lowered` as a map: where many keys are looked up, this is much less work than `first_entry`."""
+    return F.map_from_entries(entries)
+
+
+def first_entry_in(values: Column, keys: Sequence[str]) -> Column:
+    """`first_entry` of a map made with `by_key`."""
+    return F.coalesce(*[F.when(values[k].isNotNull(), F.struct(F.lit(k).alias("k"), values[k].alias("v")))
+                        for k in dict.fromkeys(k.lower() for k in keys)])
+
+
+def first_in(values: Column, keys: Sequence[str]) -> Column:
+    """`first_of` of a map made with `by_key`."""
+    return F.coalesce(*[values[k] for k in dict.fromkeys(k.lower() for k in keys)])
+
+
 def first_of(entries: Column, keys: Sequence[str]) -> Column:
     return first_entry(entries, keys)["v"]
 
@@ -146,17 +160,20 @@ def readable(v: Column, depth: int = 3) -> Column:
                 .when(is_object(x), F.coalesce(first_text(x, ("name", "label", "title", "text", "value", "displayName")),
                                                joined(place, ", "))).otherwise(plain(x)))
 
-    return let(v, whole)
+    return F.when(v.isNotNull(), let(v, whole))
 
 
 def looks_like_posting(v: Column) -> Column:
     """Is an object a posting rather than a filter, a news card or a team page?"""
     def judge(e: Column) -> Column:
-        titled = let(text(first_of(e, V.TITLE_KEYS)), lambda t: (F.length(F.trim(t)) >= 3) & t.rlike("[A-Za-z]"))
-        linked = text(first_of(e, V.URL_KEYS)).rlike("^(https?://|/)")
-        known = let(first_of(e, V.ID_KEYS), lambda i: i.isNotNull() & ~is_nested(i))
         attributes = has_any(e, [*V.LOCATION_KEYS, *V.DEPARTMENT_EVIDENCE, *V.TYPE_KEYS, *V.WORKPLACE_KEYS])
         evidence = has_any(e, V.JOB_ID_KEYS) | (attributes & ~has_any(e, V.COUNT_KEYS))
-        return evidence & titled & (F.coalesce(linked, F.lit(False)) | known)
+        return evidence & let(by_key(e), named)
+
+    def named(values: Column) -> Column:
+        titled = let(text(first_in(values, V.TITLE_KEYS)), lambda t: (F.length(F.trim(t)) >= 3) & t.rlike("[A-Za-z]"))
+        linked = text(first_in(values, V.URL_KEYS)).rlike("^(https?://|/)")
+        known = let(first_in(values, V.ID_KEYS), lambda i: i.isNotNull() & ~is_nested(i))
+        return titled & (F.coalesce(linked, F.lit(False)) | known)
 
     return F.coalesce(let(lowered(v), judge), F.lit(False))

@@ -1,10 +1,13 @@
 """Postings in the JSON a rendered page loaded: which arrays are listings, and reading their objects."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import classify as C, dates as DT, urls as U, variants as J, vocab as V
-from .keyed import computed, first_per_key
+from ..session import shared_folder
+from .keyed import computed, first_per_key, kept
 
 _TODO = "array<struct<path:string,at:string,node:variant>>"
 _FOUND = "array<struct<path:string,at:string,objects:array<variant>>>"
@@ -77,20 +80,20 @@ def listing_arrays(data: Column, levels: Column | None = None) -> Column:
     return F.array_sort(found, lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))
 
 
-def _parts(entries: Column) -> dict[str, Column]:
-    """The values a posting is read from, each looked up once among an object's entries."""
+def _parts(values: Column) -> dict[str, Column]:
+    """The values a posting is read from, each looked up once among an object's entries (a map)."""
     wanted = {"title": V.TITLE_KEYS, "url": V.URL_KEYS, "ident": V.ID_KEYS, "dept": V.DEPARTMENT_KEYS, "date": V.DATE_KEYS,
               "kind": V.TYPE_KEYS, "place": V.WORKPLACE_KEYS, "remote": ["isRemote", "remote"],
               "region": ["state", "region", "province"], "country": ["country", "countryCode"]}
-    return {"v_where": J.first_entry(entries, V.LOCATION_KEYS),
-            **{f"v_{name}": J.first_of(entries, keys) for name, keys in wanted.items()}}
+    return {"v_where": J.first_entry_in(values, V.LOCATION_KEYS),
+            **{f"v_{name}": J.first_in(values, keys) for name, keys in wanted.items()}}
 
 
 def _place(inside: Column) -> dict[str, Column]:
-    """City, region and country of a location object, from its entries."""
+    """City, region and country of a location object, from its entries (a map)."""
     keys = {"city": ["city", "locality"], "region": ["state", "region", "province", "stateProvince"],
             "country": ["country", "countryCode", "countryName"]}
-    return {f"in_{name}": J.readable(J.first_of(inside, k), 1) for name, k in keys.items()}
+    return {f"in_{name}": J.readable(J.first_in(inside, k), 1) for name, k in keys.items()}
 
 
 def _posting(page_url: Column, as_of: Column | None) -> dict[str, Column]:
@@ -124,9 +127,9 @@ def sniffed_postings(payloads: DataFrame, page: str, page_url: str = "page_url",
     objects = arrays.select(page, page_url, "payload", "endpoint", "array", F.col("found.path").alias("json_path"),
                             F.posexplode("found.objects").alias("item", "object"))
     keep = [page, "payload", "endpoint", "array", "json_path", "item"]
-    work = computed(objects, entries=J.lowered(F.col("object")), loose=J.get(F.col("object"), "type")).drop("object")
+    work = computed(objects, entries=J.by_key(J.lowered(F.col("object"))), loose=J.get(F.col("object"), "type")).drop("object")
     work = computed(work, **_parts(F.col("entries"))).drop("entries")
-    work = computed(work, inside=J.lowered(F.col("v_where.v")))
+    work = computed(work, inside=J.by_key(J.lowered(F.col("v_where.v"))))
     work = computed(work, **_place(F.col("inside")))
     work = computed(work, **_posting(F.col(page_url), as_of))
     own, ident = F.col("own_url"), F.coalesce("id_text", F.lit(""))
@@ -142,8 +145,10 @@ def sniffed_postings(payloads: DataFrame, page: str, page_url: str = "page_url",
     listing = [page, "endpoint", "json_path"]
     order = [F.col("payload"), F.col("array"), F.col("item")]
     # rows are placed by posting, so a page with most of the postings is spread over all tasks; listings are counted with
-    # partial sums, and the winner of each page (one row) is joined back
-    once = first_per_key(rows, [*listing, "url"], order)
+    # partial sums, and the winner of each page (one row) is joined back; both read a scratch table, so that the JSON is
+    # walked once
+    folder = f"{shared_folder(payloads.sparkSession)}/sniffed-{uuid.uuid4().hex}"
+    once = kept(first_per_key(rows, [*listing, "url"], order), folder, "postings")
     sized = once.groupBy(*listing).agg(F.count("*").alias("__n"), F.min(F.struct("payload", "array")).alias("__first"))
     best = first_per_key(sized.filter(F.col("__n") >= V.MIN_ITEMS), [page], [F.col("__n").desc(), F.col("__first"), F.col("json_path")])
     return once.join(best.select(*listing), listing, "left_semi").withColumn("source", F.lit("json-sniffed"))

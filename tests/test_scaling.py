@@ -14,5 +14,25 @@ def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_sniffed_json_is_walked_once(spark):
+    jobs = '{"jobs":[' + ",".join(f'{{"id":"{i}","Title":"Cook {i}","city":"Rome","Country":"IT","type":"Full-Time"}}' for i in range(3)) + "]}"
+    rows = [("p", "https://a.io/careers", 1, "https://a.io/api", jobs), ("p", "https://a.io/careers", 2, "https://a.io/api", '{"x":1}'), ("q", None, 3, None, None)]
+    df = spark.createDataFrame(rows, "page string, page_url string, pos long, url string, body string")
+    found = SN.sniffed_postings(df.withColumn("data", J.parse(F.col("body"))), "page")
+    assert "parse_json" not in _plan(found)
+    assert {(r.title, r.url, r.location, r.employment_type) for r in found.collect()} == {
+        (f"Cook {i}", f"https://a.io/careers#job-{i}", "Rome, IT", "Full-Time") for i in range(3)}
+
+
 def test_rows_are_spread(spark):
     assert spread(spark.range(100).coalesce(1)).select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_map_lookups_equal_entry_lookups(spark):
+    keys = ["title", "jobTitle", "n"]
+    df = spark.createDataFrame([('{"Title":"","JOBTITLE":"x","n":[]}',), ('{"n":0,"TITLE":"a","title":"b"}',), ("[1]",), (None,)], "t string")
+    e = df.select(J.lowered(J.parse(F.col("t"))).alias("e"))
+    m = J.by_key(F.col("e"))
+    for r in e.select(F.to_json(J.first_of(F.col("e"), keys)).alias("a"), F.to_json(J.first_in(m, keys)).alias("b"),
+                      J.first_key(F.col("e"), keys).alias("c"), J.first_entry_in(m, keys)["k"].alias("d")).collect():
+        assert (r.a, r.c) == (r.b, r.d)
