@@ -33,15 +33,20 @@ def _hits(text: Column, number: int) -> Column:
     return F.transform(matches, lambda match, nth: _hit(match, nth, number))
 
 
+def _is_board(ats: Column, token: Column) -> Column:
+    """Does a hit name a company's board, not a page of the platform itself?"""
+    site = F.lower(F.substring_index(token, "/", -1))
+    ignored = F.lit(False)
+    for name, tokens in V.IGNORED_TOKENS.items():
+        ignored = ignored | ((ats == name) & F.lower(token).isin(tokens))
+    return (token != "") & ~ignored & ~((ats == "workday") & site.isin(V.IGNORED_WORKDAY_SITES))
+
+
 def mentions(pages: DataFrame, domain: str, order: str) -> DataFrame:
     """Every mention of a readable board: domain, order, ats, token, match, pattern, nth. Most pages stop at one test."""
     text = page_text(pages, [domain, order]).filter(F.col("text").rlike(_HINT))
     rows = text.select(domain, order, F.inline(F.concat(*[_hits(F.col("text"), i) for i in range(len(V.BOARD_PATTERNS))])))
-    site = F.lower(F.substring_index("token", "/", -1))
-    ignored = F.lit(False)
-    for ats, names in V.IGNORED_TOKENS.items():
-        ignored = ignored | ((F.col("ats") == ats) & F.lower("token").isin(names))
-    return rows.filter((F.col("token") != "") & ~ignored & ~((F.col("ats") == "workday") & site.isin(V.IGNORED_WORKDAY_SITES)))
+    return rows.filter(_is_board(F.col("ats"), F.col("token")))
 
 
 def detections(pages: DataFrame, sites: DataFrame, top: int, domain: str = "domain", order: str = "pos") -> DataFrame:
@@ -73,14 +78,21 @@ def _extra(ats: Column, match: Column) -> Column:
 
 
 def unsupported_vendors(pages: DataFrame, domain: str = "domain", order: str = "pos") -> DataFrame:
-    """Platforms named on the pages that no reader exists for, and whether a gh_jid link was seen: domain, vendors, saw_gh_jid."""
-    text = page_text(pages, [domain, order])
-    flags = {v: F.bool_or(F.col("text").rlike(p)) for v, p in V.UNSUPPORTED_VENDORS.items()}
-    seen = text.groupBy(domain).agg(*[f.alias(v) for v, f in flags.items()], F.bool_or(F.col("text").rlike(V.GH_JID)).alias("saw_gh_jid"))
-    readable = mentions(pages, domain, order).groupBy(domain).agg(F.collect_set("ats").alias("__ats"))      # at most six names
-    named = F.array_compact(F.array(*[F.when(F.col(v), F.lit(v)) for v in sorted(flags)]))
-    return seen.join(readable, domain, "left").select(
-        domain, F.array_except(named, F.coalesce("__ats", F.array().cast("array<string>"))).alias("vendors"), "saw_gh_jid")
+    """Platforms named on the pages that no reader exists for, and whether a gh_jid link was seen: domain, vendors, saw_gh_jid.
+
+    A page's text is made once and asked for everything; the readable boards on it (see `mentions`) come as flags too.
+    """
+    text, readers = F.col("text"), sorted({ats for ats, *_ in V.BOARD_PATTERNS})
+    hits = F.concat(*[_hits(text, i) for i in range(len(V.BOARD_PATTERNS))])
+    boards = F.transform(F.filter(hits, lambda h: _is_board(h["ats"], h["token"])), lambda h: h["ats"])
+    pages = computed(page_text(pages, [domain, order]), __ats=F.when(text.rlike(_HINT), F.array_distinct(boards)))
+    flags = {v: F.bool_or(text.rlike(p)) for v, p in V.UNSUPPORTED_VENDORS.items()}
+    # a company without a domain has no readers: it is joined with nothing
+    read = {a: F.bool_or(F.array_contains("__ats", a) & F.col(domain).isNotNull()) for a in readers}
+    seen = pages.groupBy(domain).agg(*[f.alias(v) for v, f in flags.items()], *[f.alias(f"__{a}") for a, f in read.items()],
+                                     F.bool_or(text.rlike(V.GH_JID)).alias("saw_gh_jid"))
+    unread = {v: F.col(v) & ~F.coalesce(F.col(f"__{v}"), F.lit(False)) if v in read else F.col(v) for v in sorted(flags)}
+    return seen.select(domain, F.array_compact(F.array(*[F.when(c, F.lit(v)) for v, c in unread.items()])).alias("vendors"), "saw_gh_jid")
 
 
 def vendor_links(pages: DataFrame, domain: str = "domain", order: str = "pos") -> DataFrame:

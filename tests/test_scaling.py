@@ -36,3 +36,14 @@ def test_map_lookups_equal_entry_lookups(spark):
     for r in e.select(F.to_json(J.first_of(F.col("e"), keys)).alias("a"), F.to_json(J.first_in(m, keys)).alias("b"),
                       J.first_key(F.col("e"), keys).alias("c"), J.first_entry_in(m, keys)["k"].alias("d")).collect():
         assert (r.a, r.c) == (r.b, r.d)
+
+
+def test_page_text_is_made_once(spark):
+    rows = [("a", 1, "https://apply.workable.com/x https://jobs.lever.co/acme ?gh_jid=1"), ("a", 2, None), ("b", 3, "https://boards.greenhouse.io/embed icims.com"),
+            ("c", 4, "https://h.fa.us2.oraclecloud.com/hcmUI/CandidateExperience/en/sites/CX_1/jobs"), ("d", 5, "https://h.fa.us2.oraclecloud.com/x"), (None, 6, "taleo.net")]
+    df = spark.createDataFrame(rows, "domain string, pos long, html string").select(
+        "*", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("final_url"), F.lit(None).cast("array<string>").alias("json_urls"))
+    found = B.unsupported_vendors(df)
+    assert "Join" not in _plan(found)
+    assert {(r.domain, tuple(r.vendors), r.saw_gh_jid) for r in found.collect()} == {
+        ("a", ("workable",), True), ("b", ("icims",), False), ("c", (), False), ("d", ("oracle",), False), (None, ("taleo",), False)}
