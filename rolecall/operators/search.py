@@ -145,51 +145,49 @@ def refresh_tokens(index: DataFrame, changed: DataFrame, key: str, fields: Seque
     return kept.unionByName(search_tokens(changed, key, fields))
 
 
-def _hits(index: DataFrame, key: str, phrase: str, prefix: bool, field: str | None, mark: int) -> DataFrame | None:
-    """Keys holding the phrase, as (key, mark). Several tokens must follow each other inside one field."""
-    words = token_list(phrase)
-    if not words:
-        return None
-    index = index if field is None else index.filter(F.col("field") == field)
+def _slots(key: str, phrases: Sequence[tuple[int, str | None, list[str], bool]]) -> list[tuple[Column, Column]]:
+    """(does a token fill this place of a phrase, which place it is) for every word of the phrases (mark, field, words, prefix?).
 
-    def at(i: int) -> DataFrame:
-        last = i == len(words) - 1
-        test = F.startswith("term", F.lit(words[i])) if last and prefix else F.col("term") == words[i]
-        return index.filter(test).select(key, "field", (F.col("pos") - i).alias("start"))
-
-    found = at(0)
-    for i in range(1, len(words)):
-        found = found.join(at(i).distinct(), [key, "field", "start"], "left_semi")
-    return found.select(key, F.lit(mark).alias("mark"))
+    A place names the phrase, where in which field it would start, and the word. Several tokens must follow each other
+    inside one field; a single word needs no place in the text, so all its tokens of a key are one.
+    """
+    slots = []
+    for number, (mark, field, words, prefix) in enumerate(phrases):
+        for i, word in enumerate(words):
+            test = F.startswith("term", F.lit(word)) if prefix and i == len(words) - 1 else F.col("term") == word
+            test = test if field is None else test & (F.col("field") == field)
+            alone = len(words) == 1
+            place = F.struct(F.lit(number).alias("phrase"), F.lit(mark).alias("mark"), F.lit(len(words)).alias("size"), F.lit(i).alias("word"),
+                             F.lit(None).cast("string").alias("field") if alone else F.col("field").alias("field"),
+                             F.lit(0).alias("start") if alone else (F.col("pos") - i).cast("int").alias("start"))
+            slots.append((test if alone else test & F.col(key).isNotNull(), place))
+    return slots
 
 
 def matching_ids(index: DataFrame, query: Search, key: str, everything: DataFrame | None = None, gazetteer=None) -> DataFrame:
     """Keys matching the search. `everything` (the keys) is needed only when there are exclusions and no clause.
 
-    All single words are found in one pass over the index; each key then carries one mark per clause.
+    All words, those of phrases too, are found in one pass over the index; each key then carries one mark per clause.
     """
     clauses = [*query.all_of, *[(t,) for t in query.none_of]]
     n = len(query.all_of)
-    single: list[Column] = []
-    parts: list[DataFrame] = []
+    phrases = []
     for mark, clause in enumerate(clauses):
         for t in clause:
             for field, phrase, prefix in t.alternatives(gazetteer):
                 words = token_list(phrase)
-                if len(words) == 1:
-                    test = F.startswith("term", F.lit(words[0])) if prefix else F.col("term") == words[0]
-                    test = test if field is None else test & (F.col("field") == field)
-                    single.append(F.when(test, F.lit(mark)))
-                elif words:
-                    parts.append(_hits(index, key, phrase, prefix, field, mark))
-    if single:
-        marks = F.array_distinct(F.array_compact(F.array(*single)))
-        parts.append(index.select(key, F.explode(marks).alias("mark")))
-    if not parts:
+                if words:
+                    phrases.append((mark, field, words, prefix))
+    if not phrases:
         found = None
     else:
-        # one flag per clause and key, combined before the shuffle: a long text never sends its tokens
-        found = reduce(DataFrame.unionByName, parts).groupBy(key).agg(
+        slots = _slots(key, phrases)
+        places = F.array_compact(F.array(*[F.when(test, place) for test, place in slots]))
+        tokens_ = index.filter(_either([test for test, _ in slots])).select(key, F.inline(places))
+        # equal places of a key are combined before the shuffle: of a long text only the words of phrases are sent
+        words_ = tokens_.groupBy(key, "phrase", "mark", "size", "field", "start", "word").agg(F.lit(1).alias("__one")).drop("__one")
+        whole = words_.groupBy(key, "phrase", "mark", "size", "field", "start").agg(F.count("*").alias("__n")).filter(F.col("__n") == F.col("size"))
+        found = whole.groupBy(key).agg(
             *[F.bool_or(F.col("mark") == m).alias(f"m{m}") for m in range(len(clauses))])
     if n == 0:
         if found is None:

@@ -47,3 +47,14 @@ def test_page_text_is_made_once(spark):
     assert "Join" not in _plan(found)
     assert {(r.domain, tuple(r.vendors), r.saw_gh_jid) for r in found.collect()} == {
         ("a", ("workable",), True), ("b", ("icims",), False), ("c", (), False), ("d", ("oracle",), False), (None, ("taleo",), False)}
+
+
+def test_phrases_are_found_in_the_pass_of_the_words(spark):
+    texts = [(1, "la la land", "x"), (2, "la", "la land"), (3, "of the landing", ""), (4, "the of", "the"), (5, "La  LA landing", "of"), (5, "of", "zz")]
+    df = spark.createDataFrame(texts, "id long, title string, company string")
+    index = S.search_tokens(df, "id", ["title", "company"])
+    found = S.matching_ids(index, Search.of(all_of=[['"la la land"', '"of the"', "land"]], none_of=['"of the"', "zz"]), "id")
+    assert _plan(found).count("posexplode") == 1
+    assert {r.id for r in found.collect()} == {1, 2}
+    both = S.matching_ids(index, Search.of(all_of=[['"la la"'], ["land"]]), "id")
+    assert {r.id for r in both.collect()} == {1, 5}
