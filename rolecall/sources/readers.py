@@ -4,13 +4,15 @@ Input is API_RESPONSES (one row per answer). Output columns: domain, ats, token,
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dates as DT, text as TX, variants as J, vocab as V
 from ..operators.geo import is_subdivision_code, subdivision_name
-from ..operators.keyed import computed
+from ..operators.keyed import computed, kept, with_known_size
+from ..session import shared_folder
 from . import apis
 from .gazetteer import Gazetteer
 
@@ -172,7 +174,10 @@ def workday(responses: DataFrame, gazetteer: Gazetteer, as_of: Column, max_jobs:
     rows = apis.board_rows(pages, max_jobs).join(hosts, apis.BOARD)
     steps = F.split("item.externalPath", "/")
     rows = rows.withColumn("slug", F.when((F.size(steps) > 2) & (F.get(steps, F.lit(1)) == "job"), F.get(steps, F.lit(2))))
-    rows = slug_place(rows, "slug", gazetteer)
+    # answers are parsed once; a place is read once per distinct path step
+    rows = kept(rows, f"{shared_folder(responses.sparkSession)}/workday-{uuid.uuid4().hex}", "rows")
+    places = slug_place(rows.select("slug").filter(F.col("slug").isNotNull()).distinct(), "slug", gazetteer)
+    rows = rows.join(with_known_size(places), "slug", "left")
     return _feed(rows, [*apis.BOARD, "page_offset", "pos"], title=F.col("item.title"),
                  url=F.concat(F.lit("https://"), "host", F.lit("/"), F.substring_index("token", "/", -1),
                               F.coalesce("item.externalPath", F.lit(""))),

@@ -58,3 +58,15 @@ def test_phrases_are_found_in_the_pass_of_the_words(spark):
     assert {r.id for r in found.collect()} == {1, 2}
     both = S.matching_ids(index, Search.of(all_of=[['"la la"'], ["land"]]), "id")
     assert {r.id for r in both.collect()} == {1, 5}
+
+
+def test_workday_places_are_read_once_per_step(spark, monkeypatch):
+    sizes, real = [], RD.slug_place
+    monkeypatch.setattr(RD, "slug_place", lambda df, *a: sizes.append(df.count()) or real(df, *a))
+    body = '{"total":1,"jobPostings":[{"title":"T","externalPath":"%s","postedOn":"Posted Today"}]}'
+    rows = [("c", "workday", f"t/{i}", "h.io", 0, 200, body % path) for i, path in enumerate(["/job/US-WA-Spokane/x"] * 3 + ["/x", "/job/GB-London/y"])]
+    df = spark.createDataFrame(rows, "domain string, ats string, token string, endpoint string, page_offset int, status int, body string")
+    found = RD.workday(df, Gazetteer.load(spark), F.expr("TIMESTAMP_NTZ '2024-03-10 15:00:00'")).collect()
+    assert sizes == [2]
+    assert sorted((r.token, r.city, r.country) for r in found) == [("t/0", "Spokane", "US"), ("t/1", "Spokane", "US"), ("t/2", "Spokane", "US"),
+                                                                   ("t/3", None, None), ("t/4", "London", "GB")]
