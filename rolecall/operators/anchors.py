@@ -24,12 +24,12 @@ def anchors(pages: DataFrame, keep: Sequence[str]) -> DataFrame:
     seen = F.regexp_replace("html", UNSEEN, " ")
     tags = pages.select(*keep, "final_url", F.posexplode(F.regexp_extract_all(seen, F.lit(ANCHOR), F.lit(0)))
                         .alias("pos", "tag"))
-    opening = F.regexp_extract("tag", f"(?is)^{OPENING}", 0)
+    tags, opening = computed(tags, __opening=F.regexp_extract("tag", f"(?is)^{OPENING}", 0)), F.col("__opening")
     raw = F.concat(*[F.regexp_extract(opening, HREF, g) for g in (1, 2, 3)])
     inner = F.regexp_extract("tag", INNER, 1)
     chunks = F.filter(F.transform(F.split(inner, r"<[^>]*>"), lambda x: TX.clean(TX.unescape_markup(x))),
                       lambda x: x.isNotNull())
-    links = computed(tags.filter(opening.rlike(HREF)), href=TX.unescape_markup(raw), chunks=chunks).drop("tag")
+    links = computed(tags.filter(opening.rlike(HREF)), href=TX.unescape_markup(raw), chunks=chunks).drop("tag", "__opening")
     return computed(links, url=U.without_fragment(U.resolve(F.col("final_url"), F.col("href"))))
 
 
@@ -64,8 +64,12 @@ def count_job_links(pages: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 def job_links(pages: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Posting-looking links of each page, first per URL key: keep columns, pos, url, url_key, title, location."""
-    links = anchors(pages, [*keep, "domains"]).filter(
-        is_job_link(F.col("url"), F.col("domains"), F.col("final_url")))
+    return job_links_among(anchors(pages, [*keep, "domains"]), keep)
+
+
+def job_links_among(links: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """`job_links` of pages whose `anchors` are there already (with `domains` kept)."""
+    links = links.filter(is_job_link(F.col("url"), F.col("domains"), F.col("final_url")))
     first = F.get("chunks", F.lit(0))
     poor = first.isNull() | F.lower(first).isin(V.GENERIC_LINK_TEXT) | ~F.length(first).between(3, 150)
     title = F.when(poor, TX.title_from_path(U.path(F.col("url")))).otherwise(first)
@@ -95,7 +99,11 @@ def pagination(pages: DataFrame, keep: Sequence[str], upto: int) -> DataFrame:
 
     `upto` is the last page the caller would fetch; a larger last_page tells that the listing is longer.
     """
-    links = anchors(pages, keep)
+    return pagination_among(anchors(pages, keep), keep, upto)
+
+
+def pagination_among(links: DataFrame, keep: Sequence[str], upto: int) -> DataFrame:
+    """`pagination` of pages whose `anchors` are there already."""
     full = U.resolve(F.col("final_url"), F.col("href"))
     same = (U.host(F.col("full")) == U.host(F.col("final_url"))) & (
         F.rtrim(U.path(F.col("full")), F.lit("/")) == F.rtrim(U.path(F.col("final_url")), F.lit("/")))

@@ -13,17 +13,12 @@ from ..functions import urls as U
 from ..session import shared_folder
 from . import anchors as A, jsonld as LD
 from .cascade import merge_generic
-from .keyed import first_per_key
+from .keyed import first_per_key, kept
 
 LEAST_LINKS = 3  # a page with fewer posting links is no listing whose further pages count
 FEED = ["title", "url", "location", "company", "department", "posted_text", "employment_type", "remote", "city", "region", "country", "source"]
 
 
-def _kept(df: DataFrame, folder: str, name: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-
 class LandedPages:
     """What landed pages hold, read once: `links`, `further` and `postings`, each with domain and page_key.
 
@@ -37,11 +32,13 @@ class LandedPages:
         keyed = pages.select("domain", U.without_fragment(F.col("url")).alias("page_key"), "final_url", "html", "domains")
         keep = ["domain", "page_key"]
         # copies are told apart by address alone; markup isn't sorted
-        first = _kept(keyed.groupBy(*keep).agg(F.min("final_url").alias("__first")), self.folder, "keys")
+        first = kept(keyed.groupBy(*keep).agg(F.min("final_url").alias("__first")), self.folder, "keys")
         self.keys = first.select(*keep)
-        self.links = self._store(A.job_links(keyed, [*keep, "final_url"]), first, "links")
+        # the tags are taken apart once, for postings' links and for further pages
+        tags = kept(A.anchors(keyed, [*keep, "domains"]), self.folder, "tags")
+        self.links = self._store(A.job_links_among(tags, [*keep, "final_url"]), first, "links")
         last = 2 ** 31 - 1 if upto is None else upto
-        self.further = self._store(A.pagination(keyed, [*keep, "final_url"], last).withColumn("next_key", U.without_fragment(F.col("url"))), first, "further")
+        self.further = self._store(A.pagination_among(tags, [*keep, "final_url"], last).withColumn("next_key", U.without_fragment(F.col("url"))), first, "further")
         place = F.to_json(F.struct(*keep, "final_url"))
         found = LD.page_postings(keyed.withColumn("__page", place), "__page")
         found = found.select(F.from_json("__page", "domain string, page_key string, final_url string").alias("p"), *[c for c in found.columns if c != "__page"])
@@ -51,7 +48,7 @@ class LandedPages:
     def _store(self, rows: DataFrame, first: DataFrame, name: str) -> DataFrame:
         """Rows of the copies that count, one of each."""
         mine = rows.join(first, ["domain", "page_key"]).filter(F.col("final_url") == F.col("__first")).drop("__first", "final_url")
-        return _kept(mine.distinct(), self.folder, name)
+        return kept(mine.distinct(), self.folder, name)
 
     def listings(self, starts: DataFrame) -> DataFrame:
         """(domain, page_key, round, place) of the start pages (domain, url, rank) and of all further pages they lead to.
@@ -62,18 +59,19 @@ class LandedPages:
         counts = self.links.groupBy("domain", "page_key").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_LINKS)
         landed = self.keys.select("domain", F.col("page_key").alias("next_key"))
         edges = self.further.join(counts.select("domain", "page_key"), ["domain", "page_key"], "left_semi").join(landed, ["domain", "next_key"], "left_semi")
-        edges = _kept(edges.select("domain", "page_key", "next_key", "page_number").distinct(), self.folder, "edges")
+        edges = kept(edges.select("domain", "page_key", "next_key", "page_number").distinct(), self.folder, "edges")
         first = starts.select("domain", U.without_fragment(F.col("url")).alias("page_key"), "rank").groupBy("domain", "page_key").agg(F.min("rank").cast("bigint").alias("place"))
-        reached = _kept(first.join(self.keys, ["domain", "page_key"], "left_semi").select("domain", "page_key", F.lit(0).alias("round"), "place"), self.folder, "round-0")
+        reached = kept(first.join(self.keys, ["domain", "page_key"], "left_semi").select("domain", "page_key", F.lit(0).alias("round"), "place"), self.folder, "round-0")
         new, number = reached, 0
         while True:
             number += 1
             ahead = edges.join(new.select("domain", "page_key"), ["domain", "page_key"]).groupBy("domain", "next_key").agg(F.min("page_number").cast("bigint").alias("place"))
             ahead = ahead.select("domain", F.col("next_key").alias("page_key"), F.lit(number).alias("round"), "place")
-            new = _kept(ahead.join(reached, ["domain", "page_key"], "left_anti"), self.folder, f"round-{number}")
+            new = kept(ahead.join(reached, ["domain", "page_key"], "left_anti"), self.folder, f"round-{number}")
             if not new.head(1):
                 return reached
-            reached = _kept(reached.unionByName(new), self.folder, f"reached-{number}")
+            # all rounds so far are one scan; none is written again
+            reached = new.sparkSession.read.schema(new.schema).parquet(*[f"{self.folder}/round-{n}" for n in range(number + 1)])
 
     def too_long(self, listings: DataFrame) -> DataFrame:
         """(domain, last_page) of companies with a listing of more pages than `upto`: what they list is not all there is."""

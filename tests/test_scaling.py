@@ -60,6 +60,17 @@ def test_phrases_are_found_in_the_pass_of_the_words(spark):
     assert {r.id for r in both.collect()} == {1, 5}
 
 
+def test_tags_are_taken_apart_once(spark, monkeypatch):
+    calls, real = [], A.anchors
+    monkeypatch.setattr(A, "anchors", lambda *a: calls.append(1) or real(*a))
+    links = "".join(f'<a href="/jobs/{i}00000">Job number {i}</a>' for i in range(3))
+    rows = [("a", f"https://a.io/careers{q}", f"https://a.io/careers{q}", links + '<a href="/careers?page=2">next</a>', ["a.io"]) for q in ("", "?page=2")]
+    landed = LandedPages(spark.createDataFrame(rows, "domain string, url string, final_url string, html string, domains array<string>"))
+    assert len(calls) == 1
+    starts = spark.createDataFrame([("a", "https://a.io/careers", 1)], "domain string, url string, rank int")
+    assert {(r.page_key, r.round) for r in landed.listings(starts).collect()} == {("https://a.io/careers", 0), ("https://a.io/careers?page=2", 1)}
+
+
 def test_workday_places_are_read_once_per_step(spark, monkeypatch):
     sizes, real = [], RD.slug_place
     monkeypatch.setattr(RD, "slug_place", lambda df, *a: sizes.append(df.count()) or real(df, *a))
