@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .exchange import prepare, stored
+from .exchange import give_back, giving_back, prepare, stored
 from .tokens import END, Encoder
 
 PIECES_PER_GROUP = 20_000
@@ -124,7 +124,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, unit: in
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, at = Encoder.of(tokenizer), 0
-        for f in frames:
+        for f in giving_back(frames):
             rows = []
             for doc_id, ids in zip(f["doc_id"], encoder.encode(f["text"].tolist()), strict=True):
                 ids += END
@@ -140,6 +140,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, unit: in
     grouped = pieces.withColumn("group", F.pmod(F.xxhash64("ids_crc32", "doc_id", "start", "at"), F.lit(groups)))
 
     def lay(group: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         group = group.sort_values(["ids_crc32", "doc_id", "start", "at"], ignore_index=True)
         pieces = list(zip(range(len(group)), *(group[c].tolist() for c in ("start", "length", "ids_crc32", "parts")), strict=True))
         out = []

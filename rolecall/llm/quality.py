@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .exchange import crc_of_id, prepare, stored
+from .exchange import crc_of_id, give_back, giving_back, prepare, stored
 
 STATISTICS = ["log_bytes", "word_length", "word_length_spread", "distinct_words", "repeated_neighbours", "top_word", "letters", "capitals", "digits",
               "marks", "bars", "shouts", "lines", "repeated_lines", "sentence_ends", "high_bytes", "repeated_triples"]
@@ -41,7 +41,7 @@ def statistics(text: str | None) -> list[float]:
 def with_statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """(doc_id, x) of every document, x the statistics of its whole text."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in giving_back(frames):
             yield pd.DataFrame({"doc_id": f["doc_id"], "x": [statistics(t) for t in f["text"]]})
 
     return docs.select("doc_id", F.col(text_column).alias("text")).mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
@@ -125,6 +125,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        give_back()
         return pd.Series(model.score(np.array([statistics(t) for t in texts]).reshape(len(texts), len(STATISTICS))))
 
     return docs.filter(score("text") >= threshold)

@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .exchange import (ask, bytes_table, chunked, pack, partitions, prepare, sorted_delta, table_bytes, total_size, unpack, with_answers)
+from .exchange import (ask, bytes_table, chunked, giving_back, pack, partitions, prepare, sorted_delta, table_bytes, total_size, unpack, with_answers)
 
 U = np.uint64
 ADDED = ["n_bytes", "n_removed", "spans", "kept"]  # columns of the result besides the caller's
@@ -59,9 +59,11 @@ def _levels(length: int) -> list[tuple[int, int]]:
 
 def _identifiers(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of the half gram and of the whole window at every offset; `length` is even."""
-    at = {1: SEED[data]}
-    for a, b in _levels(length):
+    at, levels = {1: SEED[data]}, _levels(length)
+    for i, (a, b) in enumerate(levels):
         at[a + b] = _longer(at[a], a, at[b])
+        later = {length // 2, *(n for pair in levels[i + 1:] for n in pair)}
+        at = {n: ids for n, ids in at.items() if n in later}
     half = at[length // 2]
     return half, _longer(half, length // 2, half)
 
@@ -199,7 +201,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, text_column: str = "text"
         return pd.DataFrame(rows, columns=["part", "chunk", "blob"])
 
     def anchors(frames):
-        for f in frames:
+        for f in giving_back(frames):
             for chunk, payload in zip(f["chunk"], f["payload"], strict=True):
                 yield questions(chunk, payload)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.keyed import with_known_size
 from .components import components
-from .exchange import prepare, stored
+from .exchange import give_back, giving_back, prepare, stored
 
 HEAVY = 4096
 TILE_BYTES = 16_000_000
@@ -53,7 +53,7 @@ def fingerprint(text: str | None, words: int, lanes: int = 1, block: int = 65_53
 def fingerprints(docs: DataFrame, words: int = 5, lanes: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, fingerprint hex) of every document; NULL text is empty text, whose fingerprint is zero."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in giving_back(frames):
             yield pd.DataFrame({"doc_id": f["doc_id"], "fingerprint": [fingerprint(t, words, lanes).hex() for t in f["text"]]})
 
     kind = docs.schema[id_column].dataType.simpleString()
@@ -82,7 +82,7 @@ def set_fingerprint(hashes: np.ndarray, lanes: int, block: int = 65_536) -> byte
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """(key, hashes) of every document: its set of shingle hashes; equal sets have equal keys (128 bits)."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in giving_back(frames):
             for at in range(0, len(f), 100):
                 blobs = [shingle_set(t, words).tobytes() for t in f["text"].iloc[at:at + 100]]
                 yield pd.DataFrame({"key": [xxhash.xxh3_128_hexdigest(b) for b in blobs], "hashes": blobs})
@@ -96,7 +96,7 @@ def set_fingerprints(docs: DataFrame, words: int) -> DataFrame:
     A NULL id is 0 and not known: pandas would turn the other ids into floating point.
     """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in giving_back(frames):
             for at in range(0, len(f), 100):
                 part = f.iloc[at:at + 100]
                 sets = [shingle_set(t, words) for t in part["text"]]
@@ -190,6 +190,7 @@ def links(distinct: DataFrame, most: int, bands: int, digits: int, per_group: in
              .select("fp", F.xxhash64("band", "value", F.least("tile", "other"), F.greatest("tile", "other")).alias("cell")))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         cell, fps = group["cell"].to_numpy(), group["fp"].to_numpy()
         lanes = np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(len(group), -1)
         order = np.argsort(cell, kind="stable")
@@ -255,6 +256,7 @@ def verified_links(members: DataFrame, most: int, similarity: float) -> DataFram
              .select("key", F.unhex("fingerprint").alias("fp"), "hashes", F.xxhash64("root", F.least("tile", "other"), F.greatest("tile", "other")).alias("cell")))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         a, b = [], []
         for _, f in group.groupby("cell", sort=False):
             keys, lanes = f["key"].to_numpy(), np.frombuffer(b"".join(f["fp"]), ">u8").astype(np.uint64).reshape(len(f), -1)
@@ -321,7 +323,7 @@ def candidate_links(distinct: DataFrame, similarity: float, most: int) -> DataFr
     floor = max(2, HEAVY // tasks)
 
     def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in giving_back(frames):
             for value in band_cells(_lanes(f), width, range(bands)):
                 yield pd.DataFrame({"cell": value, **{c: f[c] for c in FIELDS}})
 
@@ -343,6 +345,7 @@ def candidate_links(distinct: DataFrame, similarity: float, most: int) -> DataFr
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * bands // 400_000 + 1)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         cell, fps = group["cell"].to_numpy(), _lanes(group)
         order = np.argsort(cell, kind="stable")
         cell, fps = cell[order], fps[order]
