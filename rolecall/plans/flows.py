@@ -70,7 +70,7 @@ def export_companies(t):
     """SNK-4: one folder per company, read back."""
     path = _folder(t)
     X.write_companies(postings(t), path, _FIELDS)
-    return t.spark.read.option("header", True).csv(path).groupBy("domain").agg(F.count("*").alias("postings"))
+    return X.read_companies(t.spark, path, _FIELDS).groupBy("domain").agg(F.count("*").alias("postings"))
 
 
 @query("export_session", f"WITH {POSTINGS} SELECT posting_id, title FROM p WHERE is_new")

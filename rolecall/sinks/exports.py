@@ -1,11 +1,21 @@
 """Writing postings for people: CSV safe for spreadsheets, JSON, per company, per session, and a manifest of files."""
 from __future__ import annotations
 
+import itertools
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import safe_cell
 from ..schemas import POSTING_FIELDS
+from ..session import remove_folder
+
+PER_FILE = 1_000_000               # rows of one file, at most
+_ESCAPED = {c: f"%{c:02X}" for c in [*range(1, 32), 127, *map(ord, "\"#%'*/:=?\\{[]^")]}  # in folder names, as Spark's writer does
 
 
 def export_columns(postings: DataFrame, fields: list[str] | None = None, *also: str) -> DataFrame:
@@ -37,11 +47,90 @@ def filtered_rows(matching: DataFrame, filters: str, total: int, fields: list[st
 def write_companies(postings: DataFrame, path: str, fields: list[str] | None = None, filtered: bool = False) -> None:
     """One folder per company, replacing only the companies written.
 
-    Rows are rebalanced by company first: small companies share a task, a large one is split over several.
+    Rows are rebalanced by company first: small companies share a task, a large one is split over several. Where the
+    folder is a mounted one (file:), tasks write the files themselves: Spark's local file system starts processes for the
+    permissions of every file, and its committer moves the folders one by one on the driver.
     """
+    spark, path = postings.sparkSession, f"{path}{'_filtered' if filtered else ''}"
     rows = export_columns(postings, fields, "domain").hint("rebalance", "domain")
-    (rows.write.mode("overwrite").partitionBy("domain").option("partitionOverwriteMode", "dynamic").option("header", True)
-     .option("maxRecordsPerFile", 1_000_000).csv(f"{path}{'_filtered' if filtered else ''}"))
+    mounted = _mounted(spark, path)
+    if mounted is None:
+        (rows.write.mode("overwrite").partitionBy("domain").option("partitionOverwriteMode", "dynamic").option("header", True)
+         .option("maxRecordsPerFile", PER_FILE).csv(path))
+    else:
+        _write_folders(rows, mounted)
+
+
+def _mounted(spark: SparkSession, path: str) -> str | None:
+    """The path as all machines see it in their own file systems; None if another file system holds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(where).toUri().getPath() if system.getUri().getScheme() == "file" else None
+
+
+def _write_folders(rows: DataFrame, path: str) -> None:
+    """Files are written aside first; once all are complete, they replace those of their companies. Both by tasks.
+
+    A task that runs again writes files of other names, and only those named by the tasks that ended are moved.
+    """
+    spark, export = rows.sparkSession, uuid.uuid4().hex
+    fields = [c for c in rows.columns if c != "domain"]
+    aside = f"{path}/.export-{export}"
+    header = spark.range(1).select(F.to_csv(F.struct(*[F.lit(f).alias(f) for f in fields]))).head()[0]
+    lines = rows.select("domain", F.to_csv(F.struct(*fields)).alias("line")).sortWithinPartitions("domain")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = f"{aside}/{uuid.uuid4().hex}"
+        os.makedirs(own, exist_ok=True)
+        pairs = (pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        done: list[tuple[str, str]] = []
+        for n, (domain, of_one) in enumerate(itertools.groupby(pairs, key=lambda pair: pair[0])):
+            folder = f"domain={domain.translate(_ESCAPED) if domain else '__HIVE_DEFAULT_PARTITION__'}"
+            texts = (line for _, line in of_one)
+            for k in itertools.count():
+                first = next(texts, None)
+                if first is None:
+                    break
+                done.append((folder, f"{own}/{n}-{k}.csv"))
+                with open(done[-1][1], "w", encoding="utf-8", newline="") as file:
+                    file.write(f"{header}\n{first}\n")
+                    file.writelines(f"{line}\n" for line in itertools.islice(texts, PER_FILE - 1))
+            if len(done) >= 10_000:
+                yield pa.RecordBatch.from_pydict({"folder": [d[0] for d in done], "file": [d[1] for d in done]})
+                done = []
+        if done:
+            yield pa.RecordBatch.from_pydict({"folder": [d[0] for d in done], "file": [d[1] for d in done]})
+
+    def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for folder, files in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                to = f"{path}/{folder}"
+                os.makedirs(to, exist_ok=True)
+                for old in os.listdir(to):
+                    if export not in old:
+                        os.remove(f"{to}/{old}")
+                for i, file in enumerate(sorted(files)):
+                    target = f"{to}/part-{i:05}-{export}.csv"
+                    if os.path.exists(file) or not os.path.exists(target):  # else an earlier try has moved it
+                        os.replace(file, target)
+            yield pa.RecordBatch.from_pydict({"companies": pa.array([b.num_rows], pa.int64())})
+
+    try:
+        lines.mapInArrow(write, "folder string, file string").write.parquet(f"{aside}/files")
+        written = spark.read.schema("folder string, file string").parquet(f"{aside}/files")
+        by_folder = written.groupBy("folder").agg(F.collect_list("file").alias("files"))
+        by_folder.mapInArrow(publish, "companies bigint").agg(F.sum("companies")).collect()
+        with open(f"{path}/_SUCCESS", "w"):
+            pass
+    finally:
+        remove_folder(spark, f"file:{aside}")
+
+
+def read_companies(spark: SparkSession, path: str, fields: list[str] | None = None) -> DataFrame:
+    """The postings of all companies' folders as text; names and types are given, so that no file is opened to infer them."""
+    fields = POSTING_FIELDS if fields is None else fields
+    schema = ", ".join(f"`{f}` string" for f in [*fields, "domain"])
+    return spark.read.option("header", True).schema(schema).csv(path)
 
 
 def write_session(matching: DataFrame, path: str, filtered: bool, fields: list[str] | None = None) -> dict:
