@@ -62,6 +62,50 @@ def test_plain_words_are_asked_of_the_model(kind, name):
     assert encoder._plain.fullmatch("word") and encoder._plain.fullmatch("éß,")
 
 
+def asked(encoder, monkeypatch):
+    """Lists that fill with what the encoder asks of the model, and with the texts it hands to the tokenizer."""
+    units, made = [], []
+    ask, make = encoder._units, encoder._ids
+    monkeypatch.setattr(encoder, "_units", lambda unit: units.append(unit) or ask(unit))
+    monkeypatch.setattr(encoder, "_ids", lambda texts: made.extend(texts) or make(texts))
+    return units, made
+
+
+def test_latin_words_are_lower_cased_before_they_are_looked_up(monkeypatch):
+    encoder = tokens.WordEncoder(PATH)
+    units, made = asked(encoder, monkeypatch)
+    own = ["straße Ünder STRASSE Straße, ÉTÉ", "River Été ÜNDER. straße River."]
+    got = encoder.encode(own)
+    assert not made and {"strasse", "river", "."} < set(units)
+    assert got == encoder._ids(own)
+    units.clear(), made.clear()
+    encoder.encode(["STRASSE... under été; river ünder, RIVER"])  # letters met before, with other marks behind them
+    assert not made and sorted(units) == ["...", ";", "under"]
+
+
+def test_words_met_before_are_not_encoded_again(monkeypatch):
+    encoder = tokens.WordEncoder(PATH)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = [" ".join(f"{a}{b}{c}{d}" for b in letters for c in letters for d in letters) for a in letters[:14]]  # 246,064 words
+    before = [encoder.encode([t])[0] for t in own]
+    units, made = asked(encoder, monkeypatch)
+    assert [encoder.encode([t])[0] for t in own] == before
+    assert not units and not made
+
+
+@pytest.mark.parametrize("size, known", [(1, 600_000), (50, 20), (4_000_000, 0)])
+def test_slices_and_forgotten_words_change_no_ids(monkeypatch, size, known):
+    monkeypatch.setattr(tokens, "SLICE_CHARS", size)
+    monkeypatch.setattr(tokens, "KNOWN_WORDS", known)
+    encoder = tokens.WordEncoder(PATH)
+    # white space of every kind, cases that change with their neighbours, marks that join the letter before, names in capitals
+    odd = [f"Ab{c}Cd {c} e{c}" for c in "\t\n\v\f\r\x00\x1c\x1f\x85\xa0\xad\u1680\u180e\u2003\u2028\u3000\ufeffΣİẞ\u0301ǅ\u212a\U0001f600"]
+    odd += ["x <|ENDOFTEXT|> y", "Ü <|ENDOFTEXT|>", "日 <|EndOfText|>", "<|endoftext|> Ü", "e\u0301 E\u0301", "ΑΣ ΑΣ."]
+    own = [*texts(), *odd, *PLAIN_WORDS]
+    assert encoder.encode(own) == [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch([t or "" for t in own], add_special_tokens=False)]
+    assert encoder.encode([]) == [] and encoder.encode([None, "", " "]) == [b""] * 3
+
+
 def test_ranks_code_one_to_four_bytes():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 3, 4, 5, 1001):
