@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -11,10 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import safe_cell
+from ..operators.keyed import spread
 from ..schemas import POSTING_FIELDS
 from ..session import remove_folder
 
 PER_FILE = 1_000_000               # rows of one file, at most
+AT_ONCE = 10_000                   # names or lines handed on by a task
+_BLANK = bytes(range(33))          # a line of these alone is none to Spark's CSV source
+_UNNAMED = "__HIVE_DEFAULT_PARTITION__"
 _ESCAPED = {c: f"%{c:02X}" for c in [*range(1, 32), 127, *map(ord, "\"#%'*/:=?\\{[]^")]}  # in folder names, as Spark's writer does
 
 
@@ -85,7 +90,7 @@ def _write_folders(rows: DataFrame, path: str) -> None:
         pairs = (pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         done: list[tuple[str, str]] = []
         for n, (domain, of_one) in enumerate(itertools.groupby(pairs, key=lambda pair: pair[0])):
-            folder = f"domain={domain.translate(_ESCAPED) if domain else '__HIVE_DEFAULT_PARTITION__'}"
+            folder = f"domain={domain.translate(_ESCAPED) if domain else _UNNAMED}"
             texts = (line for _, line in of_one)
             for k in itertools.count():
                 first = next(texts, None)
@@ -127,12 +132,69 @@ def _write_folders(rows: DataFrame, path: str) -> None:
 
 
 def read_companies(spark: SparkSession, path: str, fields: list[str] | None = None) -> DataFrame:
-    """The postings of all companies' folders as text; names and types are given, so that no file is opened to infer them."""
+    """The postings of all companies' folders as text; names and types are given, so that no file is opened to infer them.
+
+    Spark's file source keeps an entry for every file on the driver; a mounted folder is listed by tasks instead.
+    """
     fields = POSTING_FIELDS if fields is None else fields
+    mounted = _mounted(spark, path)
+    if mounted is not None and os.path.isdir(mounted):
+        return _read_folders(spark, mounted, fields)
     schema = ", ".join(f"`{f}` string" for f in [*fields, "domain"])
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
+def _read_folders(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+    """One task lists the folders, many list and read their files; lines are taken apart as Spark's CSV source does it."""
+    def hidden(name: str) -> bool:  # to Spark's file sources
+        return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+
+    def named(folder: str) -> str | None:
+        value = folder.partition("=")[2]
+        return None if value == _UNNAMED else re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), value)
+
+    def batches_of(rows: Iterator[tuple], *names: str) -> Iterator[pa.RecordBatch]:
+        while some := list(itertools.islice(rows, AT_ONCE)):
+            yield pa.RecordBatch.from_arrays([pa.array(values) for values in zip(*some, strict=True)], names=list(names))
+
+    def folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _ in range(b.num_rows):
+                with os.scandir(path) as entries:
+                    yield from batches_of(((e.name,) for e in entries if e.name.startswith("domain=") and e.is_dir()), "folder")
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ((folder, name) for b in batches for folder in b.column(0).to_pylist() for name in os.listdir(f"{path}/{folder}"))
+        yield from batches_of(((folder, name) for folder, name in found if not hidden(name)), "folder", "file")
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(domains, pa.string()), pa.array(held, pa.binary())], names=["domain", "line"])
+
+        domains, held, size = [], [], 0
+        for b in batches:
+            for folder, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                domain = named(folder)
+                with open(f"{path}/{folder}/{name}", "rb") as file:
+                    texts = (text for line in file for text in line.splitlines() if text.strip(_BLANK))
+                    next(texts, None)  # the header
+                    for text in texts:
+                        domains.append(domain)
+                        held.append(text)
+                        size += len(text)
+                        if len(held) >= AT_ONCE or size >= 4_000_000:
+                            yield batch()
+                            domains, held, size = [], [], 0
+        if held:
+            yield batch()
+
+    listed = spread(spark.range(0, 1, 1, 1).mapInArrow(folders, "folder string"))
+    dealt = spread(listed.mapInArrow(files, "folder string, file string"))
+    values = F.from_csv(F.col("line").cast("string"), ", ".join(f"`{f}` string" for f in fields))
+    rows = dealt.mapInArrow(lines, "domain string, line binary").select(values.alias("values"), "domain")
+    return rows.select("values.*", "domain")
+
+
 def write_session(matching: DataFrame, path: str, filtered: bool, fields: list[str] | None = None) -> dict:
     """A session's postings; nothing is written when there are none."""
     if matching.isEmpty():

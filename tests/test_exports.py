@@ -48,3 +48,19 @@ def test_a_company_of_many_rows_takes_several_files(spark, tmp_path, monkeypatch
     assert X.read_companies(spark, str(tmp_path / "out_filtered"), ["title"]).filter("domain = 'big'").distinct().count() == 100
     X.write_companies(rows.limit(0), str(tmp_path / "none"), ["title"])
     assert X.read_companies(spark, str(tmp_path / "none"), ["title"]).count() == 0
+
+
+def test_folders_are_listed_by_tasks_and_read_as_by_sparks_source(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    X.write_companies(spark.createDataFrame(ROWS, SCHEMA), path, FIELDS)
+    Path(path, "domain=a", "part-1.csv").write_bytes(b'\n \t\nhead\r\nx,1\r"y ""z"",",2,3,4,5,6\n\n"",,,,\xff\n\xc3\xa9')
+    Path(path, "domain=a", "part-2.csv").write_bytes(b"")
+    Path(path, "domain=a", "_hidden.csv").write_bytes(b"h\nx\n")
+    Path(path, "domain=none").mkdir()
+    back = X.read_companies(spark, path, FIELDS)
+    assert back.inputFiles() == []  # a file source would name every file here, kept on the driver
+    schema = ", ".join(f"`{f}` string" for f in [*FIELDS, "domain"])
+    plain = spark.read.option("header", True).schema(schema).csv(path)
+    assert back.columns == plain.columns and [f.dataType for f in back.schema] == [f.dataType for f in plain.schema]
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, plain.collect()))
+    assert sorted(back.groupBy("domain").count().collect(), key=str) == sorted(plain.groupBy("domain").count().collect(), key=str)
