@@ -5,6 +5,7 @@ from pyspark.sql import Column, functions as F
 
 from . import vocab as V
 from .text import clean, collapse, unescape_markup
+from .variants import let
 
 def _null() -> Column:
     return F.lit(None).cast("string")
@@ -33,7 +34,10 @@ def remote_of(workplace: Column) -> Column:
 
 def employment_type_of(value: Column) -> Column:
     """Any feed wording for the kind of contract -> full_time, part_time, contract, intern, other or NULL."""
-    text = clean(value)
+    return let(clean(value), _employment_type)
+
+
+def _employment_type(text: Column) -> Column:
     return (F.when(text.isNull() | F.lower(text).isin(V.UNSPECIFIED), _null())
             .when(text.rlike(V.INTERN), F.lit("intern")).when(text.rlike(V.PART_TIME), F.lit("part_time"))
             .when(text.rlike(V.FULL_TIME), F.lit("full_time")).when(text.rlike(V.CONTRACT), F.lit("contract"))
@@ -42,8 +46,10 @@ def employment_type_of(value: Column) -> Column:
 
 def trusted_type(typed: Column, loose: Column) -> Column:
     """The employment type text; a bare 'type' value counts only when it is real employment vocabulary."""
-    kind = employment_type_of(loose)
-    return F.coalesce(clean(typed), F.when(kind.isNotNull() & (kind != "other"), clean(loose)))
+    def believed(text: Column) -> Column:
+        return let(_employment_type(text), lambda kind: F.when(kind.isNotNull() & (kind != "other"), text))
+
+    return F.coalesce(clean(typed), let(clean(loose), believed))
 
 
 # ---- pages ----

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import classify as C, dates as DT, urls as U, variants as J, vocab as V
 from ..session import shared_folder
+from . import objects as O
 from .keyed import computed, first_per_key, kept
 
 _TODO = "array<struct<path:string,at:string,node:variant>>"
@@ -80,64 +81,21 @@ def listing_arrays(data: Column, levels: Column | None = None) -> Column:
     return F.array_sort(found, lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))
 
 
-def _parts(values: Column) -> dict[str, Column]:
-    """The values a posting is read from, each looked up once among an object's entries (a map)."""
-    wanted = {"title": V.TITLE_KEYS, "url": V.URL_KEYS, "ident": V.ID_KEYS, "dept": V.DEPARTMENT_KEYS, "date": V.DATE_KEYS,
-              "kind": V.TYPE_KEYS, "place": V.WORKPLACE_KEYS, "remote": ["isRemote", "remote"],
-              "region": ["state", "region", "province"], "country": ["country", "countryCode"]}
-    return {"v_where": J.first_entry_in(values, V.LOCATION_KEYS),
-            **{f"v_{name}": J.first_in(values, keys) for name, keys in wanted.items()}}
-
-
-def _place(inside: Column) -> dict[str, Column]:
-    """City, region and country of a location object, from its entries (a map)."""
-    keys = {"city": ["city", "locality"], "region": ["state", "region", "province", "stateProvince"],
-            "country": ["country", "countryCode", "countryName"]}
-    return {f"in_{name}": J.readable(J.first_in(inside, k), 1) for name, k in keys.items()}
-
-
-def _posting(page_url: Column, as_of: Column | None) -> dict[str, Column]:
-    """Feed columns from the looked-up values; url is NULL when nothing identifies the posting."""
-    where, bare = F.col("v_where.v"), F.coalesce(F.col("v_where.k") == "city", F.lit(False))
-    nested = F.col("inside").isNotNull()
-
-    def part(name: str, alone: Column) -> Column:
-        return F.when(nested, F.col(f"in_{name}")).when(bare, alone)
-
-    city = part("city", J.readable(where, 1))
-    region = part("region", J.readable(F.col("v_region"), 1))
-    country = part("country", J.readable(F.col("v_country"), 1))
-    return {
-        "title": J.readable(F.col("v_title"), 1), "own_url": J.text(F.col("v_url")), "id_text": J.scalar(F.col("v_ident")),
-        "city": city, "region": region, "country": country, "whole_place": F.when(nested | ~bare, J.readable(where, 2)),
-        "remote": F.when(J.is_true(F.col("v_remote")), F.lit(True)), "department": J.readable(F.col("v_dept"), 2),
-        "number": J.number(F.col("v_date")), "date_text": J.text(F.col("v_date")),
-        "typed": J.readable(F.col("v_kind"), 1), "loose_type": J.readable(F.col("loose"), 1),
-        "workplace": J.readable(F.col("v_place"), 1)}
-
-
 def sniffed_postings(payloads: DataFrame, page: str, page_url: str = "page_url", as_of: Column | None = None) -> DataFrame:
     """Postings of each page from the payloads it loaded (page, page_url, pos, url, data).
 
     Payloads of one endpoint and place in the JSON are pages of one listing; of several listings the one with the most
     distinct postings is taken, the first among equals, and only with three or more.
     """
-    arrays = payloads.select(page, page_url, F.col("pos").alias("payload"), U.path(F.coalesce("url", F.lit(""))).alias("endpoint"),
-                             F.posexplode(listing_arrays(F.col("data"))).alias("array", "found"))
-    objects = arrays.select(page, page_url, "payload", "endpoint", "array", F.col("found.path").alias("json_path"),
-                            F.posexplode("found.objects").alias("item", "object"))
+    texts = payloads.select(page, page_url, F.col("pos").alias("payload"), U.path(F.coalesce("url", F.lit(""))).alias("endpoint"),
+                            F.to_json("data").alias("text"))  # a filter by it would run before rows are spread
+    held = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])
+    work = texts.mapInArrow(O.read, f"{held}, {O.FOUND_DDL}")
     keep = [page, "payload", "endpoint", "array", "json_path", "item"]
-    work = computed(objects, entries=J.by_key(J.lowered(F.col("object"))), loose=J.get(F.col("object"), "type")).drop("object")
-    work = computed(work, **_parts(F.col("entries"))).drop("entries")
-    work = computed(work, inside=J.by_key(J.lowered(F.col("v_where.v"))))
-    work = computed(work, **_place(F.col("inside")))
-    work = computed(work, **_posting(F.col(page_url), as_of))
     own, ident = F.col("own_url"), F.coalesce("id_text", F.lit(""))
     url = F.when(own.rlike("^(https?://|/)"), U.resolve(F.col(page_url), own)).when(
         ident != "", U.job_fragment_url(F.col(page_url), F.regexp_replace(ident, r"[^A-Za-z0-9._~\-]+", "-")))
-    bare = F.col("inside").isNull() & F.coalesce(F.col("v_where.k") == "city", F.lit(False))
-    place = F.when(bare, F.nullif(F.concat_ws(", ", "city", "region", "country"), F.lit(""))).otherwise(F.col("whole_place"))
-    rows = computed(work, url=url, location=place,
+    rows = computed(work, url=url, location=F.col("place"),
                     posted=F.coalesce(DT.from_epoch(F.col("number")), DT.from_text(F.col("date_text"), as_of)),
                     employment_type=C.trusted_type(F.col("typed"), F.col("loose_type")))
     rows = rows.select(*keep, "title", "url", "location", "remote", "department", "posted", "employment_type", "workplace",

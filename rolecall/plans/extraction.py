@@ -92,25 +92,26 @@ def ld_postings(t):
 
 def payloads(t):
     """One payload per order, in one of six shapes; a customer is a page."""
-    k, pr = _text(col("o_orderkey")), col("o_orderpriority")
+    k, pr = "\x01", "\x02"  # stand for the order's key and priority
 
     def repeat(make, n):
-        return F.concat(*[x for i in range(n) for x in ([lit(",")] if i else []) + make(i)])
-
-    jobs = F.concat(lit('{"meta":{"total":3},"result":{"jobs":['), repeat(lambda i: [
-        lit('{"jobId":"'), k, lit(f'-{i}","Title":"'), pr, lit(f' {i}","location":{{"city":"Berlin","state":"BE","country":"DE"}},"team":{{"name":"Core"}},'
-                                   f'"createdAt":1700000000000,"isRemote":{"true" if i == 1 else "false"},"type":"Full-Time"}}')], 3), lit("]}}"))
-    deep = F.concat(lit('{"a":{"b":[['), repeat(lambda i: [
-        lit('{"name":"'), pr, lit(f'","url":"/jobs/'), k, lit(f'/{i}","city":"Lyon","country":"FR","department":["R","D","R"],"workplaceType":"Hybrid"}}')], 4), lit("]]}}"))
-    filters = F.concat(lit('{"filters":['), repeat(lambda i: [lit('{"id":"'), k, lit(f'{i}","name":"Engineering","count":{i + 1}}}')], 5), lit("]}"))
-    news = F.concat(lit("["), repeat(lambda i: [lit('{"title":"News '), k, lit(f'","link":"/news/{i}","date":"2024-01-01"}}')], 4), lit("]"))
-    few = F.concat(lit('{"jobs":['), repeat(lambda i: [lit('{"id":"'), k, lit('","title":"Only","location":"Rome"}')], 2), lit("]}"))
-    mixed = F.concat(lit('{"list":['), repeat(lambda i: [lit('{"id":"'), k, lit(f'm{i}","title":"Mixed {i}","team":"T"}}')], 3),
-                     lit(',{"x":1},{"y":2},"text"]}'))
-    body = F.element_at(F.array(jobs, deep, filters, news, few, mixed), (col("o_orderkey") % 6 + 1).cast("int"))
+        return ",".join(make(i) for i in range(n))
+
+    jobs = '{"meta":{"total":3},"result":{"jobs":[' + repeat(lambda i: (
+        f'{{"jobId":"{k}-{i}","Title":"{pr} {i}","location":{{"city":"Berlin","state":"BE","country":"DE"}},"team":{{"name":"Core"}},'
+        f'"createdAt":1700000000000,"isRemote":{"true" if i == 1 else "false"},"type":"Full-Time"}}'), 3) + "]}}"
+    deep = '{"a":{"b":[[' + repeat(lambda i: (
+        f'{{"name":"{pr}","url":"/jobs/{k}/{i}","city":"Lyon","country":"FR","department":["R","D","R"],"workplaceType":"Hybrid"}}'), 4) + "]]}}"
+    filters = '{"filters":[' + repeat(lambda i: f'{{"id":"{k}{i}","name":"Engineering","count":{i + 1}}}', 5) + "]}"
+    news = "[" + repeat(lambda i: f'{{"title":"News {k}","link":"/news/{i}","date":"2024-01-01"}}', 4) + "]"
+    few = '{"jobs":[' + repeat(lambda i: f'{{"id":"{k}","title":"Only","location":"Rome"}}', 2) + "]}"
+    mixed = '{"list":[' + repeat(lambda i: f'{{"id":"{k}m{i}","title":"Mixed {i}","team":"T"}}', 3) + ',{"x":1},{"y":2},"text"]}'
+    shape = F.element_at(F.array(*[lit(x) for x in (jobs, deep, filters, news, few, mixed)]), (col("o_orderkey") % 6 + 1).cast("int"))
+    keyed = F.replace(shape, lit(k), _text(col("o_orderkey")))
+    body = F.when(F.contains(shape, lit(pr)), F.replace(keyed, lit(pr), col("o_orderpriority"))).otherwise(keyed)
     orders = spread(t.orders.select("o_orderkey", "o_custkey", "o_orderpriority"))
     return orders.select("o_orderkey", "o_custkey", col("o_orderkey").alias("pos"), F.concat(lit("https://c"), _text(col("o_custkey")), lit(".example.com/careers")).alias("page_url"),
-                           F.concat(lit("https://api.example.com/v1/"), _text(col("o_orderkey") % 6), lit("?page="), k).alias("url"), body.alias("body"))
+                           F.concat(lit("https://api.example.com/v1/"), _text(col("o_orderkey") % 6), lit("?page="), _text(col("o_orderkey"))).alias("url"), body.alias("body"))
 
 
 @query("listing_arrays", """

@@ -2,10 +2,12 @@
 from pyspark.sql import functions as F
 
 from rolecall.functions import variants as J
-from rolecall.operators import anchors as A, boards as B, search as S, sniff as SN
+from rolecall.operators import anchors as A, boards as B, objects as O, search as S, sniff as SN
 from rolecall.operators.keyed import spread
 from rolecall.operators.reading import LandedPages
 from rolecall.operators.search import Search
+from rolecall.plans import extraction as EX
+from rolecall.plans.registry import Tables
 from rolecall.sources import readers as RD
 from rolecall.sources.gazetteer import Gazetteer
 
@@ -81,3 +83,42 @@ def test_workday_places_are_read_once_per_step(spark, monkeypatch):
     assert sizes == [2]
     assert sorted((r.token, r.city, r.country) for r in found) == [("t/0", "Spokane", "US"), ("t/1", "Spokane", "US"), ("t/2", "Spokane", "US"),
                                                                    ("t/3", None, None), ("t/4", "London", "GB")]
+
+
+ODD = ['{"r":{"jobs":[{"ID":7,"name":" A \\u0085 b ","city":"Rome","Country":{"label":"IT"},"type":"intern"},{"id":8,"title":"Cook","Location":{"city":"Lyon","country":null},"teams":["X",{"name":"X"},["Y"]]},'
+       '{"url":"//x/1","title":"Chef","team":"T","remote":true},{"jobId":"R 1/2","title":"Baker","date":1700000000,"type":"thing"},5,{}]},"a":[[{"title":"no"}]],"":{"k":[[[{"title":"Deep 1","slug":"d","offices":[{"x":1},"Ulm"]},'
+       '{"TITLE":"no","title":"Deep 2","slug":"","reqid":1.50,"datePosted":"2024-02-29"},{"title":"Deep 3","href":"/d/3","count":3,"req_id":true}]]]}}',
+       '[{"id":1,"title":"Filter one","count":2,"location":"x"},{"id":2,"title":"Filter two","count":2,"location":"x"},{"id":3,"title":"Filter","count":1,"location":"x"}]',
+       '{"x":[{"id":1,"title":"Two only","city":"x"},{"id":2,"title":"Two only","city":"x"}]}', "null", "[]", "5", '"[1]"', "[1,", "", None]
+
+
+def test_a_payload_is_read_without_expressions_by_the_same_rules(spark):
+    rows = [("p", "https://a.io/c?x#y", i, None, text) for i, text in enumerate(ODD)]
+    df = spark.createDataFrame(rows, "page string, page_url string, pos long, url string, body string").withColumn("data", J.parse(F.col("body")))
+    by_expressions = df.select("pos", F.to_json("data").alias("t"), F.transform(SN.listing_arrays(F.col("data")), lambda f: F.struct(f["path"], F.size(f["objects"]))).alias("f"))
+    for r in by_expressions.collect():
+        assert [(path, len(objects)) for path, objects in (O.listings(r.t) if r.t is not None else [])] == [tuple(f) for f in r.f or []]
+    first = list(O.postings(spark.createDataFrame([(ODD[0],)], "t string").select(F.to_json(J.parse(F.col("t")))).head()[0]))
+    names = list(O.FOUND)
+    told = [{k: v for k, v in zip(names, p, strict=True) if v is not None and k not in ("array", "item")} for p in first]
+    assert told == [
+        {"json_path": "k[][]", "title": "Deep 1", "id_text": "d", "place": "Ulm"},
+        {"json_path": "k[][]", "title": "Deep 2", "id_text": "1.5", "date_text": "2024-02-29"},
+        {"json_path": "k[][]", "title": "Deep 3", "own_url": "/d/3", "id_text": "true"},
+        {"json_path": "r.jobs", "title": "A b", "id_text": "7", "city": "Rome", "country": "IT", "place": "Rome, IT", "loose_type": "intern"},
+        {"json_path": "r.jobs", "title": "Cook", "id_text": "8", "city": "Lyon", "place": "Lyon", "department": "X | Y"},
+        {"json_path": "r.jobs", "title": "Chef", "own_url": "//x/1", "department": "T", "remote": True},
+        {"json_path": "r.jobs", "title": "Baker", "id_text": "R 1/2", "number": 1700000000.0, "loose_type": "thing"}]
+    found = {(r.title, r.url, r.location, r.employment_type, str(r.posted)) for r in SN.sniffed_postings(df, "page").collect()}
+    assert found == {("A b", "https://a.io/c?x#job-7", "Rome, IT", "intern", "None"), ("Cook", "https://a.io/c?x#job-8", "Lyon", None, "None"),
+                     ("Chef", "https://x/1", None, None, "None"), ("Baker", "https://a.io/c?x#job-R-1-2", None, None, "2023-11-14 22:13:20")}
+
+
+def test_payloads_are_written_after_rows_are_spread(spark, tmp_path):
+    spark.createDataFrame([(k, k // 4, None if k == 7 else "1-URGENT") for k in range(12)], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    made = EX.payloads(Tables(spark, str(tmp_path)))
+    assert {r.o_orderkey for r in made.filter("body is null").collect()} == {7}
+    assert "element_at" not in _plan(SN.sniffed_postings(made.withColumn("data", J.parse(F.col("body"))), "o_custkey"))
+    written = made.select(F.to_json(J.parse(F.col("body"))).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "element_at" not in written.split("Repartition")[1]
+    assert "concat" not in made.select("body")._jdf.queryExecution().optimizedPlan().toString()  # all six texts were put together for each row
