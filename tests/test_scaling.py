@@ -122,3 +122,11 @@ def test_payloads_are_written_after_rows_are_spread(spark, tmp_path):
     written = made.select(F.to_json(J.parse(F.col("body"))).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
     assert "element_at" not in written.split("Repartition")[1]
     assert "concat" not in made.select("body")._jdf.queryExecution().optimizedPlan().toString()  # all six texts were put together for each row
+
+
+def test_companies_without_an_own_reader_are_read_without_walking_by_expressions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(SN, "listing_arrays", lambda *_: 1 / 0)
+    orders = [(6 * i + i % 2, c, "1-URGENT") for i, c in enumerate([10, 10, 11, 11, 11, 12, 30, 30])] + [(100, 13, "2-HIGH"), (None, 11, "2-HIGH"), (103, None, "2-HIGH")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    found = EX.adapter_rows(Tables(spark, str(tmp_path))).collect()
+    assert {(r.domain, r.reader, r.postings) for r in found} == {(10, "own", 2), (11, "sniffed", 6), (12, "sniffed", 4), (30, "sniffed", 4)}
